@@ -23,5 +23,17 @@ WHERE o.o >= 0.7 * (p.n + q.n - o.o) - 1e-9
 """
 
 
+P3_FOUND = """
+WITH v AS (
+  SELECT DISTINCT chunk_id AS k, CAST(embedding AS DOUBLE[64]) AS e FROM wiki_chunks
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT a.k AS q, b.k AS n, array_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.k <> b.k),
+r AS (SELECT q, n, c, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS r FROM s WHERE c >= 0.9)
+SELECT DISTINCT least(q, n) AS key_a, greatest(q, n) AS key_b FROM r WHERE r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"p1_found": P1_FOUND}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.near_duplicates import Shape, near_duplicate_pairs
+from loreweave.llm.vector_neighbours import neighbour_pairs
 from loreweave.storage import table
 
 TITLES = Shape("char", 3, 0.7)
@@ -31,5 +32,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(chunks.select(F.lit("chunk").alias("kind"), "key_a", "key_b"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk pairs with cosine 0.9 or more of which one is among the other's five best."""
+    return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found}
