@@ -12,8 +12,9 @@ shared n-gram, and the parity signature of 128 bits (each n-gram flips one bit,
 so signatures of sets differ in at most as many bits as the sets in members).
 
 The order is by the count of the n-gram's bin over all records, then by its
-hash. Any total order gives the same pairs; counts make it a good one. The count
-vector is the only thing broadcast: ``bins`` numbers, whatever the data's size.
+hash. Any total order gives the same pairs; counts make it a good one. Broadcast
+are only the count vector, ``bins`` numbers, and a filter of ``MARKS`` bits,
+whatever the data's size.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from loreweave.llm.shingles import gram_sets, slices
 from loreweave.storage import materialize
 
 _EPS = 1e-9
+#: Bits of the filter that keeps segments of records without candidates from being shuffled: 1 MiB, however many records.
+MARKS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -100,7 +103,10 @@ class _Order:
 
 
 def _prefixes(texts: DataFrame, order, shape: Shape) -> DataFrame:
-    """The rare n-grams that a partner must share: token, rid, place, size, signature."""
+    """The rare n-grams that a partner must share: token, rid, place, size, signature.
+
+    The token is 32 bits of the n-gram: two that share them cost a test, never a result.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +126,7 @@ def _prefixes(texts: DataFrame, order, shape: Shape) -> DataFrame:
                 rid = part.column("rid").to_numpy()[rows[keep]]
                 yield pa.record_batch(
                     [
-                        pa.array(grams[keep].view(np.int64)),
+                        pa.array(grams[keep].astype(np.uint32).view(np.int32)),
                         pa.array(rid),
                         pa.array(place[keep].astype(np.int32)),
                         pa.array(size[keep].astype(np.int32)),
@@ -130,15 +136,29 @@ def _prefixes(texts: DataFrame, order, shape: Shape) -> DataFrame:
                     ["token", "rid", "place", "size", "low", "high"],
                 )
 
-    schema = "token bigint, rid bigint, place int, size int, low bigint, high bigint"
+    schema = "token int, rid bigint, place int, size int, low bigint, high bigint"
     return texts.select("rid", "text").mapInArrow(emit, schema)
 
 
-def _segments(texts: DataFrame, order, shape: Shape) -> DataFrame:
-    """One row per record and fragment: rid, fragment, the n-grams of that segment."""
+def _marks(candidates: DataFrame) -> np.ndarray:
+    """MARKS bits, those set that some candidate's rid falls on: a filter of fixed size."""
+    spot = F.pmod(F.xxhash64("rid"), F.lit(MARKS)).alias("spot")
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("rid"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("spot") % 64).cast("int"))
+    words = ids.select(spot).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    marks = np.zeros(MARKS // 64, dtype=np.uint64)
+    marks[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return marks
+
+
+def _segments(texts: DataFrame, order, marks, shape: Shape) -> DataFrame:
+    """One row per marked record and fragment: rid, fragment, the n-grams of that segment."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            spot = batch.column("spot").to_numpy().astype(np.uint64)
+            marked = (marks.value[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(marked.astype(bool)))
             for part in slices(batch, "text"):
                 rows, grams, ranks = order.value.ordered(part.column("text"), shape)
                 if not len(rows):
@@ -149,7 +169,8 @@ def _segments(texts: DataFrame, order, shape: Shape) -> DataFrame:
                 rid = part.column("rid").to_numpy()[rows[first]]
                 yield pa.record_batch([pa.array(rid), pa.array(fragment[first].astype(np.int32)), grams], ["rid", "fragment", "grams"])
 
-    return texts.select("rid", "text").mapInArrow(emit, "rid bigint, fragment int, grams array<bigint>")
+    spotted = texts.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(MARKS)).alias("spot"))
+    return spotted.mapInArrow(emit, "rid bigint, fragment int, grams array<bigint>")
 
 
 def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -193,10 +214,10 @@ def similar_classes(df: DataFrame, key: str, text: str, shape: Shape = Shape())
     if shape.kind not in ("word", "char") or shape.n < 1 or not 0 < shape.threshold <= 1:
         raise ValueError(f"not a shape: {shape}")
     texts, members = _classes(df, key, text)
-    order = df.sparkSession.sparkContext.broadcast(_Order(_bin_counts(texts, shape), shape.fragments))
+    context = df.sparkSession.sparkContext
+    order = context.broadcast(_Order(_bin_counts(texts, shape), shape.fragments))
     candidates = materialize(_candidates(_prefixes(texts, order, shape), shape.threshold), "candidates")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    segments = _segments(texts.join(ids, "rid", "left_semi"), order, shape)
+    segments = _segments(texts, order, context.broadcast(_marks(candidates)), shape)
     return _overlaps(candidates, segments, shape.threshold), members, texts
 
 

@@ -23,6 +23,27 @@ WHERE o.o >= 0.7 * (p.n + q.n - o.o) - 1e-9
 """
 
 
+P2_FOUND = """
+WITH raw AS (
+  SELECT DISTINCT 'tags' AS kind, 0 AS side, page_id AS k, tags AS v FROM wiki_pages
+  UNION ALL SELECT DISTINCT 'out_links', 0, page_id, out_links FROM retrieval_nodes
+  UNION ALL SELECT DISTINCT 'in_links', 0, page_id, in_links FROM retrieval_nodes
+  UNION ALL SELECT DISTINCT 'sources', 0, page_id, sources FROM retrieval_nodes
+  UNION ALL SELECT DISTINCT 'profile', 0, page_id, tags FROM wiki_pages
+  UNION ALL SELECT DISTINCT 'profile', 1, profile_id, tags FROM tag_profiles),
+u AS (SELECT kind, side, k, hash(v) AS h, regexp_replace(lower(unnest(v)), '[\\s\\p{Z}_-]+', '', 'g') AS x FROM raw),
+s AS (SELECT DISTINCT kind, side, k, h, x FROM u WHERE x IS NOT NULL AND x <> ''),
+n AS (SELECT kind, side, k, h, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 4),
+o AS (
+  SELECT a.kind, a.side AS sa, b.side AS sb, a.k AS ka, b.k AS kb, a.h AS ha, b.h AS hb, count(*) AS o
+  FROM s a JOIN s b ON a.kind = b.kind AND a.x = b.x
+    AND ((a.kind = 'profile' AND a.side = 0 AND b.side = 1) OR (a.kind <> 'profile' AND a.k < b.k)) GROUP BY ALL)
+SELECT DISTINCT o.kind, ka AS key_a, kb AS key_b FROM o
+JOIN n p ON p.kind = o.kind AND p.side = sa AND p.k = ka AND p.h = ha
+JOIN n q ON q.kind = o.kind AND q.side = sb AND q.k = kb AND q.h = hb
+WHERE o >= 0.7 * (p.n + q.n - o) - 1e-9
+"""
+
 P3_FOUND = """
 WITH v AS (
   SELECT DISTINCT chunk_id AS k, CAST(embedding AS DOUBLE[64]) AS e FROM wiki_chunks
@@ -36,4 +57,4 @@ SELECT DISTINCT least(q, n) AS key_a, greatest(q, n) AS key_b FROM r WHERE r <=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.near_duplicates import Shape, near_duplicate_pairs
+from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.vector_neighbours import neighbour_pairs
 from loreweave.storage import table
 
@@ -32,10 +33,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(chunks.select(F.lit("chunk").alias("kind"), "key_a", "key_b"))
 
 
+def _value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields as one table: grp is the kind; a field that is joined with itself is on both sides."""
+    nodes, pages = table(spark, sf_dir, "retrieval_nodes"), table(spark, sf_dir, "wiki_pages")
+    own = [("tags", pages.select("page_id", "tags")), *((f, nodes.select("page_id", f)) for f in ("out_links", "in_links", "sources"))]
+    parts = [t.select(F.lit(kind).alias("grp"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit(True).alias("both"), F.col("page_id").alias("key"), F.col(kind).alias("raw")) for kind, t in own]
+    parts.append(pages.select(F.lit("profile").alias("grp"), F.lit(0).alias("side"), F.lit(False).alias("both"), F.col("page_id").alias("key"), F.col("tags").alias("raw")))
+    parts.append(table(spark, sf_dir, "tag_profiles").select(F.lit("profile").alias("grp"), F.lit(1).alias("side"), F.lit(False).alias("both"), F.col("profile_id").alias("key"), F.col("tags").alias("raw")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("grp", "side", "both", "key", normal_values("raw").alias("values"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages, nodes and profiles whose sets of values overlap by 0.7 or more."""
+    return similar_set_pairs(_value_sets(spark, sf_dir)).select(F.col("grp").alias("kind"), "key_a", "key_b")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk pairs with cosine 0.9 or more of which one is among the other's five best."""
     return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
