@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.near_duplicates import Shape, near_duplicate_pairs
 from loreweave.llm.set_join import normal_values, similar_set_pairs
+from loreweave.llm.tokens import encode
 from loreweave.llm.vector_neighbours import neighbour_pairs
+from loreweave.llm.visual_forms import alike_pairs, visual_forms
 from loreweave.storage import table
 
 TITLES = Shape("char", 3, 0.7)
@@ -56,5 +58,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and consist of different characters."""
+    return alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every document."""
+    return visual_forms(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "form")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
