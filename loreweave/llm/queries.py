@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.near_duplicates import Shape, near_duplicate_pairs
 from loreweave.llm.set_join import normal_values, similar_set_pairs
+from loreweave.llm.splitting import oversized_places, split_texts
 from loreweave.llm.tokens import encode
 from loreweave.llm.vector_neighbours import neighbour_pairs
 from loreweave.llm.visual_forms import alike_pairs, visual_forms
@@ -58,6 +59,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = table(spark, sf_dir, "chunk_options").dropDuplicates(["opt_id"])
+    bodies = table(spark, sf_dir, "page_bodies").join(options, "opt_id", "left")
+    sizes = {n: F.col(n) for n in ("target_chars", "max_chars", "min_chars", "overlap_chars")}
+    return split_texts(bodies, "item_id", "text", sizes)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and sections of page bodies that are longer than max_chars."""
+    return oversized_places(_pieces(spark, sf_dir), "item_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all page bodies."""
+    pieces = _pieces(spark, sf_dir).distinct()
+    return pieces.select("item_id", "start_char", "end_char", "text", "heading_path", "is_block", "oversized")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -74,4 +93,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
