@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.llm.mixing import mix_sources
 from loreweave.llm.near_duplicates import Shape, near_duplicate_pairs
 from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.splitting import oversized_places, split_texts
-from loreweave.llm.tokens import encode
+from loreweave.llm.tokens import count_tokens, encode
 from loreweave.llm.vector_neighbours import neighbour_pairs
 from loreweave.llm.visual_forms import alike_pairs, visual_forms
 from loreweave.storage import table
@@ -82,6 +83,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets").select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+    sized = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "tokens")
+    return mix_sources(sized, "doc_id", "source", "tokens", targets)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, with repeats, in the order of slot and place."""
+    return _mix(spark, sf_dir)[0].withColumnRenamed("size", "tokens")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches."""
+    return _mix(spark, sf_dir)[1].withColumnRenamed("size", "tokens")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same and consist of different characters."""
     return alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
@@ -93,4 +110,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
