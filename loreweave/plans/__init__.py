@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.plans import snapshots
+from loreweave.plans import graph, search, snapshots
 
-_MODULES = (snapshots,)
+_MODULES = (search, graph, snapshots)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
