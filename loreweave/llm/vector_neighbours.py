@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,22 @@ SLACK = 0.012
 
 @dataclass(frozen=True)
 class Hashing:
-    tables: int = 4
+    """Parameters of the tables. Up to 2**18 vectors these hold; from there each doubling of their number adds
+    a hash, which keeps the buckets' sizes, and a table, which keeps the recall."""
+
+    tables: int = 5
     hashes: int = 8
-    width: float = 1.5
+    width: float = 1.75
     probes: int = 3
     bucket_rows: int = 4096
     seed: int = 11
 
 
+    def at_size(self, vectors: int) -> Hashing:
+        more = max(0, (max(vectors, 1) - 1).bit_length() - 18)
+        return replace(self, tables=self.tables + more, hashes=self.hashes + more)
+
+
 def probe_sets(hashes: int, count: int) -> list[tuple[int, ...]]:
     """The ``count`` best sets of walls to cross, as ranks of the 2 * hashes walls by distance.
 
@@ -149,11 +157,12 @@ def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> Dat
             near = x[start : start + block] @ base.T
             mine = rid[start : start + block]
             near[mine[:, None] == base_rid[None, :]] = -2
-            if len(base) > keep:
-                floor = -np.partition(-near, keep - 1, axis=1)[:, keep - 1 : keep]
-                q, b = np.nonzero(near >= np.maximum(floor, least))
-            else:
-                q, b = np.nonzero(near >= least)
+            good = near >= np.float32(least)
+            many = np.flatnonzero(good.sum(axis=1) > keep)
+            if len(many):
+                floor = np.partition(near[many], -keep, axis=1)[:, -keep:].min(axis=1, keepdims=True)
+                good[many] &= near[many] >= floor
+            q, b = np.nonzero(good)
             yield mine[q], base_rid[b]
 
     def buckets_of(cells: np.ndarray, rid: np.ndarray, home: np.ndarray, x: np.ndarray, ends: bool) -> tuple[list, int]:
@@ -246,6 +255,7 @@ def nearest_neighbours(
     """
     spark = df.sparkSession
     vectors, members = _unique_vectors(df, key, vector, dim)
+    how = how.at_size(vectors.count())
     tables = spark.sparkContext.broadcast(_Tables(how, dim))
     visits = _parted(_visits(vectors, tables, dim), _residents(vectors, tables, dim), how)
     grouped = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "rid", "home", "packed")
