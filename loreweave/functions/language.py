@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code-point ranges of each script and the language it stands for, first match wins.
@@ -65,44 +65,56 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit(script_class(name))) for name in SCRIPTS}
 
 
-def detect_language(text: str | Column) -> Column:
-    """English name of the language; English if nothing else shows, null for null.
-
-    Japanese letters beside ideographs mean Japanese; else the script with most
-    code points, at least two, decides (the earlier listed one of a tie); then the
-    rules for Latin letters are tried in order.
-    """
-    text = F.col(text) if isinstance(text, str) else text
-    counts = script_counts(text)
-    most = F.greatest(*counts.values())
+def _latin(text: Column) -> Column:
     lower = F.lower(text)
     value = F.lit("English")
     for name, letters, words in reversed(LATIN):
-        rule = F.lit(True)
-        if letters:
-            rule = rule & lower.rlike(f"[{letters}]")
-        if words:
-            rule = rule & lower.rlike(word_pattern(words))
+        patterns = [p for p in (f"[{letters}]" if letters else "", word_pattern(words) if words else "") if p]
+        rule = lower.rlike(patterns[0])
+        for p in patterns[1:]:
+            rule = rule & lower.rlike(p)
         value = F.when(rule, F.lit(name)).otherwise(value)
+    return value
+
+
+def _arabic_or_persian(text: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    words_of = lambda words: sum((F.contains(spaced, F.lit(f" {w} ")).cast("int") * 2 for w in words.split("|")), F.lit(0))
+
+    def words_of(words: str) -> Column:
+        found = F.filter(F.array(*[F.lit(f" {w} ") for w in words.split("|")]), lambda w: F.contains(spaced, w))
+        return 2 * F.size(found)
+
     persian = 3 * F.regexp_count(text, F.lit(f"[{PERSIAN[0]}]")) + F.regexp_count(text, F.lit(f"[{PERSIAN[1]}]")) + words_of(PERSIAN[2])
     arabic = F.regexp_count(text, F.lit(f"[{ARABIC[0]}]")) + words_of(ARABIC[1])
-    for name in reversed(SCRIPTS):
-        found = F.when((persian >= 3) & (persian > arabic), F.lit("Persian")).otherwise(F.lit("Arabic")) if name == "Arabic" else F.lit(name)
-        value = F.when((most >= 2) & (counts[name] == most), found).otherwise(value)
-    value = F.when((counts["Japanese"] > 0) & (counts["Chinese"] > 0), F.lit("Japanese")).otherwise(value)
-    # Plain ASCII texts, most of all, skip the counting.
-    return F.when(text.isNull(), F.lit(None)).otherwise(value)
+    return F.when((persian >= 3) & (persian > arabic), F.lit("Persian")).otherwise(F.lit("Arabic"))
+
+
+def with_language(df: DataFrame, text: str, into: str = "language") -> DataFrame:
+    """``df`` with the English name of each text's language; English if nothing else shows, null for null.
+
+    Japanese letters beside ideographs mean Japanese; else the script with most
+    code points, at least two, decides (the earlier listed one of a tie); then the
+    rules for Latin letters are tried in order. A text of ASCII characters only
+    skips the counting.
+    """
+    names = F.array(*[F.lit(n) for n in SCRIPTS])
+    none = F.array(*[F.lit(0)] * len(SCRIPTS))
+    # Counted once, in a column of its own, rather than inlined wherever a count is used.
+    counts = F.when(F.col(text).rlike(r"[^\x00-\x7F]"), F.array(*script_counts(F.col(text)).values())).otherwise(none)
+    counted = df.withColumn("_counts", counts).withColumn("_most", F.array_max("_counts"))
+    script = F.when(F.col("_most") >= 2, F.element_at(names, F.array_position("_counts", F.col("_most")).cast("int")))
+    at = {n: i for i, n in enumerate(SCRIPTS)}
+    both = (F.col("_counts")[at["Japanese"]] > 0) & (F.col("_counts")[at["Chinese"]] > 0)
+    counted = counted.withColumn("_script", F.when(both, F.lit("Japanese")).otherwise(script))
+    value = F.when(F.col("_script") == "Arabic", _arabic_or_persian(F.col(text))).otherwise(F.coalesce("_script", _latin(F.col(text))))
+    return counted.withColumn(into, F.when(F.col(text).isNotNull(), value)).drop("_counts", "_most", "_script")
 
 
 #: Families of languages that a guard takes for each other.
 FAMILIES = {"Chinese": "cjk", "Japanese": "cjk", "Korean": "cjk", "Russian": "cyrillic", "Arabic": "arabic", "Persian": "arabic", "Hebrew": "hebrew", "Hindi": "indic", "Thai": "thai", "Greek": "greek"}
 
 
-def language_matches(text: Column, target: str) -> Column:
-    """Whether a text fits a target language's family; texts under 20 characters pass."""
-    family = F.lit("latin")
-    for name, kind in FAMILIES.items():
-        family = F.when(detect_language(text) == name, F.lit(kind)).otherwise(family)
-    return (F.length(text) < 20) | (family == FAMILIES.get(target, "latin"))
+def language_matches(text: Column, language: Column, target: str) -> Column:
+    """Whether a text in a language fits a target language's family; texts under 20 characters pass."""
+    family = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
+    return (F.length(text) < 20) | (F.coalesce(F.try_element_at(family, language), F.lit("latin")) == FAMILIES.get(target, "latin"))

@@ -156,8 +156,9 @@ def valid_page_id(page_id: str | Column) -> Column:
 
 
 def hostname(url: str | Column) -> Column:
-    """Host of an address without ``www.``; null if it has none."""
-    return F.regexp_replace(F.try_parse_url(_col(url), F.lit("HOST")), r"^www\.", "")
+    """Host of an address without ``www.``, user and port; null if it has none. Hosts may hold any letters."""
+    host = F.regexp_extract(F.lower(_col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
 def glob_match(path: Column, pattern: str) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.plans import graph, search, snapshots
+from loreweave.plans import graph, search, snapshots, text
 
-_MODULES = (search, graph, snapshots)
+_MODULES = (search, graph, text, snapshots)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
