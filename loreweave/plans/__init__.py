@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.plans import graph, maintain, search, snapshots, text
+from loreweave.plans import graph, maintain, search, snapshots, streams, text
 
-_MODULES = (search, graph, text, maintain, snapshots)
+_MODULES = (search, graph, text, maintain, snapshots, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
