@@ -138,10 +138,10 @@ def structural(node_id: Column) -> Column:
     return F.lower(node_id).isin(*STRUCTURAL)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, levels: int = 2) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int = 3) -> DataFrame:
     """Weighted modularity communities by deterministic local moving: id, community (its smallest member's id).
 
-    ``edges`` has a, b, weight. In each round the nodes of one hash half move to the neighbouring
+    ``edges`` has a, b, weight. In each round a hash half of the nodes moves to the neighbouring
     community with the greatest gain in modularity, if any; ties go to the smaller name. Then
     communities become nodes and the rounds are repeated. Every round is a join of the edges with
     the labels and two aggregations, written to the shared folder.
@@ -156,7 +156,6 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, levels: int
             break
         strength = materialize(arcs.groupBy("x").agg(F.sum("w").alias("k")), "strength")
         label = materialize(strength.select("x", F.col("x").alias("c")), "labels")
-        still = 0
         for turn in range(rounds):
             mass = strength.join(label, "x").groupBy("c").agg(F.sum("k").alias("m"))
             to = arcs.where("x <> y").join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
@@ -166,11 +165,11 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, levels: int
             rest = F.col("m") - F.when(F.col("c") == F.col("was"), F.col("k")).otherwise(F.lit(0.0))
             gain = F.round(F.col("w") - F.col("k") * rest / F.lit(float(total)), 9)
             best = choice.groupBy("x", "was").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("was")).cast("int"), -F.xxhash64("c"))).alias("c"))
-            moves = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(2)) == turn % 2
-            moved = materialize(best.select("x", F.when(moves, F.col("c")).otherwise(F.col("was")).alias("c"), (moves & (F.col("c") != F.col("was"))).alias("new")), "labels")
+            # Another half each round, so that two neighbours don't change places for ever.
+            moves = F.pmod(F.xxhash64("x", F.lit(level), F.lit(turn)), F.lit(2)) == 0
+            moved = materialize(best.select("x", F.when(moves, F.col("c")).otherwise(F.col("was")).alias("c"), (F.col("c") != F.col("was")).alias("wants")), "labels")
             label = moved.select("x", "c")
-            still = 0 if moved.where("new").limit(1).count() else still + 1
-            if still == 2:
+            if not moved.where("wants").limit(1).count():
                 break
         member = materialize(member.join(label.withColumnRenamed("x", "node"), "node", "left").select("id", F.coalesce("c", "node").alias("node")), "members")
         arcs = materialize(arcs.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), "arcs")

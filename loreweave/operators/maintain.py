@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +146,6 @@ def embed_chunks(chunks: DataFrame, text: str, embed: Callable[[list[str]], list
 
     The function runs in the tasks; a text for which it gives None has a null embedding.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         found: list = []
