@@ -132,7 +132,7 @@ def visual_forms(df: DataFrame, key: str, text: str) -> DataFrame:
     table = forms.composition(spark)
     built = built.join(F.broadcast(table), "apart", "left")
     first = F.broadcast(table.select(F.col("apart").alias("two"), F.col("whole").alias("start")))
-    built = built.withColumn("two", F.when(F.col("whole").isNull() & (F.length("apart") > 2) & (F.length("apart") < 20), F.substring("apart", 1, 2))).join(first, "two", "left")
+    built = built.withColumn("two", F.when(F.col("whole").isNull() & (F.length("apart") > 2), F.substring("apart", 1, 2))).join(first, "two", "left")
     shown = F.coalesce("whole", F.concat("start", F.substring("apart", 3, 1 << 30)), "apart")
     joined = built.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", shown.alias("s")))), lambda x: x["s"]), "").alias("form"))
     return rows.join(joined, "key", "left").select(F.col("key").alias(key), F.col("text").alias(text), F.when(F.col("text").isNotNull(), F.coalesce("form", F.lit(""))).alias("form"))
