@@ -251,3 +251,28 @@ def test_ordinals_persist(spark):
     old, new = {r["k"]: r["ordinal"] for r in first.collect()}, {r["k"]: r["ordinal"] for r in more.collect()}
     assert len(old) == 3 and len(new) == 5 == len(set(new.values()))
     assert all(new[k] == v for k, v in old.items())
+
+
+# components
+
+
+def test_components_against_brute_force(spark):
+    from loreweave.operators.components import connected_components
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(200, 200 + i) for i in range(1, 30)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges + edges[:5], "a bigint, b bigint")).collect()}
+    assert found == {x: root(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
