@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.shingles import gram_sets, slices
+from loreweave.operators.components import connected_components
 from loreweave.storage import materialize
 
 _EPS = 1e-9
@@ -249,3 +250,18 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, shape: Shape = Shap
     same = same.where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     both = different.unionByName(same)
     return both.groupBy(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).agg(F.max("similarity").alias("similarity"))
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, shape: Shape = Shape()) -> DataFrame:
+    """Groups of versions: key, group (the least key of its component), for groups of two keys or more.
+
+    Texts are linked by the pairs of :func:`similar_classes`; copies of one text are
+    in one group without being paired. Cases and nulls as there.
+    """
+    pairs, members, texts = similar_classes(df, key, text, shape)
+    linked = connected_components(pairs.select("a", "b"))
+    single = _with_grams(texts.where("copies > 1"), shape).join(linked.select(F.col("id").alias("rid")), "rid", "left_anti")
+    placed = linked.select(F.col("id").alias("rid"), "component").unionByName(single.select("rid", F.col("rid").alias("component")))
+    keyed = members.join(placed, "rid").select("key", "component").distinct()
+    names = keyed.groupBy("component").agg(F.min("key").alias("group"), F.countDistinct("key").alias("n")).where("n > 1")
+    return keyed.join(names, "component").select("key", "group")

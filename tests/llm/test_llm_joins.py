@@ -77,6 +77,25 @@ def test_classes_keep_copies_together(spark):
     assert pairs.count() == 1 and members.count() == 51 and texts_.count() == 2
 
 
+def test_groups_are_components_of_the_pairs(spark):
+    rows = texts(5)
+    df = spark.createDataFrame(rows, "key string, text string")
+    shape = nd.Shape("word", 2, 0.7)
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute_texts(rows, lambda t: word_set(t, 2), 0.7):
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    found = {r["key"]: r["group"] for r in nd.near_duplicate_groups(df, "key", "text", shape).collect()}
+    assert found == {x: root(x) for x in parent}
+
+
 def test_gram_hashes_are_distinct():
     words = [f"{a}{b}" for a in "abcdefghij0123456789" for b in "klmnopqrst9876543210"]
     rows, grams = shingles.gram_sets(pa.array(words), "word", 1)
