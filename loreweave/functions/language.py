@@ -52,28 +52,30 @@ def word_pattern(words: str) -> str:
     A word that begins or ends with another letter needs an ASCII word character
     beside it there, as boundaries between ASCII classes have it.
     """
-    sides = []
+    inner, outer = "[A-Za-z0-9_]", "[^A-Za-z0-9_]"
+    groups: dict[tuple[bool, bool], list[str]] = {}
     for word in words.split("|"):
-        ascii_side = [c.isascii() for c in (word[0], word[-1])]
-        left = "(^|[^A-Za-z0-9_])" if ascii_side[0] else "[A-Za-z0-9_]"
-        right = "($|[^A-Za-z0-9_])" if ascii_side[1] else "[A-Za-z0-9_]"
-        sides.append(left + word + right)
-    return "|".join(sides)
+        groups.setdefault((word[0].isascii(), word[-1].isascii()), []).append(word)
+    # One group per kind of boundary: the boundary is tried once, then the words.
+    return "|".join(f"{f'(?:^|{outer})' if left else inner}(?:{'|'.join(group)}){f'(?:$|{outer})' if right else inner}" for (left, right), group in groups.items())
 
 
 def script_counts(text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit(script_class(name))) for name in SCRIPTS}
 
 
-def _latin(text: Column) -> Column:
+def _latin(text: Column, rare: Column, words_of: Column) -> Column:
+    """The first rule that holds; in lower case, ``rare`` are the text's characters beyond ASCII, where all the
+    rules' letters are, and ``words_of`` its runs of ASCII word characters."""
     lower = F.lower(text)
     value = F.lit("English")
     for name, letters, words in reversed(LATIN):
-        patterns = [p for p in (f"[{letters}]" if letters else "", word_pattern(words) if words else "") if p]
-        rule = lower.rlike(patterns[0])
-        for p in patterns[1:]:
-            rule = rule & lower.rlike(p)
-        value = F.when(rule, F.lit(name)).otherwise(value)
+        plain = [w for w in words.split("|") if w and w.isascii()]
+        other = [w for w in words.split("|") if w and not w.isascii()]
+        rule = F.arrays_overlap(words_of, F.array(*[F.lit(w) for w in plain])) if plain else F.lit(not words)
+        if other:
+            rule = rule | lower.rlike(word_pattern("|".join(other)))
+        value = F.when((rare.rlike(f"[{letters}]") & rule) if letters else rule, F.lit(name)).otherwise(value)
     return value
 
 
@@ -99,15 +101,17 @@ def with_language(df: DataFrame, text: str, into: str = "language") -> DataFrame
     """
     names = F.array(*[F.lit(n) for n in SCRIPTS])
     none = F.array(*[F.lit(0)] * len(SCRIPTS))
-    # Counted once, in a column of its own, rather than inlined wherever a count is used.
-    counts = F.when(F.col(text).rlike(r"[^\x00-\x7F]"), F.array(*script_counts(F.col(text)).values())).otherwise(none)
-    counted = df.withColumn("_counts", counts).withColumn("_most", F.array_max("_counts"))
+    # ASCII goes first, so that the classes are tried on few characters of most texts.
+    rare = df.withColumn("_rare", F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    counts = F.when(F.col("_rare") != "", F.array(*script_counts(F.col("_rare")).values())).otherwise(none)
+    counted = rare.withColumn("_counts", counts).withColumn("_most", F.array_max("_counts"))
     script = F.when(F.col("_most") >= 2, F.element_at(names, F.array_position("_counts", F.col("_most")).cast("int")))
     at = {n: i for i, n in enumerate(SCRIPTS)}
     both = (F.col("_counts")[at["Japanese"]] > 0) & (F.col("_counts")[at["Chinese"]] > 0)
     counted = counted.withColumn("_script", F.when(both, F.lit("Japanese")).otherwise(script))
-    value = F.when(F.col("_script") == "Arabic", _arabic_or_persian(F.col(text))).otherwise(F.coalesce("_script", _latin(F.col(text))))
-    return counted.withColumn(into, F.when(F.col(text).isNotNull(), value)).drop("_counts", "_most", "_script")
+    counted = counted.withColumn("_words", F.when(F.col("_script").isNull(), F.split(F.lower(text), "[^a-z0-9_]+")))
+    value = F.when(F.col("_script") == "Arabic", _arabic_or_persian(F.col(text))).otherwise(F.coalesce("_script", _latin(F.col(text), F.lower("_rare"), F.col("_words"))))
+    return counted.withColumn(into, F.when(F.col(text).isNotNull(), value)).drop("_rare", "_counts", "_most", "_script", "_words")
 
 
 #: Families of languages that a guard takes for each other.
