@@ -146,13 +146,14 @@ def _visits(vectors: DataFrame, tables, dim: int) -> DataFrame:
 
 
 def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> DataFrame:
-    """Best ``keep`` residents of each visitor within its bucket, by the rounded vectors."""
+    """Best ``keep`` residents of each row within its bucket, by the rounded vectors; residents come first in a bucket."""
     block = 2048
 
-    def meet(rid: np.ndarray, home: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def scaled(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        base, base_rid = x[home], rid[home]
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(rid: np.ndarray, x: np.ndarray, base_rid: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for start in range(0, len(x), block):
             near = x[start : start + block] @ base.T
             mine = rid[start : start + block]
@@ -165,15 +166,24 @@ def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> Dat
             q, b = np.nonzero(good)
             yield mine[q], base_rid[b]
 
-    def buckets_of(cells: np.ndarray, rid: np.ndarray, home: np.ndarray, x: np.ndarray, ends: bool) -> tuple[list, int]:
-        """Pairs of the whole buckets in these rows, and where the last, perhaps unfinished, one starts."""
-        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1))))
-        size = np.diff(np.append(first, len(cells)))
-        live = (size > 1) & (np.add.reduceat(home.astype(np.int64), first) > 0)
-        if not ends:
-            live[-1] = False
-        found = [pair for start, n in zip(first[live], size[live]) for pair in meet(rid[start : start + n], home[start : start + n], x[start : start + n])]
-        return found, len(cells) if ends else int(first[-1])
+    class Open:
+        """A bucket whose rows go on in the next batch: its residents, who come first, are held; visitors pass through."""
+
+        def __init__(self, cell: np.ndarray) -> None:
+            self.cell, self.rid, self.x, self.met = cell, [], [], False
+
+        def add(self, rid: np.ndarray, home: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if home.any():
+                self.rid.append(rid[home])
+                self.x.append(scaled(x[home]))
+            if not home.all() and self.rid:
+                yield from self.close()
+                yield from meet(rid[~home], scaled(x[~home]), self.rid[0], self.x[0])
+
+        def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if self.rid and not self.met:
+                self.rid, self.x, self.met = [np.concatenate(self.rid)], [np.concatenate(self.x)], True
+                yield from meet(self.rid[0], self.x[0], self.rid[0], self.x[0])
 
     def out(found: list) -> Iterator[pa.RecordBatch]:
         if found:
@@ -181,7 +191,7 @@ def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> Dat
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,17 +199,26 @@ def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> Dat
             packed = batch.column("packed").cast(pa.large_binary())
             start = np.frombuffer(packed.buffers()[1], dtype=np.int64)[packed.offset]
             x = np.frombuffer(packed.buffers()[2], dtype=np.int8)[start : start + batch.num_rows * dim].reshape(-1, dim)
-            rows = [cells, batch.column("rid").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), x]
-            if held and (cells[-1] == held[-1][0][-1]).all():
-                held.append(rows)  # a long bucket: its rows are put together once, at its end
-                continue
-            rows = [np.concatenate(parts) for parts in zip(*held, rows)]
-            found, start = buckets_of(*rows, ends=False)
-            yield from out(found)
-            held = [[part[start:] for part in rows]]
-        if held:
-            found, _ = buckets_of(*[np.concatenate(parts) for parts in zip(*held)], ends=True)
+            rid, home = batch.column("rid").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1))))
+            ends = np.append(first[1:], len(cells))
+            live = (ends - first > 1) & (np.add.reduceat(home.astype(np.int64), first) > 0)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            if held is not None and (held.cell == cells[0]).all():
+                found.extend(held.add(rid[: ends[0]], home[: ends[0]], x[: ends[0]]))
+                live[0] = False
+            if held is not None and (len(first) > 1 or not (held.cell == cells[0]).all()):
+                found.extend(held.close())
+                held = None
+            if held is None:  # the last bucket may go on
+                held, live[-1] = Open(cells[-1]), False
+                found.extend(held.add(rid[first[-1] :], home[first[-1] :], x[first[-1] :]))
+            for a, b in zip(first[live], ends[live]):
+                all_x, mine = scaled(x[a:b]), home[a:b]
+                found.extend(meet(rid[a:b], all_x, rid[a:b][mine], all_x[mine]))
             yield from out(found)
+        if held is not None:
+            yield from out(list(held.close()))
 
     return sorted_visits.mapInArrow(emit, "a bigint, b bigint")
 
@@ -258,7 +277,7 @@ def nearest_neighbours(
     how = how.at_size(vectors.count())
     tables = spark.sparkContext.broadcast(_Tables(how, dim))
     visits = _parted(_visits(vectors, tables, dim), _residents(vectors, tables, dim), how)
-    grouped = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "rid", "home", "packed")
+    grouped = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("home")).select("bucket", "part", "rid", "home", "packed")
     least = min_similarity - SLACK
     pairs = materialize(_matches(grouped, dim, k + 2, least).distinct(), "pairs")
     near = _exact(pairs, vectors, dim).where(F.col("cosine") >= min_similarity)

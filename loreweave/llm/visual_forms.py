@@ -141,18 +141,23 @@ def visual_forms(df: DataFrame, key: str, text: str) -> DataFrame:
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of keys whose texts differ but look the same: key_a < key_b.
 
-    Texts without a visible character are in no pair. Equal texts are grouped
-    first, so a text with many copies meets each other text once.
+    Texts without a visible character are in no pair. Null keys take no part;
+    the rows of an empty table give none.
     """
     formed = visual_forms(df, key, text).where(F.col("form").rlike(r"[^\s\p{Z}\p{C}]"))
     rows = formed.select(
         F.col(key).alias("key"), F.xxhash64("form").alias("f0"), F.xxhash64(F.lit(7), "form").alias("f1"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(7), text).alias("t1")
     )
     rows = materialize(rows, "forms")
+    # Different texts of one form are paired first, then their keys: copies of one text never meet each other.
     texts = rows.select("f0", "f1", "t0", "t1").distinct()
     several = texts.groupBy("f0", "f1").agg(F.count("*").alias("n")).where("n > 1").select("f0", "f1")
-    kept = rows.join(several, ["f0", "f1"], "left_semi")
+    kept = texts.join(several, ["f0", "f1"], "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
     same = (F.col("a.f0") == F.col("b.f0")) & (F.col("a.f1") == F.col("b.f1"))
-    other = (F.col("a.t0") != F.col("b.t0")) | (F.col("a.t1") != F.col("b.t1"))
-    return a.join(b, same & other & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    smaller = (F.col("a.t0") < F.col("b.t0")) | ((F.col("a.t0") == F.col("b.t0")) & (F.col("a.t1") < F.col("b.t1")))
+    pairs = a.join(b, same & smaller).select(F.col("a.t0").alias("a0"), F.col("a.t1").alias("a1"), F.col("b.t0").alias("b0"), F.col("b.t1").alias("b1"))
+    left = rows.select(F.col("t0").alias("a0"), F.col("t1").alias("a1"), F.col("key").alias("x"))
+    right = rows.select(F.col("t0").alias("b0"), F.col("t1").alias("b1"), F.col("key").alias("y"))
+    keys = pairs.join(left, ["a0", "a1"]).join(right, ["b0", "b1"])
+    return keys.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))

@@ -193,6 +193,12 @@ def test_hot_buckets_are_split_without_loss(spark):
     assert found == {(r["key"], r["neighbour"], r["rank"]) for r in vn.nearest_neighbours(df, "key", "v", k=4, how=whole).collect()}
     assert len(found) == 180 * 4
     assert {(min(a, b), max(a, b)) for a, b, _ in found} == brute_vectors(vectors(2, 120), 4, -1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # buckets go on over many batches
+    try:
+        assert found == {(r["key"], r["neighbour"], r["rank"]) for r in vn.nearest_neighbours(df, "key", "v", k=4, how=whole).collect()}
+        assert found == {(r["key"], r["neighbour"], r["rank"]) for r in vn.nearest_neighbours(df, "key", "v", k=4, how=how).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_copies_are_neighbours(spark):
