@@ -114,7 +114,7 @@ def image_urls(text: str | Column) -> Column:
 
 def headings(text: str | Column) -> Column:
     """Heading lines of all six levels, as written."""
-    return F.regexp_extract_all(_col(text), F.lit(r"(?m)^(#{1,6} [^\r\n]+)"), F.lit(1))
+    return F.regexp_extract_all(_col(text), F.lit(r"(?md)^(#{1,6} [^\r\n]+)"), F.lit(1))
 
 
 _FRONT = r"^---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|$)"
@@ -131,15 +131,15 @@ def strip_frontmatter(text: str | Column) -> Column:
 
 def scalar_field(front: Column, name: str) -> Column:
     """Value of a one-line field without its quotes; null if missing or empty."""
-    value = F.trim(F.regexp_extract(front, f"(?m)^{name}:[ \\t]*([^\\r\\n]*)", 1))
+    value = F.trim(F.regexp_extract(front, f"(?md)^{name}:[ \\t]*([^\\r\\n]*)", 1))
     return F.nullif(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit(""))
 
 
 def list_field(front: Column, name: str) -> Column:
     """Members of a field in brackets, or of the dashed lines below it; empty if missing."""
-    inline = F.regexp_extract(front, f"(?m)^{name}:[ \\t]*\\[([^\\]]*)\\]", 1)
-    block = F.regexp_extract(front, f"(?m)^{name}:[ \\t]*\\r?\\n((?:[ \\t]*-[ \\t]+[^\\n]*\\n?)+)", 1)
-    dashed = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+([^\r\n]+)"), F.lit(1))
+    inline = F.regexp_extract(front, f"(?md)^{name}:[ \\t]*\\[([^\\]]*)\\]", 1)
+    block = F.regexp_extract(front, f"(?md)^{name}:[ \\t]*\\r?\\n((?:[ \\t]*-[ \\t]+[^\\n]*\\n?)+)", 1)
+    dashed = F.regexp_extract_all(block, F.lit(r"(?md)^[ \t]*-[ \t]+([^\r\n]+)"), F.lit(1))
     members = F.when(block != "", dashed).otherwise(F.split(inline, ","))
     return F.filter(F.transform(members, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
 

@@ -150,7 +150,7 @@ def queue_summary(spark, sf_dir) -> DataFrame:
 
 
 def chat_last_messages(spark, sf_dir) -> DataFrame:
-    lines = F.regexp_extract_all("text", F.lit(r"(?m)^((?:user|assistant): [^\r\n]*)"), F.lit(1))
+    lines = F.regexp_extract_all("text", F.lit(r"(?md)^((?:user|assistant): [^\r\n]*)"), F.lit(1))
     turns = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conversation"), F.posexplode(lines).alias("turn", "line"))
     split = turns.select("conversation", "turn", F.regexp_extract("line", "^([a-z]+): ", 1).alias("role"), F.regexp_replace("line", "^[a-z]+: ", "").alias("content"))
     return op.last_messages(split, 4)

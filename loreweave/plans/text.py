@@ -108,7 +108,7 @@ def language_guard(spark, sf_dir) -> DataFrame:
 
 def greetings(spark, sf_dir) -> DataFrame:
     """Chat turns that only greet, per document."""
-    turns = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^user: ([^\r\n]*)"), F.lit(1))).alias("turn"))
+    turns = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?md)^user: ([^\r\n]*)"), F.lit(1))).alias("turn"))
     return turns.groupBy("doc_id").agg(F.count("*").alias("turns"), F.sum(fn.is_greeting("turn").cast("int")).alias("greetings"))
 
 
