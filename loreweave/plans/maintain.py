@@ -12,10 +12,6 @@ from loreweave.plans.snapshots import P4_FOUND, p4_found
 from loreweave.plans.text import _KEY
 from loreweave.storage import table
 
-#: What counts as deleted in these queries: names whose digest leaves no remainder; a fifth or a tenth of them.
-_FIFTH = "pmod(cast(conv(substring(md5({}), 1, 6), 16, 10) as bigint), 5) = 0"
-_FIFTH_SQL = "('0x' || substr(md5({}), 1, 6))::BIGINT % 5 = 0"
-LATE = "2025-01-01"
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -40,7 +36,7 @@ def list_union(spark, sf_dir) -> DataFrame:
 
 def page_fate(spark, sf_dir) -> DataFrame:
     n = nodes(spark, sf_dir).select("id", "sources")
-    gone = n.select(F.explode("sources").alias("source")).where(_FIFTH.format("lower(source)")).distinct()
+    gone = n.select(F.explode("sources").alias("source")).where("lower(source) like '%/shared/%'").distinct()
     return op.page_fates(n, gone).select("id", "action", F.array_join("kept", "|").alias("kept"))
 
 
@@ -64,10 +60,12 @@ def sweep_rules(spark, sf_dir) -> DataFrame:
 
 
 def strip_links(spark, sf_dir) -> DataFrame:
-    """Bodies without their links to deleted pages."""
+    """Bodies without their links to pages that aren't there, by id or title."""
     bodies = table(spark, sf_dir, "page_bodies").select("item_id", "text").where("text is not null").distinct()
     links = bodies.select("item_id", F.explode(fn.wikilinks("text")).alias("target")).select("item_id", fn.ref_key("target").alias("key")).distinct()
-    gone = links.where(_FIFTH.format("key")).groupBy("item_id").agg(F.collect_set("key").alias("gone"))
+    pages = _pages(spark, sf_dir)
+    known = pages.select(fn.ref_key("id").alias("key")).unionByName(pages.select(fn.ref_key("title").alias("key"))).where("key is not null").distinct()
+    gone = links.join(known, "key", "left_anti").groupBy("item_id").agg(F.collect_set("key").alias("gone"))
     stripped = bodies.join(gone, "item_id")
     return stripped.select("item_id", F.size("gone").alias("dead"), F.length(fn.without_links(F.col("text"), F.col("gone"))).alias("chars"))
 
@@ -123,7 +121,7 @@ def chunk_counts(spark, sf_dir) -> DataFrame:
 
 def chunk_deletes(spark, sf_dir) -> DataFrame:
     chunks = table(spark, sf_dir, "wiki_chunks").select("chunk_id", "page_id").distinct()
-    gone = chunks.where(_FIFTH.format("page_id")).select("page_id")
+    gone = table(spark, sf_dir, "wiki_pages").where("lower(trim(page_type)) = 'query'").select("page_id")
     return op.delete_pages(chunks, gone)
 
 
@@ -195,7 +193,7 @@ SQL = {
 b AS (SELECT page_id, x, min(i) AS i FROM (SELECT page_id, lower(unnest(m)) AS x, generate_subscripts(m, 1) AS i FROM a) GROUP BY ALL)
 SELECT a.page_id, coalesce(string_agg(a.m[b.i], '|' ORDER BY b.i), '') AS members FROM a LEFT JOIN b USING (page_id) GROUP BY a.page_id, a.m""",
     "page_fate": f"""WITH {_NODES}, s AS (SELECT id, unnest(sources) AS source, generate_subscripts(sources, 1) AS i FROM n),
-k AS (SELECT id, source, i, lower({_REF.format('source')}) AS key FROM s), g AS (SELECT DISTINCT key FROM k WHERE source IS NOT NULL AND {_FIFTH_SQL.format('lower(source)')}),
+k AS (SELECT id, source, i, lower({_REF.format('source')}) AS key FROM s), g AS (SELECT DISTINCT key FROM k WHERE source IS NOT NULL AND lower(source) LIKE '%/shared/%'),
 j AS (SELECT k.*, g.key IS NOT NULL AS dead FROM k LEFT JOIN g USING (key)),
 f AS (SELECT n.id, coalesce(bool_or(dead), false) AS hit, coalesce(string_agg(source, '|' ORDER BY i) FILTER (NOT dead AND source IS NOT NULL), '') AS kept FROM n LEFT JOIN j USING (id) GROUP BY n.id)
 SELECT id, CASE WHEN NOT hit THEN 'skip' WHEN kept <> '' THEN 'keep' ELSE 'delete' END AS action, kept FROM f""",
@@ -213,7 +211,7 @@ SELECT id, CASE kind WHEN 'duplicate' THEN 'page is gone' ELSE 'page exists' END
 l AS (SELECT item_id, unnest(regexp_extract_all(text, '(\[\[[^\]|]+(?:\|[^\]]*)?\]\])', 1)) AS link FROM b),
 k AS (SELECT item_id, link, regexp_extract(link, '{_LINK}', 1) AS target, regexp_extract(link, '\|([^\]]*)\]\]$', 1) AS alias FROM l),
 d AS (SELECT item_id, {_KEY.format('target')} AS key, length(link) - length(CASE WHEN alias <> '' THEN alias ELSE target END) AS less FROM k),
-g AS (SELECT item_id, count(DISTINCT key) AS dead, sum(less) AS less FROM d WHERE {_FIFTH_SQL.format('key')} GROUP BY item_id)
+g AS (SELECT item_id, count(DISTINCT key) AS dead, sum(less) AS less FROM d WHERE key NOT IN (SELECT {_KEY.format('page_id')} FROM wiki_pages UNION ALL SELECT {_KEY.format('title')} FROM wiki_pages WHERE title IS NOT NULL) GROUP BY item_id)
 SELECT item_id, dead::INT AS dead, (length(text) - less)::INT AS chars FROM b JOIN g USING (item_id)""",
     "ingest_cache_misses": f"""WITH {_LISTING}, j AS (SELECT a.project_id, a.path, a.hash, b.hash AS old, b.path IS NOT NULL AS known FROM (SELECT * FROM li WHERE no = 6) a LEFT JOIN (SELECT * FROM li WHERE no = 1) b USING (project_id, path))
 SELECT project_id, path, CASE WHEN NOT known THEN 'new' WHEN hash IS NULL OR old IS NULL THEN 'no hash' ELSE 'changed' END AS reason FROM j WHERE NOT known OR hash IS NULL OR old IS NULL OR hash <> old""",
@@ -225,7 +223,7 @@ SELECT project_id, path, list_reduce(list(kind ORDER BY n), lambda a, b: CASE WH
 u AS (SELECT * FROM c WHERE ingested_at <= {_MIDDLE} AND page_id NOT IN (SELECT page_id FROM late) UNION ALL SELECT * FROM late)
 SELECT page_id, count(*) AS chunks, max(ingested_at) AS latest FROM u GROUP BY page_id""",
     "chunk_counts": "SELECT page_id, count(DISTINCT chunk_id) AS chunks FROM wiki_chunks GROUP BY page_id",
-    "chunk_deletes": f"SELECT DISTINCT chunk_id, page_id FROM wiki_chunks WHERE NOT ({_FIFTH_SQL.format('page_id')})",
+    "chunk_deletes": "SELECT DISTINCT chunk_id, page_id FROM wiki_chunks WHERE page_id NOT IN (SELECT page_id FROM wiki_pages WHERE lower(trim(page_type, ' ')) = 'query')",
     "wrong_dimensions": "SELECT DISTINCT chunk_id, coalesce(len(embedding), 0)::INT AS length FROM wiki_chunks WHERE coalesce(len(embedding), 0) <> (SELECT len(embedding) FROM wiki_chunks WHERE embedding IS NOT NULL ORDER BY chunk_id LIMIT 1)",
     "embedding_texts": "SELECT DISTINCT chunk_id, md5(concat_ws(chr(10) || chr(10), nullif(trim(t.title, ' '), ''), nullif(trim(heading_path, ' '), ''), nullif(trim(chunk_text, ' '), ''))) AS hash FROM wiki_chunks LEFT JOIN (SELECT page_id, max(title) AS title FROM wiki_pages GROUP BY page_id) t USING (page_id)",
     "clip_union": "SELECT url, arg_min(doc_id, (received_at, doc_id)) AS doc_id, count(*) AS n FROM (SELECT doc_id, received_at, regexp_extract(text, '(https?://[^\\s]+)', 1) AS url FROM documents) WHERE url <> '' GROUP BY url",

@@ -11,6 +11,7 @@ from loreweave.storage import table
 
 QUERY = "Sparse index of the shared heading?"
 PHRASE = "shared index"
+RARE_QUERY = "kiln sextants"
 TOKENS = query_tokens(QUERY)
 
 _TITLE = r"^---\r?\n(?:[^\n]*\n)*?title:[ \t]*\"?([^\"\r\n]*)"
@@ -32,8 +33,8 @@ p AS (
   FROM documents)"""
 
 
-def _contains_sql(column: str) -> str:
-    return " + ".join(f"contains({column}, '{t}')::INT" for t in TOKENS)
+def _contains_sql(column: str, tokens: list[str] = TOKENS) -> str:
+    return " + ".join(f"contains({column}, '{t}')::INT" for t in tokens)
 
 
 _SCORED_SQL = f"""
@@ -102,16 +103,17 @@ def vector_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "wiki_chunks").distinct().select("chunk_id", chunk_snippet(F.col("chunk_text"), F.col("heading_path")).alias("snippet"))
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, sf_dir: str, query: str = QUERY) -> tuple[DataFrame, DataFrame]:
     titles = table(spark, sf_dir, "wiki_pages").select("page_id", "title").distinct()
-    keyword = op.page_token_hits(titles, table(spark, sf_dir, "wiki_chunks"), QUERY)
+    keyword = op.page_token_hits(titles, table(spark, sf_dir, "wiki_chunks"), query)
     return keyword, op.ranked(op.blended_pages(_near(spark, sf_dir)), "score", "page_id", 20)
 
 
-_LISTS_SQL = f"""
+def _lists_sql(tokens: list[str] = TOKENS) -> str:
+    return f"""
 WITH {_NEAR_SQL}, {_BLEND_SQL},
-c AS (SELECT page_id, {' + '.join(f"max(contains(lower(chunk_text), '{t}')::INT)" for t in TOKENS)} AS s FROM wiki_chunks GROUP BY page_id),
-t AS (SELECT page_id, max({_contains_sql("lower(coalesce(title, ''))")}) AS s FROM wiki_pages GROUP BY page_id),
+c AS (SELECT page_id, {' + '.join(f"max(contains(lower(chunk_text), '{t}')::INT)" for t in tokens)} AS s FROM wiki_chunks GROUP BY page_id),
+t AS (SELECT page_id, max({_contains_sql("lower(coalesce(title, ''))", tokens)}) AS s FROM wiki_pages GROUP BY page_id),
 k AS (SELECT page_id, (5 * coalesce(t.s, 0) + coalesce(c.s, 0))::DOUBLE AS score FROM t FULL JOIN c USING (page_id) WHERE 5 * coalesce(t.s, 0) + coalesce(c.s, 0) > 0),
 kr AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM k),
 vr AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id) AS r FROM b QUALIFY r <= 20)
@@ -124,7 +126,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyword, vector = _lists(spark, sf_dir)
+    keyword, vector = _lists(spark, sf_dir, RARE_QUERY)
     title = table(spark, sf_dir, "wiki_pages").groupBy("page_id").agg(F.max("title").alias("title"))
     return vector.join(keyword, "page_id", "left_anti").join(title, "page_id", "left").select("page_id", "title", F.col("rank").alias("vector_rank"))
 
@@ -145,8 +147,8 @@ SELECT key, CASE WHEN s > 1 THEN '...' ELSE '' END || replace(substr(t, s, e - s
 WITH a AS (SELECT DISTINCT * FROM wiki_chunks), b AS (
   SELECT chunk_id, replace(trim(chunk_text, ' '), chr(10), ' ') AS t, trim(coalesce(heading_path, ''), ' ') AS h FROM a)
 SELECT chunk_id, CASE WHEN coalesce(t, '') = '' THEN '' ELSE CASE WHEN h = '' THEN '' ELSE h || ': ' END || CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '...' ELSE t END END AS snippet FROM b""",
-    "hybrid_rrf": _LISTS_SQL + """
+    "hybrid_rrf": _lists_sql() + """
 SELECT page_id, round(coalesce(1.0 / (60 + kr.r), 0) + coalesce(1.0 / (60 + vr.r), 0), 9)::DOUBLE AS score, coalesce(kr.r, 0)::INT AS keyword_rank, coalesce(vr.r, 0)::INT AS vector_rank
 FROM kr FULL JOIN vr USING (page_id) ORDER BY coalesce(1.0 / (60 + kr.r), 0) + coalesce(1.0 / (60 + vr.r), 0) DESC, page_id LIMIT 20""",
-    "vector_only": _LISTS_SQL + "SELECT page_id, (SELECT max(title) FROM wiki_pages w WHERE w.page_id = vr.page_id) AS title, r::INT AS vector_rank FROM vr WHERE page_id NOT IN (SELECT page_id FROM kr)",
+    "vector_only": _lists_sql(query_tokens(RARE_QUERY)) + "SELECT page_id, (SELECT max(title) FROM wiki_pages w WHERE w.page_id = vr.page_id) AS title, r::INT AS vector_rank FROM vr WHERE page_id NOT IN (SELECT page_id FROM kr)",
 }

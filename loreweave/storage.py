@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_SETTING, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError(f"{_SETTING} must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="loreweave-")
     spark.conf.set(_SETTING, made)
