@@ -9,9 +9,10 @@ For a pair within ``eps = 1 - threshold`` let x be the one with the smaller
 A distance of 1 means no common value, so distances below 1 come from an
 equi-join on values with the few pivots, never from comparing all with all. That
 suffices while ``h(x) < 1 - eps``: then y's distance to that pivot is below 1.
-Records farther than that from every record pivot are only ever the x of pairs
-whose other record is as far, so they are joined among themselves in a second
-round with pivots that suit sparse regions: the one-value sets. In it, a record
+Cells take the records within a radius ``near`` of at most that. Records farther
+from every record pivot are only ever the x of pairs whose other record is as
+far, so they are joined among themselves in a second round with pivots that suit
+sparse regions: the one-value sets. In it, a record
 has distance ``1 - 1/size`` to each of its values' pivots and 1 to all others;
 of the equally near ones the rarest value's is its home, and y visits the pivots
 of its values that can be the rarest of a partner: its ``size - ceil(t * size)
@@ -36,9 +37,14 @@ _EPS = 1e-9
 
 @dataclass(frozen=True)
 class Pivots:
-    """Twice the root of a group's sets as pivots, at most ``count`` (the broadcast bound) of at most ``values`` values."""
+    """Twice the root of a group's sets as pivots, at most ``count`` (the broadcast bound) of at most ``values`` values.
+
+    Records within ``near`` of a pivot are at home in its cell; a smaller radius means fewer visits of a cell
+    and more records in the second round, for the same pairs. It is at most the threshold.
+    """
 
     count: int = 2048
+    near: float = 0.5
     values: int = 64
     threshold: float = 0.7
     min_size: int = 4
@@ -122,10 +128,10 @@ def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float
     return tested.where(F.col("similarity") >= F.lit(threshold - _EPS))
 
 
-def _dense_pairs(sets: DataFrame, distances: DataFrame, homes: DataFrame, threshold: float) -> DataFrame:
-    """First round: cells of record pivots."""
+def _dense_pairs(sets: DataFrame, distances: DataFrame, homes: DataFrame, threshold: float, reach: float) -> DataFrame:
+    """First round: cells of record pivots, for homes nearer than ``reach``."""
     eps = 1 - threshold
-    near = homes.where(F.col("h") < F.lit(threshold - _EPS))
+    near = homes.where(F.col("h") < F.lit(reach))
     radius = near.groupBy("cell").agg(F.max("h").alias("radius"))
     home = near.select("rid", "cell", "h", F.col("h").alias("at"))
     visit = distances.select("rid", F.col("pivot").alias("cell"), F.col("distance").alias("at")).join(radius, "cell").join(homes.select("rid", "h"), "rid")
@@ -162,8 +168,9 @@ def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, Data
     distances = materialize(_distances(sets, pivots), "distances")
     nearest = distances.groupBy("rid").agg(F.min(F.struct("distance", "pivot")).alias("m")).select("rid", F.col("m.distance").alias("h"), F.col("m.pivot").alias("cell"))
     homes = materialize(sets.select("rid").join(nearest, "rid", "left").select("rid", F.coalesce("h", F.lit(1.0)).alias("h"), "cell"), "homes")
-    far = homes.where(F.col("h") >= F.lit(how.threshold - _EPS))
-    pairs = _dense_pairs(sets, distances, homes, how.threshold).unionByName(_sparse_pairs(sets, far, how.threshold))
+    reach = min(how.near, how.threshold - _EPS)
+    far = homes.where(F.col("h") >= F.lit(reach))
+    pairs = _dense_pairs(sets, distances, homes, how.threshold, reach).unionByName(_sparse_pairs(sets, far, how.threshold))
     return materialize(pairs.distinct(), "pairs"), members
 
 
