@@ -96,12 +96,16 @@ def _pick_pivots(sets: DataFrame, how: Pivots) -> DataFrame:
     return fit.select(F.col("rid").alias("pivot"), "grp", F.col("size").alias("pivot_size"), "values")
 
 
-def _distances(sets: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Distances below 1 between sets and pivots: rid, size, pivot, distance."""
+def _distances(sets: DataFrame, pivots: DataFrame, most: float) -> DataFrame:
+    """Distances up to ``most``, which is below 1, between sets and pivots: rid, size, pivot, distance.
+
+    The sets are shuffled by rid before their values are unnested, so the counts need no shuffle of their own.
+    """
     listed = pivots.select("grp", "pivot", "pivot_size", F.explode("values").alias("value"))
-    valued = sets.select("rid", "grp", "size", F.explode("values").alias("value"))
+    valued = sets.select("rid", "grp", "size", "values").repartition("rid").select("rid", "grp", "size", F.explode("values").alias("value"))
     shared = valued.join(F.broadcast(listed), ["grp", "value"]).groupBy("rid", "size", "pivot", "pivot_size").agg(F.count("*").alias("both"))
-    return shared.select("rid", "size", "pivot", (1 - F.col("both") / (F.col("size") + F.col("pivot_size") - F.col("both"))).alias("distance"))
+    found = shared.select("rid", "size", "pivot", (1 - F.col("both") / (F.col("size") + F.col("pivot_size") - F.col("both"))).alias("distance"))
+    return found.where(F.col("distance") <= F.lit(most))
 
 
 def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -165,10 +169,11 @@ def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, Data
     """
     sets, members = _classes(df, how.min_size)
     pivots = _pick_pivots(sets, how)
-    distances = materialize(_distances(sets, pivots), "distances")
+    reach = min(how.near, how.threshold - _EPS)
+    # A visit is at most this far; a record without a pivot so near counts as at distance 1 from its home, as any beyond reach may.
+    distances = materialize(_distances(sets, pivots, reach + 1 - how.threshold + _EPS), "distances")
     nearest = distances.groupBy("rid").agg(F.min(F.struct("distance", "pivot")).alias("m")).select("rid", F.col("m.distance").alias("h"), F.col("m.pivot").alias("cell"))
     homes = materialize(sets.select("rid").join(nearest, "rid", "left").select("rid", F.coalesce("h", F.lit(1.0)).alias("h"), "cell"), "homes")
-    reach = min(how.near, how.threshold - _EPS)
     far = homes.where(F.col("h") >= F.lit(reach))
     pairs = _dense_pairs(sets, distances, homes, how.threshold, reach).unionByName(_sparse_pairs(sets, far, how.threshold))
     return materialize(pairs.distinct(), "pairs"), members
