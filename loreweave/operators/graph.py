@@ -24,6 +24,10 @@ AFFINITY = {
     "query": {"concept": 1.0, "entity": 0.8, "synthesis": 1.0, "source": 0.8, "query": 0.5},
     "synthesis": {"concept": 1.2, "entity": 1.0, "source": 1.0, "query": 1.0, "synthesis": 0.8},
 }
+#: Types that have affinities of their own; all others are one class after them.
+CLASSES = tuple(AFFINITY)
+#: Pairs that one task of an expansion makes, about.
+MEET_ROWS = 1_000_000
 #: Pages that hold a knowledge base together rather than knowledge.
 STRUCTURAL = ("index", "overview", "log", "schema", "purpose")
 #: Pairs of types that are far apart.
@@ -112,6 +116,55 @@ def related(scored: DataFrame, limit: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _meet(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """Joins asked (id, key, weight) with members (key, other): id, other, weight. A key of many pairs is cut into parts of about ``MEET_ROWS``."""
+    sizes = asked.groupBy("key").agg(F.count("*").alias("n")).join(members.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", (F.col("n") * F.col("m")).alias("work"))
+    sizes = materialize(sizes.select("key", "work", F.ceil(F.col("work") / MEET_ROWS).cast("int").alias("parts")), "sizes")
+    # A stated number, since the bytes that are read say nothing of the rows that come out.
+    tasks = min(10_000, (sizes.agg(F.sum("work")).first()[0] or 0) // MEET_ROWS + 1)
+    left = asked.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("key", "part", "id", "weight")
+    right = members.join(sizes, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", "other")
+    met = left.repartition(tasks, "key", "part").join(right.repartition(tasks, "key", "part"), ["key", "part"])
+    return met.where("id <> other").select("id", "other", "weight")
+
+
+def related_nodes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
+    """The most relevant of all other nodes, linked or not, for each query node: id, other, relevance, rank; ties by id.
+
+    Candidates are the others that are linked, share a source or have a common neighbour; the rest
+    have their affinity alone, so of each class of types only the first ``limit + 1`` by id can rank.
+    Work is the sum over the query nodes' neighbours and sources of how many nodes those have.
+    """
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("type")), F.lit(0)).cast("long")
+    # A node's number ascends with its id; its last three bits are its class, so no pair is joined with types.
+    numbered = nodes.select("id", "type").dropDuplicates(["id"]).orderBy("id").select("id", (F.monotonically_increasing_id() * 8 + kind).alias("no"))
+    numbered = materialize(numbered, "numbered")
+    number = lambda column, name: numbered.select(F.col("id").alias(column), F.col("no").alias(name))
+    asked = materialize(queries.select("id").distinct().join(numbered, "id").select(F.col("no").alias("id")), "asked")
+    ends = edges.join(number("src", "x"), "src").join(number("dst", "y"), "dst")
+    steps = ends.select(F.col("x").alias("id"), F.col("y").alias("n")).unionAll(ends.select(F.col("y").alias("id"), F.col("x").alias("n")))
+    near = materialize(steps.groupBy("id", "n").agg(F.count("*").alias("direct")), "near")
+    degree = near.groupBy(F.col("id").alias("n")).agg(F.sum("direct").alias("degree"))
+    own = near.join(asked, "id", "left_semi")
+    paths = own.join(degree, "n").select("id", F.col("n").alias("key"), (NEIGHBOUR / F.log(F.greatest("degree", F.lit(2)).cast("double"))).alias("weight"))
+    named = nodes.select("id", F.explode("sources").alias("key")).where("key is not null").distinct().join(numbered, "id").select("key", F.col("no").alias("other"))
+    named = materialize(named, "named")
+    sharing = named.withColumnRenamed("other", "id").join(asked, "id", "left_semi").select("id", "key", F.lit(SOURCE).alias("weight"))
+    first = Window.partitionBy(F.col("no") % 8).orderBy("no")
+    heads = numbered.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit + 1).select(F.col("no").alias("other"))
+    signals = own.select("id", F.col("n").alias("other"), (F.col("direct") * DIRECT).alias("weight"))
+    signals = signals.unionByName(_meet(paths, near.select(F.col("n").alias("key"), F.col("id").alias("other")))).unionByName(_meet(sharing, named))
+    signals = signals.unionByName(asked.join(F.broadcast(heads), F.col("id") != F.col("other")).withColumn("weight", F.lit(0.0)))
+    total = signals.repartition("id").groupBy("id", "other").agg(F.sum("weight").alias("signal"))
+    values = [AFFINITY.get(x, {}).get(y, OTHER_AFFINITY) for x in (None, *CLASSES) for y in (None, *CLASSES)]
+    both = F.get(F.array(*[F.lit(v) for v in values]), ((F.col("id") % 8) * (len(CLASSES) + 1) + F.col("other") % 8).cast("int"))
+    total = total.select("id", "other", (F.col("signal") + both).alias("relevance"))
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("relevance", 6)), "other")
+    best = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = best.withColumnsRenamed({"id": "x", "other": "y"}).join(number("id", "x"), "x").join(number("other", "y"), "y")
+    return best.select("id", "other", "relevance", "rank")
+
+
 def two_hop_related(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """Related nodes of the query nodes: 3 per direct link either way, 1.5 per two-link path, 4 per shared
     source, times the affinity of the types (1 where none is set): id, other, score, rank."""

@@ -48,6 +48,14 @@ _REL = _BASE + f""", rel AS (
   FROM u JOIN sh USING (a, b) LEFT JOIN aa USING (a, b) LEFT JOIN n p ON p.id = u.a LEFT JOIN n q ON q.id = u.b),
 rr AS (SELECT *, direct * 3.0 + shared * 4.0 + neighbours * 1.5 + affinity AS relevance FROM rel)
 """
+_ALL = _BASE + f""", ap AS (SELECT nb.n AS m, nb.id, o.id AS other FROM nb JOIN nb o ON o.n = nb.n AND o.id <> nb.id),
+ca AS (SELECT ap.id, ap.other, sum(1 / ln(greatest(dg.degree, 2))) AS score FROM ap JOIN dg ON dg.id = ap.m GROUP BY ALL),
+dd AS (SELECT id, other, count(*) AS direct FROM (SELECT src AS id, dst AS other FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL),
+ra AS (
+  SELECT p.id, q.id AS other, coalesce(dd.direct, 0) * 3.0 + len(list_intersect(coalesce(p.sources, []), coalesce(q.sources, []))) * 4.0 + coalesce(ca.score, 0.0) * 1.5
+    + ({_AFFINITY.format(x='p.type', y='q.type', other=0.5)})::DOUBLE AS relevance
+  FROM n p JOIN n q ON p.id <> q.id LEFT JOIN dd ON dd.id = p.id AND dd.other = q.id LEFT JOIN ca ON ca.id = p.id AND ca.other = q.id)
+"""
 _HASH = "pmod(cast(conv(substring(md5(id), 1, 6), 16, 10) as bigint), 50) = 0"
 _HASH_SQL = "('0x' || substr(md5(id), 1, 6))::BIGINT % 50 = 0"
 
@@ -99,6 +107,12 @@ def related_topk(spark, sf_dir):
     return op.related(op.relevance(pairs, n, edges)).select("id", "other", F.round("relevance", 6).alias("relevance"), "rank")
 
 
+def related_all(spark, sf_dir):
+    """The five most related of all other nodes for every node; ``related_topk`` ranks linked pairs only, as its SQL does."""
+    n, edges, _ = _graph(spark, sf_dir)
+    return op.related_nodes(n, n, edges).select("id", "other", F.round("relevance", 6).alias("relevance"), "rank")
+
+
 def two_hop_related(spark, sf_dir):
     n, edges, _ = _graph(spark, sf_dir)
     return op.two_hop_related(n.where(_HASH), n, edges).select("id", "other", F.round("score", 6).alias("score"), "rank")
@@ -174,7 +188,7 @@ def communities(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        resolve_links, link_dedupe, link_counts, link_counts_pairs, degree, shared_sources, adamic_adar, relevance_edges, related_topk, two_hop_related,
+        resolve_links, link_dedupe, link_counts, link_counts_pairs, degree, shared_sources, adamic_adar, relevance_edges, related_topk, related_all, two_hop_related,
         orphans, no_outlinks, broken_links, community_stats, surprising, bridges, isolated, graph_filter, graph_search, communities,
     )
 }
@@ -190,6 +204,7 @@ SQL = {
     "adamic_adar": _BASE + "SELECT a, b, common, round(score, 6) AS score FROM aa",
     "relevance_edges": _REL + "SELECT a, b, direct, shared::BIGINT AS shared, round(neighbours, 6) AS neighbours, affinity, round(relevance, 6) AS relevance FROM rr",
     "related_topk": _REL + ", w AS (SELECT a AS id, b AS other, relevance FROM rr UNION ALL SELECT b, a, relevance FROM rr) SELECT id, other, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other)::INT AS rank FROM w QUALIFY rank <= 5",
+    "related_all": _ALL + "SELECT id, other, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other)::INT AS rank FROM ra QUALIFY rank <= 5",
     "two_hop_related": _BASE + f""",
 q AS (SELECT id FROM n WHERE {_HASH_SQL}), st AS (SELECT src AS id, dst AS n FROM e UNION ALL SELECT dst, src FROM e),
 o1 AS (SELECT q.id, st.n FROM q JOIN st USING (id)), ss AS (SELECT DISTINCT id, source FROM (SELECT id, unnest(sources) AS source FROM n) WHERE source IS NOT NULL),

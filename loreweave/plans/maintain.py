@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as fn
 from loreweave.operators import maintain as op
-from loreweave.plans.graph import nodes, related_topk
+from loreweave.plans.graph import nodes, related_all
 from loreweave.plans.snapshots import P4_FOUND, p4_found
 from loreweave.plans.text import _KEY
 from loreweave.storage import table
@@ -157,7 +157,7 @@ def chat_last_messages(spark, sf_dir) -> DataFrame:
 def page_budgets(spark, sf_dir) -> DataFrame:
     """For every node, which of its five most related pages fit 6000 characters, each cut to 2500."""
     sizes = table(spark, sf_dir, "wiki_chunks").select("page_id", "chunk_id", F.length("chunk_text").alias("n")).distinct().groupBy("page_id").agg(F.sum("n").alias("size"))
-    near = related_topk(spark, sf_dir).join(sizes.withColumnRenamed("page_id", "other"), "other", "left")
+    near = related_all(spark, sf_dir).join(sizes.withColumnRenamed("page_id", "other"), "other", "left")
     ranked = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "other", F.coalesce("size", F.lit(0)).alias("size")))).alias("c"))
     taken = op.fill_budget(F.transform("c", lambda x: x["size"]), 6000, 2500)
     return ranked.select("id", F.array_join(F.transform(taken, lambda i: F.element_at("c", i + 1)["other"]), ",").alias("taken"))

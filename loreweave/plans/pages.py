@@ -61,6 +61,15 @@ def graph_expansion(spark, sf_dir) -> DataFrame:
     return found.groupBy(F.col("other").alias("id")).agg(F.round(F.max("relevance"), 6).alias("relevance"), F.count("*").alias("hits"))
 
 
+def graph_expansion_all(spark, sf_dir) -> DataFrame:
+    """As ``graph_expansion``, with the three per hit chosen among all nodes, linked or not."""
+    n, edges, _ = graph._graph(spark, sf_dir)
+    hits = materialize(n.where(tokens_contained(F.lower(F.concat_ws(" ", "title", "id")), _TOKENS) > 0).select("id"), "hits")
+    near = op.related_nodes(hits, n, edges, 3).where(F.round("relevance", 6) >= 2)
+    found = near.join(hits.select(F.col("id").alias("other")), "other", "left_anti")
+    return found.groupBy(F.col("other").alias("id")).agg(F.round(F.max("relevance"), 6).alias("relevance"), F.count("*").alias("hits"))
+
+
 def knowledge_gaps(spark, sf_dir) -> DataFrame:
     """Isolated pages, sparse communities (by page type) and bridges."""
     n, _, pairs = graph._graph(spark, sf_dir)
@@ -91,7 +100,7 @@ def newest_pages(spark, sf_dir) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-QUERIES = {f.__name__: f for f in (entity_summaries, slug_hashes, stamped_pages, source_pages, log_operations, import_skips, graph_expansion, knowledge_gaps, title_terms, newest_pages)}
+QUERIES = {f.__name__: f for f in (entity_summaries, slug_hashes, stamped_pages, source_pages, log_operations, import_skips, graph_expansion, graph_expansion_all, knowledge_gaps, title_terms, newest_pages)}
 
 _F = text._front_sql("text")
 _BODY = f"regexp_replace(text, '{text._FRONT}', '')"
@@ -111,6 +120,9 @@ SELECT doc_id, (CASE WHEN f = '' THEN length(text) ELSE 8 + length(body) + CASE
 SELECT project_id, count(*) AS files, sum((regexp_matches(p, '(^|/)(\.[^/]+|node_modules|wiki)(/|$)') OR regexp_matches(p, '(^|/)[^/]*(secret|credential|token|password|config|settings)[^/]*\.(json|ya?ml|xml)$') OR size > 104857600)::INT)::BIGINT AS skipped FROM a GROUP BY project_id""",
     "graph_expansion": graph._REL + f""", h AS (SELECT id FROM n WHERE {_HITS} > 0), w AS (SELECT a AS id, b AS other, relevance FROM rr UNION ALL SELECT b, a, relevance FROM rr),
 k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other) <= 3)
+SELECT other AS id, round(max(relevance), 6) AS relevance, count(*) AS hits FROM k WHERE round(relevance, 6) >= 2 AND id IN (SELECT id FROM h) AND other NOT IN (SELECT id FROM h) GROUP BY other""",
+    "graph_expansion_all": graph._ALL + f""", h AS (SELECT id FROM n WHERE {_HITS} > 0),
+k AS (SELECT * FROM ra QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other) <= 3)
 SELECT other AS id, round(max(relevance), 6) AS relevance, count(*) AS hits FROM k WHERE round(relevance, 6) >= 2 AND id IN (SELECT id FROM h) AND other NOT IN (SELECT id FROM h) GROUP BY other""",
     "knowledge_gaps": graph._BASE + graph._DESCRIBED + """, c AS (SELECT community, count(*) AS nodes FROM t GROUP BY 1),
 i AS (SELECT x.community, count(*) AS k FROM u JOIN t x ON x.id = u.a JOIN t y ON y.id = u.b WHERE x.community = y.community GROUP BY 1)

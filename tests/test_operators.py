@@ -97,6 +97,48 @@ def test_relevance_against_brute_force(spark):
         assert math.isclose(found[a, b], 3 * direct + 4 * shared + 1.5 * common + kind, abs_tol=1e-9)
 
 
+def test_related_nodes_without_a_link_against_brute_force(spark, monkeypatch):
+    rows, edges, nodes, links = random_graph(spark, 7, 40, 50)
+    edges = [e for e in edges if "n00" not in e]  # without the hub some nodes have few others with a signal
+    links = spark.createDataFrame(edges, "src string, dst string")
+    near = {r[0]: set() for r in rows}
+    degree = dict.fromkeys(near, 0)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+        degree[a] += 1
+        degree[b] += 1
+    about = {r[0]: r for r in rows}
+
+    def score(a, b):
+        direct = ((a, b) in edges) + ((b, a) in edges)
+        shared = len((set(about[a][3]) & set(about[b][3])) - {None})
+        common = sum(1 / math.log(max(degree[x], 2)) for x in near[a] & near[b])
+        return 3 * direct + 4 * shared + 1.5 * common + graph.AFFINITY.get(about[a][2], {}).get(about[b][2], 0.5)
+
+    expected = {}
+    for a in near:
+        best = sorted((b for b in near if b != a), key=lambda b: (-round(score(a, b), 6), b))[:5]
+        expected |= {(a, i + 1): (b, round(score(a, b), 6)) for i, b in enumerate(best)}
+    assert any(b not in near[a] for (a, _), (b, _) in expected.items())
+    assert any(s <= 1.2 for _, s in expected.values())  # affinity alone
+    for size in (10, 1_000_000):  # keys in many parts, and in one
+        monkeypatch.setattr(graph, "MEET_ROWS", size)
+        found = graph.related_nodes(nodes, nodes, links).collect()
+        assert {(r["id"], r["rank"]): (r["other"], round(r["relevance"], 6)) for r in found} == expected and len(found) == 200
+    asked = graph.related_nodes(nodes.where("id in ('n03', 'n04')"), nodes, links).collect()
+    assert {(r["id"], r["rank"]): r["other"] for r in asked} == {k: v[0] for k, v in expected.items() if k[0] in ("n03", "n04")}
+
+
+def test_page_budgets_take_unlinked_pages(spark, sf):
+    from loreweave.plans import graph as plans, maintain as upkeep
+
+    best = {r["id"]: r["other"] for r in plans.related_all(spark, sf).where("rank = 1").collect()}
+    taken = {r["id"]: r["taken"].split(",")[0] for r in upkeep.page_budgets(spark, sf).collect()}
+    linked = {frozenset(r) for r in plans.link_dedupe(spark, sf).collect()}
+    assert taken == best and any(frozenset(p) not in linked for p in best.items())
+
+
 def test_communities_of_planted_groups(spark):
     rng = random.Random(1)
     groups = {f"g{g}-{i}": g for g in range(4) for i in range(8)}
