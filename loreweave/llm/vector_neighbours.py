@@ -146,7 +146,7 @@ def _visits(vectors: DataFrame, tables, dim: int) -> DataFrame:
 
 
 def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> DataFrame:
-    """Best ``keep`` residents of each row within its bucket, by the rounded vectors; residents come first in a bucket."""
+    """Best ``keep`` residents of each row within its bucket, by the rounded vectors, and all within the rounding error of them; residents come first in a bucket."""
     block = 2048
 
     def scaled(x: np.ndarray) -> np.ndarray:
@@ -161,7 +161,8 @@ def _matches(sorted_visits: DataFrame, dim: int, keep: int, least: float) -> Dat
             good = near >= np.float32(least)
             many = np.flatnonzero(good.sum(axis=1) > keep)
             if len(many):
-                floor = np.partition(near[many], -keep, axis=1)[:, -keep:].min(axis=1, keepdims=True)
+                # Rounding can lower a true winner and raise the last one kept, each by up to SLACK.
+                floor = np.partition(near[many], -keep, axis=1)[:, -keep:].min(axis=1, keepdims=True) - np.float32(2 * SLACK)
                 good[many] &= near[many] >= floor
             q, b = np.nonzero(good)
             yield mine[q], base_rid[b]

@@ -201,6 +201,15 @@ def test_hot_buckets_are_split_without_loss(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_winners_within_the_rounding_error_are_kept(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.07  # cosines of about 0.995
+    rows = [(f"c{i:03}", [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    whole = vn.Hashing(tables=1, hashes=1, width=1e6, probes=1)
+    found = vn.neighbour_pairs(spark.createDataFrame(rows, "key string, v array<float>"), "key", "v", k=5, how=whole).collect()
+    assert {tuple(r) for r in found} == brute_vectors(rows, 5, -1)
+
+
 def test_copies_are_neighbours(spark):
     same = [1.0] * 64
     rows = [(f"s{i}", same) for i in range(9)] + [("t", [1.0] * 63 + [1.1])]
