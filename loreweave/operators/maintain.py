@@ -44,22 +44,23 @@ def page_fates(pages: DataFrame, gone: DataFrame) -> DataFrame:
 def duplicate_groups(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Pages whose titles have one key: key, pages (sorted ids joined by commas), size, canonical (the first).
 
-    ``known`` holds groups (pages) that were found not to be duplicates. Keys with
-    more members than ``MAX_GROUP`` are templates rather than duplicates of one page;
-    their ids aren't joined and pages is null.
+    ``known`` holds groups (pages) that were found not to be duplicates. The joined ids
+    of a group are one value, whatever its size; ``duplicate_members`` has a row per page.
     """
     keyed = pages.select("id", ref_key("title").alias("key")).where("key <> ''").distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("canonical")).where("size > 1")
-    listed = keyed.join(sizes.where(F.col("size") <= MAX_GROUP).select("key"), "key").groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("pages"))
-    groups = sizes.join(listed, "key", "left").select("key", "pages", "size", "canonical")
+    listed = keyed.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("pages"), F.count("*").alias("size"), F.min("id").alias("canonical"))
+    groups = listed.where("size > 1").select("key", "pages", "size", "canonical")
     if known is None:
         return groups
     plain = lambda c: F.array_join(F.array_sort(F.split(F.lower(c), ",")), ",")
     return groups.withColumn("g", plain(F.col("pages"))).join(known.select(plain(F.col("pages")).alias("g")).distinct(), "g", "left_anti").drop("g")
 
 
-#: Ids that are joined into one value at most.
-MAX_GROUP = 1000
+def duplicate_members(pages: DataFrame) -> DataFrame:
+    """Each page whose title's key others have too: key, id, size of the group, canonical (its first id)."""
+    keyed = pages.select("id", ref_key("title").alias("key")).where("key <> ''").distinct()
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("canonical")).where("size > 1")
+    return keyed.join(sizes, "key").select("key", "id", "size", "canonical")
 
 
 def redirects(pages: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def duplicate_titles(spark, sf_dir) -> DataFrame:
     return op.duplicate_groups(_pages(spark, sf_dir))
 
 
+def duplicate_title_pages(spark, sf_dir) -> DataFrame:
+    """The groups of ``duplicate_titles`` with a row per page."""
+    return op.duplicate_members(_pages(spark, sf_dir))
+
+
 def rewritten_links(spark, sf_dir) -> DataFrame:
     n = nodes(spark, sf_dir)
     links = n.select("id", F.posexplode("out_links").alias("place", "target")).where("target is not null")
@@ -170,7 +175,7 @@ def rate_limit(spark, sf_dir) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        list_union, page_fate, duplicate_titles, rewritten_links, review_merge, sweep_rules, strip_links, ingest_cache_misses, import_changes, rescan_prefilter,
+        list_union, page_fate, duplicate_titles, duplicate_title_pages, rewritten_links, review_merge, sweep_rules, strip_links, ingest_cache_misses, import_changes, rescan_prefilter,
         coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, clip_union, queue_summary, chat_last_messages, page_budgets, rate_limit,
     )
 }
@@ -198,6 +203,7 @@ j AS (SELECT k.*, g.key IS NOT NULL AS dead FROM k LEFT JOIN g USING (key)),
 f AS (SELECT n.id, coalesce(bool_or(dead), false) AS hit, coalesce(string_agg(source, '|' ORDER BY i) FILTER (NOT dead AND source IS NOT NULL), '') AS kept FROM n LEFT JOIN j USING (id) GROUP BY n.id)
 SELECT id, CASE WHEN NOT hit THEN 'skip' WHEN kept <> '' THEN 'keep' ELSE 'delete' END AS action, kept FROM f""",
     "duplicate_titles": f"WITH a AS (SELECT DISTINCT page_id AS id, {_KEY.format('title')} AS key FROM wiki_pages) SELECT key, string_agg(id, ',' ORDER BY id) AS pages, count(*) AS size, min(id) AS canonical FROM a WHERE key <> '' GROUP BY key HAVING count(*) > 1",
+    "duplicate_title_pages": f"WITH a AS (SELECT DISTINCT page_id AS id, {_KEY.format('title')} AS key FROM wiki_pages) SELECT key, id, count(*) OVER (PARTITION BY key) AS size, min(id) OVER (PARTITION BY key) AS canonical FROM a WHERE key <> '' QUALIFY size > 1",
     "rewritten_links": f"""WITH {_NODES}, k AS (SELECT id, {_KEY.format('title')} AS key FROM n), c AS (SELECT key, min(id) AS new FROM k WHERE key <> '' GROUP BY key),
 r AS (SELECT id AS old, new FROM k JOIN c USING (key) WHERE id <> new), l AS (SELECT id, unnest(out_links) AS t, generate_subscripts(out_links, 1) AS i FROM n),
 w AS (SELECT l.id, i, t AS was, coalesce(new, t) AS target FROM l LEFT JOIN r ON r.old = l.t WHERE t IS NOT NULL),

@@ -189,6 +189,14 @@ def test_duplicate_groups_and_whitelist(spark):
     assert values(maintain.redirects(pages)) == [("b", "a"), ("g", "f")]
 
 
+def test_large_duplicate_groups_keep_their_pages(spark):
+    ids = [f"p{i:04}" for i in range(1500)]
+    pages = spark.createDataFrame([(i, "One title") for i in ids] + [("x", "Other")], "id string, title string")
+    assert values(maintain.duplicate_groups(pages), "pages", "size", "canonical") == [(",".join(ids), 1500, "p0000")]
+    assert maintain.duplicate_groups(pages, spark.createDataFrame([(",".join(ids).upper(),)], "pages string")).count() == 0
+    assert values(maintain.duplicate_members(pages), "id", "size", "canonical") == [(i, 1500, "p0000") for i in ids]
+
+
 def test_rewrite_links(spark):
     links = spark.createDataFrame([("p", 0, "b"), ("p", 1, "A"), ("p", 2, "c"), ("p", 3, "b")], "id string, place int, target string")
     moved = spark.createDataFrame([("b", "a")], "old string, new string")
