@@ -12,7 +12,7 @@ from loreweave.llm.near_duplicates import Shape, near_duplicate_groups, near_dup
 from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.splitting import oversized_places, split_texts
 from loreweave.llm.tokens import count_tokens, encode
-from loreweave.llm.vector_neighbours import neighbour_pairs
+from loreweave.llm.vector_neighbours import exact_neighbours, neighbour_pairs
 from loreweave.llm.visual_forms import alike_pairs, visual_forms
 from loreweave.storage import table
 
@@ -67,6 +67,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks with the most similar embeddings for every chunk, however similar."""
+    return exact_neighbours(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5)
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = table(spark, sf_dir, "chunk_options").dropDuplicates(["opt_id"])
     bodies = table(spark, sf_dir, "page_bodies").join(options, "opt_id", "left")
@@ -117,4 +122,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

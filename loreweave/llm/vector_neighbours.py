@@ -262,6 +262,22 @@ def _parted(visits: DataFrame, residents: DataFrame, how: Hashing) -> DataFrame:
     return parted.select("bucket", "rid", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), "packed", "part")
 
 
+def _of_keys(both: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best other keys of each key, from cosines (a, b, cosine) of different vectors and the keys of each vector."""
+    # At most k + 1 members of a text's class can be among the k best others of anything.
+    by_key = Window.partitionBy("rid").orderBy("key")
+    few = members.withColumn("n", F.row_number().over(by_key)).where(F.col("n") <= k + 1).select(F.col("rid").alias("b"), F.col("key").alias("neighbour"))
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour")
+    of_class = both.join(few, "b").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "b")
+    # Of its own class the key itself is passed over, so k + 1 of them are kept.
+    shared = few.join(few.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "b", "left_semi")
+    own = shared.select(F.col("b").alias("a"), F.lit(1.0).alias("cosine"), "neighbour")
+    rows = members.select(F.col("rid").alias("a"), "key").join(of_class.unionByName(own), "a").where(F.col("key") != F.col("neighbour"))
+    rank = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
+    ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return ranked.select("key", "neighbour", F.col("cosine").alias("similarity"), "rank")
+
+
 def nearest_neighbours(
     df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 64, min_similarity: float = -1.0, how: Hashing = Hashing()
 ) -> DataFrame:
@@ -269,7 +285,8 @@ def nearest_neighbours(
 
     Similarity is the cosine, at least ``min_similarity``; ties go to the smaller
     key. Vectors that are null, all zero, of another length or with a null or
-    non-finite number take no part. Copies of one vector are neighbours of each
+    non-finite number take no part. The hashing is set for similarities of 0.9 and more;
+    below, use ``exact_neighbours``. Copies of one vector are neighbours of each
     other at similarity 1. Repeated rows count once, other columns are ignored,
     an empty table gives an empty result.
     """
@@ -283,19 +300,75 @@ def nearest_neighbours(
     pairs = materialize(_matches(grouped, dim, k + 2, least).distinct(), "pairs")
     near = _exact(pairs, vectors, dim).where(F.col("cosine") >= min_similarity)
 
-    # At most k + 1 members of a text's class can be among the k best others of anything.
-    by_key = Window.partitionBy("rid").orderBy("key")
-    few = members.withColumn("n", F.row_number().over(by_key)).where(F.col("n") <= k + 1).select(F.col("rid").alias("b"), F.col("key").alias("neighbour"))
     both = near.select("a", "b", "cosine").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour")
-    of_class = both.join(few, "b").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "b")
-    # Of its own class the key itself is passed over, so k + 1 of them are kept.
-    shared = few.join(few.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "b", "left_semi")
-    own = shared.select(F.col("b").alias("a"), F.lit(1.0).alias("cosine"), "neighbour")
-    rows = members.select(F.col("rid").alias("a"), "key").join(of_class.unionByName(own), "a").where(F.col("key") != F.col("neighbour"))
-    rank = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
-    ranked = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return ranked.select("key", "neighbour", F.col("cosine").alias("similarity"), "rank")
+    return _of_keys(both, members, k)
+
+
+def _scan(grid: DataFrame, dim: int, k: int) -> DataFrame:
+    """The ``k`` nearest residents of each visitor in its cell of the grid, ties included: a, b, cosine; residents come first in a cell."""
+    rows, step, error = 1024, 4096, np.float32(1e-5)  # a float32 product of unit vectors is off by less
+
+    def best(x: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        small, all_base = x.astype(np.float32), base.astype(np.float32)
+        for start in range(0, len(x), rows):
+            part = small[start : start + rows]
+            floor = np.full(len(part), -2, dtype=np.float32)
+            q, b, value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+            for at in range(0, len(base), step):
+                near = part @ all_base[at : at + step].T
+                if near.shape[1] > k + 1 and not at:
+                    floor = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)]  # itself may be among them
+                more, other = np.nonzero(near >= (floor - error)[:, None])
+                q, b, value = np.concatenate([q, more]), np.concatenate([b, other + at]), np.concatenate([value, near[more, other]])
+                order = np.lexsort((-value, q))
+                q, b, value = q[order], b[order], value[order]
+                first = np.searchsorted(q, np.arange(len(part)))
+                last = first + k
+                full = (last < len(q)) & (q[np.minimum(last, len(q) - 1)] == np.arange(len(part)))
+                floor[full] = value[last[full]]
+                keep = value >= (floor - error)[q]
+                q, b, value = q[keep], b[keep], value[keep]
+            yield q + start, b, np.einsum("ij,ij->i", x[q + start], base[b])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, base_rid, base = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, rid, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "rid", "home"))
+            x = _unit(batch.column("vector"), dim)
+            ends = np.append(np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells))
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                if cells[start] != cell:
+                    cell, base_rid, base = cells[start], [], []
+                mine = home[start:end]
+                if mine.any():
+                    base_rid.append(rid[start:end][mine])
+                    base.append(x[start:end][mine])
+                if mine.all() or not base:
+                    continue
+                base_rid, base = [np.concatenate(base_rid)], [np.concatenate(base)]
+                visitors = rid[start:end][~mine]
+                for q, b, cosine in best(x[start:end][~mine], base[0]):
+                    other = visitors[q] != base_rid[0][b]
+                    yield pa.record_batch([pa.array(visitors[q][other]), pa.array(base_rid[0][b][other]), pa.array(cosine[other])], ["a", "b", "cosine"])
+
+    return grid.mapInArrow(emit, "a bigint, b bigint, cosine double")
+
+
+def exact_neighbours(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 64, block: int = 65_536) -> DataFrame:
+    """As ``nearest_neighbours`` without a least similarity, by comparing all vectors with all: nothing is lost.
+
+    Vectors are cut into parts of about ``block``; each cell of the grid of parts is compared by
+    matrix products and sends on its ``k`` best of each vector. Work is quadratic.
+    """
+    vectors, members = _unique_vectors(df, key, vector, dim)
+    parts = (max(vectors.count(), 1) - 1) // block + 1
+    own, turn = F.pmod(F.xxhash64("rid"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    placed = vectors.select("rid", "vector", own.alias("own"), turn.alias("turn"))
+    cells = [placed.select((F.col(x) * parts + F.col(y)).alias("cell"), "rid", F.lit(home).alias("home"), "vector") for x, y, home in (("own", "turn", True), ("turn", "own", False))]
+    grid = cells[0].unionByName(cells[1]).repartition(parts * parts, "cell").sortWithinPartitions("cell", F.desc("home"))
+    return _of_keys(_scan(grid, dim, k), members, k)
 
 
 def neighbour_pairs(df: DataFrame, key: str, vector: str, *, k: int = 5, dim: int = 64, min_similarity: float = -1.0, how: Hashing = Hashing()) -> DataFrame:

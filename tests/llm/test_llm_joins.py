@@ -210,6 +210,15 @@ def test_winners_within_the_rounding_error_are_kept(spark):
     assert {tuple(r) for r in found} == brute_vectors(rows, 5, -1)
 
 
+@pytest.mark.parametrize("block", [32_768, 100])
+def test_exact_neighbours_below_the_hashing(spark, block):
+    rows = vectors(4, 300)
+    rows += [("null", None), ("zero", [0.0] * 64), ("short", [1.0] * 32)] + [(f"d{i}", rows[i][1]) for i in range(8)] + rows[:5]
+    found = vn.exact_neighbours(spark.createDataFrame(rows, "key string, v array<float>"), "key", "v", k=5, block=block).collect()
+    assert len(found) == 5 * 458 and min(r["similarity"] for r in found) < 0.6
+    assert {(min(r["key"], r["neighbour"]), max(r["key"], r["neighbour"])) for r in found} == brute_vectors(sorted(set((k, tuple(v) if v else None) for k, v in rows), key=repr), 5, -1)
+
+
 def test_copies_are_neighbours(spark):
     same = [1.0] * 64
     rows = [(f"s{i}", same) for i in range(9)] + [("t", [1.0] * 63 + [1.1])]
