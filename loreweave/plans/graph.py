@@ -138,21 +138,42 @@ def _labels(n: DataFrame) -> DataFrame:
     return n.select("id", F.coalesce("type", F.lit("other")).alias("community"))
 
 
-def community_stats(spark, sf_dir):
-    n, _, pairs = _graph(spark, sf_dir)
+def _detected(n: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Communities by modularity, and the weights they come from; both written."""
+    weighted = materialize(op.relevance(pairs, n, edges).select("a", "b", F.col("relevance").alias("weight")), "weighted")
+    return materialize(op.communities(n, weighted), "communities"), weighted
+
+
+def _stats(spark, sf_dir, n, labels, pairs):
     counts = op.link_counts(n, links(spark, sf_dir))
-    stats = op.community_stats(_labels(n), pairs, counts)
+    stats = op.community_stats(labels, pairs, counts)
     return stats.select("community", "nodes", "inner_edges", F.round("cohesion", 6).alias("cohesion"), "top_nodes")
 
 
-def _described(spark, sf_dir, n):
-    return n.select("id", "type").join(_labels(n), "id").join(op.link_counts(n, links(spark, sf_dir)), "id")
+def community_stats(spark, sf_dir):
+    n, _, pairs = _graph(spark, sf_dir)
+    return _stats(spark, sf_dir, n, _labels(n), pairs)
+
+
+def community_stats_detected(spark, sf_dir):
+    n, edges, pairs = _graph(spark, sf_dir)
+    return _stats(spark, sf_dir, n, _detected(n, edges, pairs)[0], pairs)
+
+
+def _described(spark, sf_dir, n, labels):
+    return n.select("id", "type").join(labels, "id").join(op.link_counts(n, links(spark, sf_dir)), "id")
 
 
 def surprising(spark, sf_dir):
     n, edges, pairs = _graph(spark, sf_dir)
     weighted = op.relevance(pairs, n, edges).select("a", "b", F.round("relevance", 6).alias("weight"))
-    return op.surprising_edges(weighted, _described(spark, sf_dir, n), 50)
+    return op.surprising_edges(weighted, _described(spark, sf_dir, n, _labels(n)), 50)
+
+
+def surprising_detected(spark, sf_dir):
+    n, edges, pairs = _graph(spark, sf_dir)
+    labels, weighted = _detected(n, edges, pairs)
+    return op.surprising_edges(weighted.select("a", "b", F.round("weight", 6).alias("weight")), _described(spark, sf_dir, n, labels), 50)
 
 
 def bridges(spark, sf_dir):
@@ -160,6 +181,11 @@ def bridges(spark, sf_dir):
     return op.bridges(pairs, _labels(n), 20)
 
 
+def bridges_detected(spark, sf_dir):
+    n, edges, pairs = _graph(spark, sf_dir)
+    return op.bridges(pairs, _detected(n, edges, pairs)[0], 20)
+
+
 def isolated(spark, sf_dir):
     n = nodes(spark, sf_dir)
     few = op.link_counts(n, links(spark, sf_dir)).where("links <= 1").join(n.select("id", "type"), "id")
@@ -189,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         resolve_links, link_dedupe, link_counts, link_counts_pairs, degree, shared_sources, adamic_adar, relevance_edges, related_topk, related_all, two_hop_related,
-        orphans, no_outlinks, broken_links, community_stats, surprising, bridges, isolated, graph_filter, graph_search, communities,
+        orphans, no_outlinks, broken_links, community_stats, community_stats_detected, surprising, surprising_detected, bridges, bridges_detected, isolated, graph_filter, graph_search, communities,
     )
 }
 _DESCRIBED = ", t AS (SELECT n.id, n.type, coalesce(n.type, 'other') AS community, lc.links FROM n JOIN lc USING (id))"

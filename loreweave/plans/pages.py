@@ -73,7 +73,16 @@ def graph_expansion_all(spark, sf_dir) -> DataFrame:
 def knowledge_gaps(spark, sf_dir) -> DataFrame:
     """Isolated pages, sparse communities (by page type) and bridges."""
     n, _, pairs = graph._graph(spark, sf_dir)
-    labels = materialize(graph._labels(n), "labels")
+    return _gaps(spark, sf_dir, n, pairs, materialize(graph._labels(n), "labels"))
+
+
+def knowledge_gaps_detected(spark, sf_dir) -> DataFrame:
+    """As ``knowledge_gaps``, with the detected communities."""
+    n, edges, pairs = graph._graph(spark, sf_dir)
+    return _gaps(spark, sf_dir, n, pairs, graph._detected(n, edges, pairs)[0])
+
+
+def _gaps(spark, sf_dir, n: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = op.link_counts(n, graph.links(spark, sf_dir))
     few = counts.where("links <= 1").join(n.select("id", "type"), "id").where("coalesce(type, '') <> 'overview' and id not in ('index', 'log')")
     sparse = op.community_stats(labels, pairs, counts).where("cohesion < 0.15 and nodes >= 3")
@@ -100,7 +109,7 @@ def newest_pages(spark, sf_dir) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-QUERIES = {f.__name__: f for f in (entity_summaries, slug_hashes, stamped_pages, source_pages, log_operations, import_skips, graph_expansion, graph_expansion_all, knowledge_gaps, title_terms, newest_pages)}
+QUERIES = {f.__name__: f for f in (entity_summaries, slug_hashes, stamped_pages, source_pages, log_operations, import_skips, graph_expansion, graph_expansion_all, knowledge_gaps, knowledge_gaps_detected, title_terms, newest_pages)}
 
 _F = text._front_sql("text")
 _BODY = f"regexp_replace(text, '{text._FRONT}', '')"

@@ -155,6 +155,22 @@ def test_communities_of_planted_groups(spark):
     assert graph.communities(nodes, pairs.limit(0)).count() == 33
 
 
+def test_insights_of_detected_communities(spark, tmp_path):
+    from loreweave.plans import graph as plans, pages as more
+
+    group = {f"g{g}-{i}": g for g in range(4) for i in range(6)}  # all of one type
+    out = {a: [b for b in group if a < b and group[a] == group[b]] for a in group}
+    for g in (1, 2, 3):
+        out["g0-0"].append(f"g{g}-0")
+    rows = [(a, a, "concept", [], b) for a, b in out.items()]
+    spark.createDataFrame(rows, "page_id string, title string, page_type string, sources array<string>, out_links array<string>").write.parquet(f"{tmp_path}/retrieval_nodes.parquet")
+    sf = str(tmp_path)
+    assert values(plans.community_stats_detected(spark, sf), "community", "nodes", "inner_edges", "cohesion") == [(f"g{g}-0", 6, 15, 1.0) for g in range(4)]
+    assert values(plans.surprising_detected(spark, sf)) == [("g0-0", f"g{g}-0", 3) for g in (1, 2, 3)]
+    assert values(plans.bridges_detected(spark, sf)) == [("g0-0", 4)]
+    assert values(more.knowledge_gaps_detected(spark, sf)) == [("bridge-node", "g0-0", 4)]
+
+
 def test_graph_findings(spark):
     rows, edges, nodes, links = random_graph(spark, 5, 12, 10)
     counts = graph.link_counts(nodes, links.select("src", F.col("dst").alias("raw"), "dst"))
