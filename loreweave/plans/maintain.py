@@ -152,11 +152,19 @@ def queue_summary(spark, sf_dir) -> DataFrame:
     return counted.select("user_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
 
 
-def chat_last_messages(spark, sf_dir) -> DataFrame:
+def _turns(spark, sf_dir) -> DataFrame:
     lines = F.regexp_extract_all("text", F.lit(r"(?md)^((?:user|assistant): [^\r\n]*)"), F.lit(1))
     turns = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conversation"), F.posexplode(lines).alias("turn", "line"))
-    split = turns.select("conversation", "turn", F.regexp_extract("line", "^([a-z]+): ", 1).alias("role"), F.regexp_replace("line", "^[a-z]+: ", "").alias("content"))
-    return op.last_messages(split, 4)
+    return turns.select("conversation", "turn", F.regexp_extract("line", "^([a-z]+): ", 1).alias("role"), F.regexp_replace("line", "^[a-z]+: ", "").alias("content"))
+
+
+def chat_last_messages(spark, sf_dir) -> DataFrame:
+    return op.last_messages(_turns(spark, sf_dir), 4)
+
+
+def chat_saved_messages(spark, sf_dir) -> DataFrame:
+    """The last hundred messages, which the reference keeps of each conversation."""
+    return op.last_messages(_turns(spark, sf_dir), 100)
 
 
 def page_budgets(spark, sf_dir) -> DataFrame:
@@ -176,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_union, page_fate, duplicate_titles, duplicate_title_pages, rewritten_links, review_merge, sweep_rules, strip_links, ingest_cache_misses, import_changes, rescan_prefilter,
-        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, clip_union, queue_summary, chat_last_messages, page_budgets, rate_limit,
+        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, clip_union, queue_summary, chat_last_messages, chat_saved_messages, page_budgets, rate_limit,
     )
 }
 

@@ -213,6 +213,14 @@ def test_large_duplicate_groups_keep_their_pages(spark):
     assert values(maintain.duplicate_members(pages), "id", "size", "canonical") == [(i, 1500, "p0000") for i in ids]
 
 
+def test_saved_chats_keep_a_hundred_messages(spark, tmp_path):
+    from loreweave.plans import maintain as plans
+
+    chat = "\n".join(f"{'user' if i % 2 == 0 else 'assistant'}: m{i}" for i in range(120))
+    spark.createDataFrame([(1, chat)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["content"] for r in plans.chat_saved_messages(spark, str(tmp_path)).collect()} == {f"m{i}" for i in range(20, 120)}
+
+
 def test_rewrite_links(spark):
     links = spark.createDataFrame([("p", 0, "b"), ("p", 1, "A"), ("p", 2, "c"), ("p", 3, "b")], "id string, place int, target string")
     moved = spark.createDataFrame([("b", "a")], "old string, new string")
