@@ -12,7 +12,7 @@ from loreweave.llm.near_duplicates import Shape, near_duplicate_groups, near_dup
 from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.splitting import oversized_places, split_texts
 from loreweave.llm.tokens import count_tokens, encode
-from loreweave.llm.vector_neighbours import exact_neighbours, neighbour_pairs
+from loreweave.llm.vector_neighbours import NEAR, exact_neighbours, nearest_neighbours, neighbour_pairs
 from loreweave.llm.visual_forms import alike_pairs, visual_forms
 from loreweave.storage import table
 
@@ -64,11 +64,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk pairs with cosine 0.9 or more of which one is among the other's five best."""
-    return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9)
+    return neighbour_pairs(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, min_similarity=0.9, how=NEAR)
+
+
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks with the most similar embeddings, however similar, of every fiftieth chunk (by the hash of its id) among all."""
+    asks = F.pmod(F.xxhash64("chunk_id"), F.lit(50)) == 0
+    return nearest_neighbours(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5, asks=asks)
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five chunks with the most similar embeddings for every chunk, however similar."""
+    """The five chunks with the most similar embeddings for every chunk, however similar, by comparing all with all."""
     return exact_neighbours(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5)
 
 
@@ -122,4 +128,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

@@ -187,9 +187,9 @@ def test_neighbours_recall(spark):
 
 def test_hot_buckets_are_split_without_loss(spark):
     df = spark.createDataFrame(vectors(2, 120), "key string, v array<float>")
-    how = vn.Hashing(tables=1, hashes=1, width=1e6, probes=1, bucket_rows=16)
+    how = vn.Hashing(tables=1, cuts=0, probes=1, part_rows=16)
     found = {(r["key"], r["neighbour"], r["rank"]) for r in vn.nearest_neighbours(df, "key", "v", k=4, how=how).collect()}
-    whole = vn.Hashing(tables=1, hashes=1, width=1e6, probes=1)
+    whole = vn.Hashing(tables=1, cuts=0, probes=1)
     assert found == {(r["key"], r["neighbour"], r["rank"]) for r in vn.nearest_neighbours(df, "key", "v", k=4, how=whole).collect()}
     assert len(found) == 180 * 4
     assert {(min(a, b), max(a, b)) for a, b, _ in found} == brute_vectors(vectors(2, 120), 4, -1)
@@ -205,11 +205,46 @@ def test_winners_within_the_rounding_error_are_kept(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.07  # cosines of about 0.995
     rows = [(f"c{i:03}", [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
-    whole = vn.Hashing(tables=1, hashes=1, width=1e6, probes=1)
+    whole = vn.Hashing(tables=1, cuts=0, probes=1)
     found = vn.neighbour_pairs(spark.createDataFrame(rows, "key string, v array<float>"), "key", "v", k=5, how=whole).collect()
     assert {tuple(r) for r in found} == brute_vectors(rows, 5, -1)
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_recall_without_a_least_similarity(spark, n):
+    rows = vectors(6, n)
+    df = spark.createDataFrame(rows, "key string, v array<float>")
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = {i for i in ids if int(i[1:]) % 10 == 0}
+    found = vn.nearest_neighbours(df, "key", "v", k=5, asks=F.substring("key", 2, 9).cast("int") % 10 == 0).collect()
+    assert {r["key"] for r in found} == asked and len(found) == 5 * len(asked)
+    hits = 0
+    by = {(r["key"], r["neighbour"]) for r in found}
+    for i in asked:
+        near = x @ x[ids.index(i)]
+        near[ids.index(i)] = -2
+        hits += sum((i, ids[j]) in by for j in np.argsort(-near)[:5])
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_a_dense_group_is_cut_into_finer_cells(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(2000, 64)), rng.normal(size=64) + rng.normal(size=(1000, 64)) * 0.02])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    made = vn._Tables(vn.WIDE, unit, len(unit))
+    for table in made.tables:
+        names, level, _ = table.place(table.at(unit))
+        assert np.unique(names, return_counts=True)[1].max() <= 55 and level[2000:].min() > level[:2000].min() and not len(table.split)
+    rows = [(f"c{i:04}", [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    dense = spark.createDataFrame(rows, "key string, v array<float>")
+    found = vn.nearest_neighbours(dense, "key", "v", k=5, asks=F.col("key") >= "c2900").select("key", "neighbour").collect()
+    near = unit[2900:] @ unit.T
+    near[np.arange(100), np.arange(2900, 3000)] = -2
+    by = {tuple(r) for r in found}
+    assert sum((f"c{2900 + i:04}", f"c{j:04}") in by for i in range(100) for j in np.argsort(-near[i])[:5]) >= 450
+
+
 @pytest.mark.parametrize("block", [32_768, 100])
 def test_exact_neighbours_below_the_hashing(spark, block):
     rows = vectors(4, 300)
@@ -233,7 +268,6 @@ def test_copies_are_neighbours(spark):
 def test_probe_order():
     found = vn.probe_sets(4, 12)
     assert found[0] == (0,) and len(set(found)) == 12 and all(7 - r not in s for s in found for r in s)
-    assert vn.Hashing().at_size(2**18) == vn.Hashing() and vn.Hashing().at_size(2**20).hashes == 10
 
 
 def test_rounding_stays_within_slack():
