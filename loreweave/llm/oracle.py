@@ -38,10 +38,10 @@ o AS (
   SELECT a.kind, a.side AS sa, b.side AS sb, a.k AS ka, b.k AS kb, a.h AS ha, b.h AS hb, count(*) AS o
   FROM s a JOIN s b ON a.kind = b.kind AND a.x = b.x
     AND ((a.kind = 'profile' AND a.side = 0 AND b.side = 1) OR (a.kind <> 'profile' AND a.k < b.k)) GROUP BY ALL)
-SELECT DISTINCT o.kind, ka AS key_a, kb AS key_b FROM o
+SELECT DISTINCT o.kind, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM o
 JOIN n p ON p.kind = o.kind AND p.side = sa AND p.k = ka AND p.h = ha
 JOIN n q ON q.kind = o.kind AND q.side = sb AND q.k = kb AND q.h = hb
-WHERE o >= 0.7 * (p.n + q.n - o) - 1e-9
+WHERE ka <> kb AND o >= 0.7 * (p.n + q.n - o) - 1e-9
 """
 
 P3_FOUND = """

@@ -182,9 +182,9 @@ def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, Data
 def similar_set_pairs(df: DataFrame, how: Pivots = Pivots()) -> DataFrame:
     """All similar pairs of keys: grp, key_a, key_b, similarity.
 
-    Keys of one side are ordered, ``key_a < key_b``; across sides key_a is the
-    key on side 0. Rows with equal sets pair up with similarity 1. Other cases as
-    in :func:`similar_sets`.
+    Pairs are unordered and of two different keys, ``key_a < key_b``, within a
+    table and across two. Rows with equal sets pair up with similarity 1. Other
+    cases as in :func:`similar_sets`.
     """
     pairs, members = similar_sets(df, how)
     one = members.where("side = 0").select("rid", "grp", "both", F.col("key").alias("x"))
@@ -193,5 +193,5 @@ def similar_set_pairs(df: DataFrame, how: Pivots = Pivots()) -> DataFrame:
     different = ways.join(one.withColumnRenamed("rid", "a"), "a").join(two.select(F.col("rid").alias("b"), "y"), "b").drop("a", "b")
     same = one.join(two.select("rid", "y"), "rid").select(F.lit(1.0).alias("similarity"), "grp", "both", "x", "y")
     found = different.unionByName(same)
-    found = found.where(~F.col("both") | (F.col("x") < F.col("y")))
-    return found.groupBy("grp", F.col("x").alias("key_a"), F.col("y").alias("key_b")).agg(F.max("similarity").alias("similarity"))
+    found = found.where(F.when(F.col("both"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return found.groupBy("grp", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).agg(F.max("similarity").alias("similarity"))

@@ -143,10 +143,10 @@ def test_similar_sets_against_brute_force(spark, how):
 
 
 def test_two_tables_and_groups(spark):
-    one, two = [("p1", ["a", "b", "c", "d"]), ("p2", ["a", "b", "c", "x"])], [("q1", ["A", "B-", "c", "d"]), ("p1", ["z", "y", "x", "w"])]
+    one, two = [("p1", ["a", "b", "c", "d"]), ("p2", ["a", "b", "c", "x"])], [("q1", ["A", "B-", "c", "d"]), ("p1", ["z", "y", "x", "w"]), ("k1", ["a", "b", "c", "D"]), ("p2", ["a", "b", "c", "x"])]
     both = as_table(spark, one, "g", False, 0).unionByName(as_table(spark, two, "g", False, 1)).unionByName(as_table(spark, one, "h", True))
     found = {tuple(r) for r in set_join.similar_set_pairs(both, set_join.Pivots(threshold=0.6)).select("grp", "key_a", "key_b").collect()}
-    assert found == {("g", "p1", "q1"), ("g", "p2", "q1"), ("h", "p1", "p2")}
+    assert found == {("g", "p1", "q1"), ("g", "p2", "q1"), ("g", "k1", "p1"), ("g", "k1", "p2"), ("g", "p1", "p2"), ("h", "p1", "p2")}
     assert set_join.similar_set_pairs(both.limit(0)).count() == 0
 
 
