@@ -1,22 +1,29 @@
 """All similar pairs of sets by metric pivot partitioning under Jaccard distance.
 
-Every record goes to the cell of its nearest pivot (its home, at distance h).
+Pivots are records of the dense regions, however many there are: sets that agree
+in a band of min-hashes elect one of them, so a region with several alike sets
+gets a pivot of its own with near certainty, and a lonely set gets none. Every
+record goes to the cell of the nearest pivot that it helped to elect, if that one
+lies within ``near`` (its home, at distance h).
+
 For a pair within ``eps = 1 - threshold`` let x be the one with the smaller
 (h, id). The triangle inequality puts y within ``h(x) + eps`` of x's pivot, and
 ``h(x) <= h(y)``. So y visits each cell whose pivot lies within
 ``min(h(y), radius of the cell) + eps`` of it, and the pair meets in x's cell.
+That bound is below 1, so the visits come from an equi-join on values, cut short
+by the bound of each cell: both lists need only their rarest values.
+
+Records without a home are only ever the x of pairs whose other record has none
+either, so they are joined among themselves in a second round with pivots that
+suit sparse regions: the one-value sets. In it, a record has distance
+``1 - 1/size`` to each of its values' pivots and 1 to all others; of the equally
+near ones the rarest value's is its home, and y visits the pivots of its values
+that can be the rarest of a partner: its ``size - ceil(t * size) + 1`` rarest.
+Both rounds are exact; which sets are elected changes no result.
 
-A distance of 1 means no common value, so distances below 1 come from an
-equi-join on values with the few pivots, never from comparing all with all. That
-suffices while ``h(x) < 1 - eps``: then y's distance to that pivot is below 1.
-Cells take the records within a radius ``near`` of at most that. Records farther
-from every record pivot are only ever the x of pairs whose other record is as
-far, so they are joined among themselves in a second round with pivots that suit
-sparse regions: the one-value sets. In it, a record
-has distance ``1 - 1/size`` to each of its values' pivots and 1 to all others;
-of the equally near ones the rarest value's is its home, and y visits the pivots
-of its values that can be the rarest of a partner: its ``size - ceil(t * size)
-+ 1`` rarest. Both rounds are exact.
+Cells with more than ``crowd`` records are split by child pivots: one-value sets
+in the cell of a record, two-value sets in the cell of a value. A pair shares the
+one or two values that are its rarest common ones, so it meets in that child.
 
 Cells are joined by an equi-join on the cell. Each pair is tested where it meets:
 sizes, the pivot distances' difference (again the triangle inequality), a parity
@@ -27,7 +34,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.storage import materialize
@@ -37,18 +44,18 @@ _EPS = 1e-9
 
 @dataclass(frozen=True)
 class Pivots:
-    """Twice the root of a group's sets as pivots, at most ``count`` (the broadcast bound) of at most ``values`` values.
+    """``bands`` elections of pivots by two min-hashes each; homes within ``near`` of a pivot (below the threshold); cells split beyond ``crowd``."""
 
-    Records within ``near`` of a pivot are at home in its cell; a smaller radius means fewer visits of a cell
-    and more records in the second round, for the same pairs. It is at most the threshold.
-    """
-
-    count: int = 2048
-    near: float = 0.5
-    values: int = 64
+    bands: int = 8
+    near: float = 0.4
+    crowd: int = 256
     threshold: float = 0.7
     min_size: int = 4
 
+    @property
+    def reach(self) -> float:
+        return min(self.near, self.threshold - 2 * _EPS)
+
 
 def normal_values(column: str | Column) -> Column:
     """Values in lower case without white space, hyphens and underscores; no nulls, empties or repeats."""
@@ -58,7 +65,7 @@ def normal_values(column: str | Column) -> Column:
 
 
 def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """One row per different set (rid, grp, values as sorted hashes, size, signature), and members (rid, side, key)."""
+    """One row per different set (rid, grp, values as hashes from the rarest on, size, signature), and members (rid, side, key)."""
     hashed = F.array_sort(F.transform("values", lambda x: F.xxhash64(x)))
     rows = df.where(F.col("key").isNotNull() & (F.size("values") >= min_size)).select("grp", "side", "both", "key", hashed.alias("values"))
     rows = rows.withColumns({"h0": F.xxhash64("values"), "h1": F.xxhash64(F.lit(7), "values")})
@@ -72,44 +79,62 @@ def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
         F.monotonically_increasing_id().alias("rid"), "grp", "left", "right", "h0", "h1", "values",
         F.size("values").alias("size"), word(True).alias("low"), word(False).alias("high"),
     )
-    sets = materialize(sets, "sets")
+    sets = _rare_first(materialize(sets, "sets"))
     members = rows.select("grp", "h0", "h1", "side", "both", "key").distinct().join(sets.select("rid", "grp", "h0", "h1"), ["grp", "h0", "h1"])
     return sets.drop("h0", "h1"), materialize(members.select("rid", "grp", "both", "side", "key"), "members")
 
 
-def _pick_pivots(sets: DataFrame, how: Pivots) -> DataFrame:
-    """Pivots per group: sets whose hash comes first, so a fixed number spread over the data.
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """The sets with their values ordered by how many sets of the group have them, ties by the value."""
+    valued = sets.select("rid", "grp", F.explode("values").alias("value"))
+    counts = valued.groupBy("grp", "value").agg(F.count("*").alias("n"))
+    listed = valued.join(counts, ["grp", "value"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
+    ordered = listed.select("rid", F.transform("v", lambda x: x["value"]).alias("values"))
+    return materialize(sets.drop("values").join(ordered, "rid"), "ordered")
 
-    A pivot only steers where pairs meet; which sets are taken changes no result.
-    """
-    spread = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(3), "values"), "rid")
-    # Hashes are even, so keeping the smallest share of them leaves a bounded number of rows to rank.
-    sizes = {r["grp"]: r["n"] for r in sets.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    wanted = {grp: min(how.count, int(2 * n**0.5) + 8) for grp, n in sizes.items()}
-    share = F.lit(0.0)
-    limit = F.lit(0)
-    for grp, n in sizes.items():
-        share = F.when(F.col("grp") == grp, F.lit(min(1.0, 4 * wanted[grp] / n))).otherwise(share)
-        limit = F.when(F.col("grp") == grp, F.lit(wanted[grp])).otherwise(limit)
-    drawn = (F.pmod(F.xxhash64(F.lit(5), "values"), F.lit(1 << 20)) / F.lit(1 << 20)) < share
-    fit = sets.where(F.col("size") <= how.values).where(drawn).withColumn("n", F.row_number().over(spread)).where(F.col("n") <= limit)
-    return fit.select(F.col("rid").alias("pivot"), "grp", F.col("size").alias("pivot_size"), "values")
-
-
-def _distances(sets: DataFrame, pivots: DataFrame, most: float) -> DataFrame:
-    """Distances up to ``most``, which is below 1, between sets and pivots: rid, size, pivot, distance.
-
-    The sets are shuffled by rid before their values are unnested, so the counts need no shuffle of their own.
-    """
-    listed = pivots.select("grp", "pivot", "pivot_size", F.explode("values").alias("value"))
-    valued = sets.select("rid", "grp", "size", "values").repartition("rid").select("rid", "grp", "size", F.explode("values").alias("value"))
-    shared = valued.join(F.broadcast(listed), ["grp", "value"]).groupBy("rid", "size", "pivot", "pivot_size").agg(F.count("*").alias("both"))
-    found = shared.select("rid", "size", "pivot", (1 - F.col("both") / (F.col("size") + F.col("pivot_size") - F.col("both"))).alias("distance"))
-    return found.where(F.col("distance") <= F.lit(most))
+
+def _least(size: Column, share: Column | float) -> Column:
+    """Values that a set of this size must share with another of at least this similarity."""
+    return F.ceil((F.lit(share) if isinstance(share, float) else share) * size - F.lit(_EPS)).cast("int")
+
+
+def _homes(sets: DataFrame, how: Pivots) -> DataFrame:
+    """Nearest elected pivot of each set within reach: rid, cell (the pivot's rid), h."""
+    low = lambda seed: F.array_min(F.transform("values", lambda x: F.xxhash64(F.lit(seed), x)))
+    bands = F.array(*[F.xxhash64(F.lit(i), low(2 * i), low(2 * i + 1)) for i in range(how.bands)])
+    voted = sets.select("rid", "grp", F.explode(bands).alias("band"))
+    elected = voted.groupBy("grp", "band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(3), "rid").alias("order"), "rid"))["rid"].alias("cell"))
+    pairs = voted.join(elected.where("n > 1").select("grp", "band", "cell"), ["grp", "band"]).select("rid", "cell").distinct()
+    far = _distance(pairs, sets).where(F.col("distance") <= F.lit(how.reach))
+    return far.groupBy("rid").agg(F.min(F.struct("distance", "cell")).alias("m")).select("rid", F.col("m.cell").alias("cell"), F.col("m.distance").alias("h"))
+
+
+def _distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Jaccard distances of rid and cell."""
+    one = sets.select("rid", F.col("values").alias("u"))
+    two = sets.select(F.col("rid").alias("cell"), F.col("values").alias("v"))
+    both = F.size(F.array_intersect("u", "v"))
+    return pairs.join(one, "rid").join(two, "cell").select("rid", "cell", (1 - both / (F.size("u") + F.size("v") - both)).alias("distance"))
+
+
+def _visits(sets: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
+    """The cells that each set must visit: rid, cell, h (1 without a home), at (its distance to the pivot)."""
+    eps = 1 - how.threshold
+    radius = homes.groupBy("cell").agg(F.max("h").alias("radius"))
+    need = F.lit(1 - eps - _EPS) - F.col("radius")
+    pivots = radius.join(sets.select(F.col("rid").alias("cell"), "grp", "size", "values"), "cell").withColumn("need", need)
+    pivots = pivots.select("cell", "grp", F.col("size").alias("p_size"), "radius", "need", F.explode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), F.col("need")) + 1)).alias("value"))
+    most = min(1.0, 1 - eps - how.reach - _EPS)
+    placed = sets.select("rid", "grp", "size", F.posexplode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), most) + 1)).alias("place", "value"))
+    fits = (F.least("size", "p_size") >= F.col("need") * F.greatest("size", "p_size") - F.lit(_EPS)) & (F.col("place") <= F.col("size") - _least(F.col("size"), F.col("need")))
+    met = placed.join(pivots, ["grp", "value"]).where(fits).select("rid", "cell").distinct()
+    found = _distance(met, sets).join(radius, "cell").join(homes.select("rid", "h"), "rid", "left")
+    found = found.select("rid", "cell", F.coalesce("h", F.lit(1.0)).alias("h"), F.col("distance").alias("at"), "radius")
+    return found.where(F.col("at") <= F.least("h", "radius") + F.lit(eps + _EPS)).drop("radius")
 
 
 def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that meet in a cell and are similar: a, b, similarity."""
+    """Pairs that meet in a child of a cell and are similar: a, b, similarity."""
     about = sets.select("rid", "size", "low", "high", "left", "right")
     x, y = homes.join(about, "rid").alias("x"), visits.join(about, "rid").alias("y")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - F.lit(_EPS))
@@ -117,7 +142,7 @@ def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float
     sides = ((F.col("x.left") == 1) & (F.col("y.right") == 1)) | ((F.col("x.right") == 1) & (F.col("y.left") == 1))
     met = x.join(
         y,
-        (F.col("x.cell") == F.col("y.cell"))
+        (F.col("x.cell") == F.col("y.cell")) & (F.col("x.child") == F.col("y.child"))
         & ((F.col("x.h") < F.col("y.h")) | ((F.col("x.h") == F.col("y.h")) & (F.col("x.rid") < F.col("y.rid"))))
         & sides
         & (F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size") - F.lit(_EPS))
@@ -132,29 +157,34 @@ def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float
     return tested.where(F.col("similarity") >= F.lit(threshold - _EPS))
 
 
-def _dense_pairs(sets: DataFrame, distances: DataFrame, homes: DataFrame, threshold: float, reach: float) -> DataFrame:
-    """First round: cells of record pivots, for homes nearer than ``reach``."""
-    eps = 1 - threshold
-    near = homes.where(F.col("h") < F.lit(reach))
-    radius = near.groupBy("cell").agg(F.max("h").alias("radius"))
-    home = near.select("rid", "cell", "h", F.col("h").alias("at"))
-    visit = distances.select("rid", F.col("pivot").alias("cell"), F.col("distance").alias("at")).join(radius, "cell").join(homes.select("rid", "h"), "rid")
-    visit = visit.where(F.col("at") <= F.least("h", "radius") + F.lit(eps + _EPS))
-    return _meet(visit.select("rid", "cell", "h", "at"), home, sets, threshold)
-
-
-def _sparse_pairs(sets: DataFrame, far: DataFrame, threshold: float) -> DataFrame:
-    """Second round, among records far from all record pivots: cells of one-value pivots."""
-    left = sets.join(far.select("rid", "h"), "rid")
-    counts = left.select("grp", F.explode("values").alias("value")).groupBy("grp", "value").agg(F.count("*").alias("n"))
-    valued = left.select("rid", "grp", "size", F.explode("values").alias("value")).join(counts, ["grp", "value"])
-    rarest = Window.partitionBy("rid").orderBy("n", "value")
-    first = valued.withColumn("place", F.row_number().over(rarest))
-    first = first.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(_EPS)) + 1)
+def _dense_pairs(sets: DataFrame, visits: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
+    """First round: cells of record pivots; crowded ones are split by the rarest values of their records."""
+    crowded = visits.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > how.crowd).select("cell", F.lit(True).alias("crowded"))
+    rare = sets.select("rid", F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), how.threshold) + 1).alias("rare"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(crowded, "cell", "left")
+        whole = rows.where("crowded is null").select("rid", "cell", "h", "at", F.lit(0).cast("bigint").alias("child"))
+        return whole.unionByName(rows.where("crowded").join(rare, "rid").select("rid", "cell", "h", "at", F.explode("rare").alias("child")))
+
+    return _meet(placed(visits), placed(homes.withColumn("at", F.col("h"))), sets, how.threshold)
+
+
+def _sparse_pairs(sets: DataFrame, far: DataFrame, how: Pivots) -> DataFrame:
+    """Second round, among records without a home: cells of one-value pivots; crowded ones are split by two-value pivots."""
+    least = _least(F.col("size"), how.threshold)
+    rows = sets.join(far, "rid").select("rid", "grp", "size", "values", least.alias("least"))
     at = F.lit(1.0) - 1 / F.col("size")
-    cells = first.select("rid", F.xxhash64("grp", "value").alias("cell"), at.alias("h"), at.alias("at"))
-    # A pair's rarest common value is among the rarest of either record, whichever is at home there.
-    return _meet(cells, cells, sets, threshold)
+    # Two sets' rarest common value is among the first of either, the next one at most a place later.
+    later = F.slice("values", F.col("place") + 2, F.greatest(F.col("size") - F.greatest("least", F.lit(1)) + 1 - F.col("place"), F.lit(0)))
+    cells = rows.select("rid", "grp", "size", "least", "values", F.posexplode(F.slice("values", F.lit(1), F.col("size") - F.col("least") + 1)).alias("place", "value"))
+    cells = cells.select("rid", "least", F.xxhash64("grp", "value").alias("cell"), at.alias("h"), at.alias("at"), later.alias("later"))
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > how.crowd).select("cell", F.lit(True).alias("crowded"))
+    cells = cells.join(crowded, "cell", "left")
+    whole = cells.where("crowded is null or least < 2").select("rid", "cell", "h", "at", F.lit(0).cast("bigint").alias("child"))
+    split = cells.where("crowded").select("rid", "cell", "h", "at", F.explode("later").alias("child"))
+    cells = whole.unionByName(split)
+    return _meet(cells, cells, sets, how.threshold)
 
 
 def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, DataFrame]:
@@ -163,20 +193,17 @@ def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, Data
     ``df`` has grp, side, both, key and values (see :func:`normal_values`). A group
     joined with itself has each row on side 0 and on side 1, and both true; one
     that joins two tables has the first on side 0, the second on side 1, and both
-    false. Returns ``pairs(a, b, similarity)`` over set ids and ``members(rid,
-    grp, both, side, key)``. Null keys, null sets and sets under ``min_size``
-    take no part; repeated rows count once; empty tables give empty results.
+    false. Returns ``pairs(a, b, similarity, dense)`` over set ids, dense for those that met
+    in the cell of a record, and ``members(rid, grp, both, side, key)``. Null keys, null sets and sets
+    under ``min_size`` take no part; repeated rows count once; empty tables give empty results.
     """
     sets, members = _classes(df, how.min_size)
-    pivots = _pick_pivots(sets, how)
-    reach = min(how.near, how.threshold - _EPS)
-    # A visit is at most this far; a record without a pivot so near counts as at distance 1 from its home, as any beyond reach may.
-    distances = materialize(_distances(sets, pivots, reach + 1 - how.threshold + _EPS), "distances")
-    nearest = distances.groupBy("rid").agg(F.min(F.struct("distance", "pivot")).alias("m")).select("rid", F.col("m.distance").alias("h"), F.col("m.pivot").alias("cell"))
-    homes = materialize(sets.select("rid").join(nearest, "rid", "left").select("rid", F.coalesce("h", F.lit(1.0)).alias("h"), "cell"), "homes")
-    far = homes.where(F.col("h") >= F.lit(reach))
-    pairs = _dense_pairs(sets, distances, homes, how.threshold, reach).unionByName(_sparse_pairs(sets, far, how.threshold))
-    return materialize(pairs.distinct(), "pairs"), members
+    homes = materialize(_homes(sets, how), "homes")
+    visits = materialize(_visits(sets, homes, how), "visits")
+    far = sets.select("rid").join(homes.select("rid"), "rid", "left_anti")
+    dense = _dense_pairs(sets, visits, homes, how).withColumn("dense", F.lit(True))
+    pairs = dense.unionByName(_sparse_pairs(sets, far, how).withColumn("dense", F.lit(False)))
+    return materialize(pairs, "pairs"), members
 
 
 def similar_set_pairs(df: DataFrame, how: Pivots = Pivots()) -> DataFrame:
@@ -189,6 +216,7 @@ def similar_set_pairs(df: DataFrame, how: Pivots = Pivots()) -> DataFrame:
     pairs, members = similar_sets(df, how)
     one = members.where("side = 0").select("rid", "grp", "both", F.col("key").alias("x"))
     two = members.where("side = 1").select("rid", "grp", "both", F.col("key").alias("y"))
+    pairs = pairs.drop("dense")
     ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     different = ways.join(one.withColumnRenamed("rid", "a"), "a").join(two.select(F.col("rid").alias("b"), "y"), "b").drop("a", "b")
     same = one.join(two.select("rid", "y"), "rid").select(F.lit(1.0).alias("similarity"), "grp", "both", "x", "y")

@@ -56,7 +56,7 @@ class Hashing:
     root: float = 1.0
     cuts: int = 160
     part_rows: int = 16_384
-    sample: int = 1 << 16
+    sample: int = 1 << 15
     seed: int = 11
 
     def crowd(self, vectors: int, sampled: int) -> float:

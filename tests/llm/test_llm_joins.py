@@ -133,7 +133,7 @@ def as_table(spark, rows, grp, both, side=None):
     return df.select(F.lit(grp).alias("grp"), sides.alias("side"), F.lit(both).alias("both"), "key", set_join.normal_values("raw").alias("values"), "size")
 
 
-@pytest.mark.parametrize("how", [set_join.Pivots(), set_join.Pivots(count=0), set_join.Pivots(near=1.0), set_join.Pivots(near=0.1), set_join.Pivots(count=5, threshold=0.5), set_join.Pivots(count=1000, threshold=0.8, min_size=1)])
+@pytest.mark.parametrize("how", [set_join.Pivots(), set_join.Pivots(near=-1.0, crowd=1), set_join.Pivots(near=1.0, crowd=1), set_join.Pivots(near=0.1, bands=1), set_join.Pivots(crowd=2, threshold=0.5, min_size=1), set_join.Pivots(threshold=0.8, min_size=1)])
 def test_similar_sets_against_brute_force(spark, how):
     rows = sets(3)
     found = set_join.similar_set_pairs(as_table(spark, rows, "g", True), how).collect()
