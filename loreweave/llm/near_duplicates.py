@@ -13,8 +13,13 @@ so signatures of sets differ in at most as many bits as the sets in members).
 
 The order is by the count of the n-gram's bin over all records, then by its
 hash. Any total order gives the same pairs; counts make it a good one. Broadcast
-are only the count vector, ``bins`` numbers, and a filter of ``MARKS`` bits,
-whatever the data's size.
+are the count vector, ``bins`` numbers, and, up to ``MARKS`` bits, a filter sized by the
+records that have a candidate; beyond, those records are joined by a shuffle.
+
+An n-gram in the bins of more than ``crowd`` records is split: two records that share
+it as their rarest common n-gram also share the next one, which lies at most one place
+beyond the first so many. They meet at the two together, so no task holds all
+records of a frequent n-gram, and records that share nothing else never meet.
 """
 
 from __future__ import annotations
@@ -27,24 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.shingles import gram_sets, slices
+from loreweave.llm.shingles import gram_sets, mix, slices
 from loreweave.operators.components import connected_components
 from loreweave.storage import materialize
 
 _EPS = 1e-9
-#: Bits of the filter that keeps segments of records without candidates from being shuffled: 1 MiB, however many records.
-MARKS = 1 << 23
+#: Most bits of the filter that keeps records without candidates from being shuffled: 32 MiB, for 16 million records with candidates.
+MARKS = 1 << 28
 
 
 @dataclass(frozen=True)
 class Shape:
-    """How a text becomes a set: runs of ``n`` words, or of ``n`` characters."""
+    """How a text becomes a set: runs of ``n`` words (kind ``text``; ``word`` for those of a-z and 0-9 only), or of ``n`` characters (``char``)."""
 
-    kind: str = "word"
+    kind: str = "text"
     n: int = 5
     threshold: float = 0.8
     fragments: int = 16
     bins: int = 1 << 18
+    crowd: int = 1 << 14
 
 
 def _bin(grams: np.ndarray, bins: int) -> np.ndarray:
@@ -85,9 +91,10 @@ def _bin_counts(texts: DataFrame, shape: Shape) -> np.ndarray:
 
 
 class _Order:
-    """The global order and its cuts; sent to the executors as two vectors of ``bins`` numbers."""
+    """The global order, its cuts and the crowded bins; sent to the executors as vectors of ``bins`` numbers."""
 
-    def __init__(self, counts: np.ndarray, fragments: int) -> None:
+    def __init__(self, counts: np.ndarray, fragments: int, crowd: int) -> None:
+        self.crowded = counts > crowd
         by_count = np.argsort(counts, kind="stable")
         self.rank = np.empty(len(counts), dtype=np.int32)
         self.rank[by_count] = np.arange(len(counts), dtype=np.int32)
@@ -123,16 +130,24 @@ def _prefixes(texts: DataFrame, order, shape: Shape) -> DataFrame:
                 flag = np.uint64(1) << (bit & np.uint64(63))
                 low = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0)), first)
                 high = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), flag), first)
-                keep = place < size - np.ceil(shape.threshold * size - _EPS) + 1
-                rid = part.column("rid").to_numpy()[rows[keep]]
+                least = np.ceil(shape.threshold * size - _EPS).astype(np.int64)
+                first_ones = size - least + 1
+                crowded = order.value.crowded[_bin(grams, shape.bins)]
+                alone = np.flatnonzero((place < first_ones) & (~crowded | (least < 2)))
+                split = np.flatnonzero((place < first_ones) & crowded)
+                children = np.maximum(np.minimum(first_ones + 1, size)[split] - place[split] - 1, 0)
+                parent = np.repeat(split, children)
+                child = parent + 1 + np.arange(len(parent)) - np.repeat(np.cumsum(children) - children, children)
+                at = np.concatenate([alone, parent])
+                token = np.concatenate([grams[alone], mix(grams[parent] * np.uint64(3) + grams[child])])
                 yield pa.record_batch(
                     [
-                        pa.array(grams[keep].astype(np.uint32).view(np.int32)),
-                        pa.array(rid),
-                        pa.array(place[keep].astype(np.int32)),
-                        pa.array(size[keep].astype(np.int32)),
-                        pa.array(np.repeat(low, sizes)[keep].view(np.int64)),
-                        pa.array(np.repeat(high, sizes)[keep].view(np.int64)),
+                        pa.array(token.astype(np.uint32).view(np.int32)),
+                        pa.array(part.column("rid").to_numpy()[rows[at]]),
+                        pa.array(place[at].astype(np.int32)),
+                        pa.array(size[at].astype(np.int32)),
+                        pa.array(np.repeat(low, sizes)[at].view(np.int64)),
+                        pa.array(np.repeat(high, sizes)[at].view(np.int64)),
                     ],
                     ["token", "rid", "place", "size", "low", "high"],
                 )
@@ -141,25 +156,33 @@ def _prefixes(texts: DataFrame, order, shape: Shape) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(emit, schema)
 
 
-def _marks(candidates: DataFrame) -> np.ndarray:
-    """MARKS bits, those set that some candidate's rid falls on: a filter of fixed size."""
-    spot = F.pmod(F.xxhash64("rid"), F.lit(MARKS)).alias("spot")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("rid"))
+def _with_candidates(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The texts that may have a candidate: by a filter of 16 bits or more for each of them, or, where it would be too large, by a join."""
+    ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
+    bits = 1 << max(16, (16 * max(ids.count(), 1) - 1).bit_length())
+    if bits > MARKS:
+        return texts.select("rid", "text").join(ids, "rid", "left_semi")
+    spot = F.pmod(F.xxhash64("rid"), F.lit(bits)).alias("spot")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("spot") % 64).cast("int"))
-    words = ids.select(spot).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    marks = np.zeros(MARKS // 64, dtype=np.uint64)
-    marks[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return marks
+    words = ids.select(spot).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = np.zeros(bits // 64, dtype=np.uint64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    marks = texts.sparkSession.sparkContext.broadcast(found)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column("spot").to_numpy().astype(np.uint64)
+            hit = (marks.value[spots >> np.uint64(6)] >> (spots & np.uint64(63))) & np.uint64(1)
+            yield batch.select(["rid", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return texts.select("rid", "text", spot).mapInArrow(marked, "rid bigint, text string")
 
 
-def _segments(texts: DataFrame, order, marks, shape: Shape) -> DataFrame:
-    """One row per marked record and fragment: rid, fragment, the n-grams of that segment."""
+def _segments(texts: DataFrame, order, shape: Shape) -> DataFrame:
+    """One row per record and fragment: rid, fragment, the n-grams of that segment."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = batch.column("spot").to_numpy().astype(np.uint64)
-            marked = (marks.value[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(marked.astype(bool)))
             for part in slices(batch, "text"):
                 rows, grams, ranks = order.value.ordered(part.column("text"), shape)
                 if not len(rows):
@@ -170,8 +193,7 @@ def _segments(texts: DataFrame, order, marks, shape: Shape) -> DataFrame:
                 rid = part.column("rid").to_numpy()[rows[first]]
                 yield pa.record_batch([pa.array(rid), pa.array(fragment[first].astype(np.int32)), grams], ["rid", "fragment", "grams"])
 
-    spotted = texts.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(MARKS)).alias("spot"))
-    return spotted.mapInArrow(emit, "rid bigint, fragment int, grams array<bigint>")
+    return texts.mapInArrow(emit, "rid bigint, fragment int, grams array<bigint>")
 
 
 def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -212,13 +234,13 @@ def similar_classes(df: DataFrame, key: str, text: str, shape: Shape = Shape())
     partners, not even its copies; extra columns of ``df`` are ignored; repeated
     rows count once. An empty table gives empty results.
     """
-    if shape.kind not in ("word", "char") or shape.n < 1 or not 0 < shape.threshold <= 1:
+    if shape.kind not in ("text", "word", "char") or shape.n < 1 or not 0 < shape.threshold <= 1:
         raise ValueError(f"not a shape: {shape}")
     texts, members = _classes(df, key, text)
     context = df.sparkSession.sparkContext
-    order = context.broadcast(_Order(_bin_counts(texts, shape), shape.fragments))
+    order = context.broadcast(_Order(_bin_counts(texts, shape), shape.fragments, shape.crowd))
     candidates = materialize(_candidates(_prefixes(texts, order, shape), shape.threshold), "candidates")
-    segments = _segments(texts, order, context.broadcast(_marks(candidates)), shape)
+    segments = _segments(_with_candidates(texts, candidates), order, shape)
     return _overlaps(candidates, segments, shape.threshold), members, texts
 
 
@@ -252,6 +274,18 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, shape: Shape = Shap
     return both.groupBy(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).agg(F.max("similarity").alias("similarity"))
 
 
+def near_duplicate_classes(df: DataFrame, key: str, text: str, shape: Shape = Shape()) -> DataFrame:
+    """One row per key: key, class (the least key with the same text), copies (keys of the class), links (similar texts of other classes).
+
+    Copies are a class and are never paired, however many; a key that has several texts
+    is in the class of each. Cases and nulls as in :func:`similar_classes`.
+    """
+    pairs, members, _ = similar_classes(df, key, text, shape)
+    classes = members.groupBy("rid").agg(F.min("key").alias("class"), F.count("*").alias("copies"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
+    return members.join(classes, "rid").join(links, "rid", "left").select("key", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def near_duplicate_groups(df: DataFrame, key: str, text: str, shape: Shape = Shape()) -> DataFrame:
     """Groups of versions: key, group (the least key of its component), for groups of two keys or more.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.mixing import mix_sources
-from loreweave.llm.near_duplicates import Shape, near_duplicate_groups, near_duplicate_pairs
+from loreweave.llm.near_duplicates import Shape, near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.splitting import oversized_places, split_texts
 from loreweave.llm.tokens import count_tokens, encode
@@ -37,6 +37,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(chunks.select(F.lit("chunk").alias("kind"), "key_a", "key_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page title and chunk text with the class of its copies and the number of similar classes."""
+    titles = near_duplicate_classes(_titles(spark, sf_dir), "key", "text", TITLES)
+    chunks = near_duplicate_classes(_chunks(spark, sf_dir), "key", "text", CHUNKS)
+    return titles.select(F.lit("title").alias("kind"), "*").unionByName(chunks.select(F.lit("chunk").alias("kind"), "*"))
+
+
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its copies and the number of similar ones: five words of any script, similarity 0.8."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return near_duplicate_classes(texts, "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of pages and of chunks that are versions of one another, named by their least key."""
     titles = near_duplicate_groups(_titles(spark, sf_dir), "key", "text", TITLES)
@@ -128,4 +141,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p1_documents": p1_documents, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,37 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _word_ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = _bytes(texts)
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and row offsets of a string array without nulls."""
+    data, _ = _bytes(texts)
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    return points, np.concatenate(([0], np.cumsum(lengths)))
+
+
+#: First and last code points of scripts written without spaces, whose characters are words by themselves.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 outside words, 1 in a run that is a word, 2 a word by itself."""
+    kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(sys.maxunicode + 1)), dtype=np.int8, count=sys.maxunicode + 1)
+    for first, last in _UNSPACED:
+        kinds[first : last + 1] *= 2
+    return kinds
+
+
+def _word_ngrams(texts: pa.Array, n: int, unicode: bool) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = _points(texts) if unicode else _bytes(texts)
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    inside = _WORD[data]
+    kinds = _kinds()[data] if unicode else _WORD[data].astype(np.int8)
+    inside, alone = kinds > 0, kinds == 2
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
-    starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    goes_on = np.concatenate(([False], inside[:-1] & ~alone[:-1])) & ~alone
+    starts = np.flatnonzero(inside & (edge[:-1] | ~goes_on))
     if not len(starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     begun = np.zeros(len(data), dtype=np.int64)
@@ -63,22 +89,26 @@ def _word_ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _char_ngrams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of bytes; the texts hold ASCII only, so bytes are characters."""
-    data, offsets = _bytes(texts)
+    """N-grams of code points."""
+    data, offsets = _points(texts)
     last = len(data) - n + 1
     if last <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
     grams = np.zeros(last, dtype=np.uint64)
     for k in range(n):
-        grams = (grams << np.uint64(8)) | data[k : last + k].astype(np.uint64)
+        grams = mix(grams * _BASE + data[k : last + k].astype(np.uint64) + np.uint64(1))
     whole = rows[:last] == rows[n - 1 :]
-    return rows[:last][whole], mix(grams[whole] + np.uint64(1))
+    return rows[:last][whole], grams[whole]
 
 
 def gram_sets(texts: pa.Array, kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and hashed n-grams, sorted by both, each n-gram of a row once."""
-    rows, grams = (_word_ngrams if kind == "word" else _char_ngrams)(texts, n)
+    """Row numbers and hashed n-grams, sorted by both, each n-gram of a row once.
+
+    The kinds: ``word`` takes runs of a-z and 0-9, ``text`` runs of letters, marks and digits of
+    any script (single characters in scripts without spaces), ``char`` code points.
+    """
+    rows, grams = _char_ngrams(texts, n) if kind == "char" else _word_ngrams(texts, n, kind == "text")
     order = np.lexsort((grams, rows))
     rows, grams = rows[order], grams[order]
     if len(rows):

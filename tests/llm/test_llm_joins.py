@@ -52,18 +52,41 @@ def texts(seed, count=60):
     return rows
 
 
-@pytest.mark.parametrize("shape", [nd.Shape(), nd.Shape("word", 2, 0.7), nd.Shape("word", 1, 0.5, fragments=3, bins=64), nd.Shape("char", 3, 0.7)])
+@pytest.mark.parametrize("shape", [nd.Shape(), nd.Shape("word", 2, 0.7), nd.Shape("word", 1, 0.5, fragments=3, bins=64), nd.Shape("word", 2, 0.7, crowd=3), nd.Shape("word", 1, 0.5, crowd=0), nd.Shape("char", 3, 0.7)])
 def test_near_duplicates_against_brute_force(spark, shape):
     rows = texts(1)
     if shape.kind == "char":
         rows = [(k, None if t is None else t[:200].encode("ascii", "ignore").decode()) for k, t in rows]
-    sets = (lambda t: word_set(t, shape.n)) if shape.kind == "word" else (lambda t: {t[i : i + shape.n] for i in range(len(t) - shape.n + 1)})
+    sets = (lambda t: word_set(t, shape.n)) if shape.kind != "char" else (lambda t: {t[i : i + shape.n] for i in range(len(t) - shape.n + 1)})
     df = spark.createDataFrame(rows, "key string, text string").withColumn("rid", F.lit(1)).withColumn("copies", F.lit("clash"))
     found = nd.near_duplicate_pairs(df, "key", "text", shape).collect()
     assert len(found) == len({(r["key_a"], r["key_b"]) for r in found})
     assert {(r["key_a"], r["key_b"]) for r in found} == brute_texts(rows, sets, shape.threshold)
 
 
+def test_words_and_characters_of_all_scripts(spark):
+    long_ru = "новая заметка сравнивает старую страницу и ссылку на проект"
+    rows = [("r1", long_ru), ("r2", long_ru + "!"), ("r3", long_ru + " снова"), ("z1", "经过天缓存已经更新。没有段落"), ("z2", "经过天缓存已经更新没有段落了"), ("e1", "été à la plage, où naît"), ("e2", "ete a la plage ou nait")]
+    found = {(r["key_a"], r["key_b"]) for r in nd.near_duplicate_pairs(spark.createDataFrame(rows, "key string, text string"), "key", "text").collect()}
+    assert found == {("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("z1", "z2")}
+    chars = {(r["key_a"], r["key_b"]) for r in nd.near_duplicate_pairs(spark.createDataFrame(rows, "key string, text string"), "key", "text", nd.Shape("char", 3, 0.7)).collect()}
+    assert chars == brute_texts(rows, lambda t: {t[i : i + 3] for i in range(len(t) - 2)}, 0.7)
+
+
+def test_candidates_beyond_the_filter_are_joined(spark, monkeypatch):
+    rows = texts(2)
+    df = spark.createDataFrame(rows, "key string, text string")
+    monkeypatch.setattr(nd, "MARKS", 1)
+    found = {(r["key_a"], r["key_b"]) for r in nd.near_duplicate_pairs(df, "key", "text", nd.Shape("word", 2, 0.7)).collect()}
+    assert found == brute_texts(rows, lambda t: word_set(t, 2), 0.7)
+
+
+def test_classes_count_their_links(spark):
+    rows = [(f"k{i}", "a b c d e f g") for i in range(3)] + [("x", "a b c d e f g h"), ("y", "other words"), ("n", None)]
+    found = {r["key"]: (r["class"], r["copies"], r["links"]) for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "key string, text string"), "key", "text", nd.Shape("word", 2, 0.7)).collect()}
+    assert found == {"k0": ("k0", 3, 1), "k1": ("k0", 3, 1), "k2": ("k0", 3, 1), "x": ("x", 1, 1), "y": ("y", 1, 0)}
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "key string, text string")
     assert nd.near_duplicate_pairs(empty, "key", "text").count() == 0
