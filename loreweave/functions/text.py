@@ -187,10 +187,10 @@ def watched(path: Column, excluded_dirs: tuple[str, ...] = (), excluded_globs: t
 
 
 def safe_page_path(path: str | Column) -> Column:
-    """Relative path below wiki/ without empty, dot or reserved segments."""
+    """Relative path below wiki/ whose segments are sound names everywhere: not empty, without control or reserved characters, no dot before or blank behind, no device's name."""
     p = F.replace(_col(path), F.lit("\\"), F.lit("/"))
-    bad = r"(^|/)(\.{1,2}|con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
-    return F.coalesce(p.rlike(r"^wiki/.") & ~F.lower(p).rlike(bad) & ~F.contains(p, F.lit("//")) & ~p.rlike(r"[\x00-\x1f:*?\"<>|]"), F.lit(False))
+    shape = p.rlike("^wiki/") & ~p.rlike(r"//|/\z|[ .](/|\z)|(^|/)\.") & ~p.rlike(r"[\x00-\x1f<>:\"|?*]")
+    return F.coalesce(shape & ~F.lower(p).rlike(r"(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|\z)"), F.lit(False))
 
 
 def context_budget(size: str | Column) -> dict[str, Column]:

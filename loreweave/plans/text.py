@@ -148,7 +148,7 @@ _IDENTITY = r"CASE WHEN regexp_matches(lower(replace(raw, '\', '/')), '(?s)^(.*?
 _SLASHED = r"replace(raw, '\', '/')"
 _NAME = rf"regexp_replace({_SLASHED}, '^.*/', '')"
 _TYPES = "CASE " + " ".join(f"WHEN contains(p, '/{d}/') THEN '{t}'" for d, t in fn.TYPE_DIRS.items()) + r" WHEN regexp_matches(p, '(^|/)overview\.md$') THEN 'overview' END"
-_BAD = r"(^|/)(\.{1,2}|con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
+_BAD = r"(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"
 
 
 def _count_sql(name: str) -> str:
@@ -189,7 +189,7 @@ SQL = {
     "source_identities": f"SELECT DISTINCT page_id, raw, {_IDENTITY.format(_NAME)} AS identity, {_IDENTITY.format(_SLASHED)} AS reference FROM (SELECT page_id, unnest(sources) AS raw FROM retrieval_nodes) WHERE raw IS NOT NULL",
     "file_categories": rf"SELECT {_category_sql('path')} AS category, lower(list_last(string_split(replace(path, '\', '/'), '.'))) IN ({', '.join(repr(x) for x in fn.INGESTABLE)}) AND NOT regexp_matches(replace(path, '\', '/'), '(^|/)\.[^/]*$') AND NOT regexp_matches(replace(path, '\', '/'), '(^|/)\.cache/') AS ingestable, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT * FROM file_snapshots) GROUP BY ALL",
     "source_sizes": "SELECT DISTINCT project_id, path, size, CASE WHEN size >= 1024 ** 3 THEN printf('%.1f', round(size / 1024 ** 3, 1)) || ' GB' WHEN size >= 1024 ** 2 THEN printf('%.1f', round(size / 1024 ** 2, 1)) || ' MB' WHEN size >= 1024 THEN printf('%.1f', round(size / 1024.0, 1)) || ' KB' ELSE size || ' B' END AS shown FROM file_snapshots WHERE snapshot_no = 6",
-    "types_from_path": rf"WITH a AS (SELECT DISTINCT page_id, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p FROM wiki_pages) SELECT page_id, {_TYPES} AS type, coalesce(regexp_matches(q, '^wiki/.') AND NOT regexp_matches(p, '{_BAD}') AND NOT contains(q, '//') AND NOT regexp_matches(q, '[\x00-\x1f:*?\"<>|]'), false) AS safe FROM a",
+    "types_from_path": rf"WITH a AS (SELECT DISTINCT page_id, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p FROM wiki_pages) SELECT page_id, {_TYPES} AS type, coalesce(regexp_matches(q, '^wiki/') AND NOT regexp_matches(q, '//|/$|[ .](/|$)|(^|/)\.') AND NOT regexp_matches(p, '{_BAD}') AND NOT regexp_matches(q, '[\x00-\x1f:*?\"<>|]'), false) AS safe FROM a",
     "watched_files": rf"""WITH a AS (SELECT DISTINCT path, lower(replace(path, '\', '/')) AS p FROM file_snapshots)
 SELECT path, NOT list_has_any(string_split(p, '/'), {list(fn.INTERNAL_DIRS)}) AND NOT list_contains(string_split(p, '/'), 'archive') AND NOT contains('/' || p, '/raw/assets/')
   AND NOT regexp_matches(p, '(?s)^.*draft.*$') AND list_last(string_split(p, '.')) <> 'png'
