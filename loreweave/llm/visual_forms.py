@@ -1,12 +1,12 @@
 """One consistent form for texts that look the same.
 
 Text is exploded to positioned code points: a unit per base with its combining
-marks, and a single unit for a run of code points that no mapping touches. The
-code points of the other units are joined with a broadcast table that holds
-their decomposition and look-alikes; combining marks are ordered by class,
-base and marks are recomposed by a second broadcast table, and the units are
-put together again by position. Both tables come from the Unicode data, about
-14,000 rows, whatever the texts.
+marks, and a single unit for a run of code points that no mapping touches; a text
+without any code point that could change is one unit. The code points of the other
+units are joined with a broadcast table that holds their decomposition and
+look-alikes; combining marks are ordered by class, base and marks are recomposed
+by a second broadcast table, and the units are put together again by position.
+Both tables come from the Unicode data, about 14,000 rows, whatever the texts.
 
 Texts are shuffled once, by key; the exploded rows stay where they are.
 """
@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from loreweave.storage import materialize
 
-#: Letters of other scripts that look like the Latin (or Greek) letter before them.
+#: Letters of the Latin, Greek and Cyrillic scripts with the glyph of the letter before them.
 LOOK_ALIKES = {
-    "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ",
-    "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у", "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ",
-    "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ",
-    "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ", "Γ": "Г", "Π": "П", "Φ": "Ф", "κ": "к",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ",
+    "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү", "æ": "ӕ", "ə": "ә", "ɔ": "ͻ", "ɵ": "өѳ", "ʒ": "ӡ",
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν",
+    "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ", "Æ": "Ӕ", "Ə": "Ә",
+    "Ɔ": "Ͻ", "Ɵ": "ӨѲ", "Ɛ": "Ԑ", "Ʒ": "Ӡ", "Γ": "Г", "Λ": "Ʌ", "Π": "П", "Σ": "Ʃ", "Φ": "Ф", "Ψ": "Ѱ",
+    "α": "ɑ", "ε": "ɛԑ", "ι": "ɩ", "κ": "к", "μ": "µ", "ψ": "ѱ",
+    "в": "ʙ", "г": "ᴦ", "и": "ᴎ", "л": "ᴧ", "м": "ᴍ", "н": "ʜ", "п": "ᴨ", "т": "ᴛ", "я": "ᴙ", "ԍ": "ɢ",
 }
 #: Invisible code points that aren't format or control characters.
 _HIDDEN = r"\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}"
@@ -36,6 +39,7 @@ _JOINER = r"\x{200d}"
 #: Code points that neither change nor combine: ASCII and the unified ideographs.
 _SETTLED = r"[\x00-\x7f\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 #: A Hangul syllable in separate letters, which is composed as a whole.
+_JAMO = ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2))
 _HANGUL = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?"
 
 
@@ -62,7 +66,7 @@ def decompositions() -> dict[str, str]:
 
 def _char_class(characters: list[str]) -> str:
     """A regular-expression class body with ranges."""
-    points = sorted(map(ord, characters))
+    points = sorted(set(map(ord, characters)))
     ranges, start = [], points[0]
     for a, b in zip(points, [*points[1:], -1]):
         if b != a + 1:
@@ -71,6 +75,15 @@ def _char_class(characters: list[str]) -> str:
     return "".join(ranges)
 
 
+def _paged_class(characters: list[str]) -> str:
+    """A character class by pages, so that most code points are refused by a few comparisons."""
+    pages: dict[int, dict[int, list[str]]] = {}
+    for c in characters:
+        pages.setdefault(ord(c) >> 12, {}).setdefault(ord(c) >> 7, []).append(c)
+    page = lambda at, bits, body: f"[\\x{{{at << bits:x}}}-\\x{{{((at + 1) << bits) - 1:x}}}&&[{body}]]"
+    return "(?![\\x00-\\x7f])[" + "".join(page(at, 12, "".join(page(low, 7, _char_class(some)) for low, some in inner.items())) for at, inner in pages.items()) + "]"
+
+
 class Forms:
     """Both tables and the pattern of a unit, built once on the driver."""
 
@@ -84,6 +97,9 @@ class Forms:
         for c, plain in self.mapped.items():
             if len(plain) > 1 and unicodedata.normalize("NFC", c) == c and unicodedata.decomposition(c)[:1] != "<":
                 self.composed.setdefault(plain, c)
+        moved = [c for c, plain in self.mapped.items() if self.composed.get(plain, plain) != c]
+        jamo = [chr(x) for first, last in _JAMO for x in range(first, last + 1)]
+        self.odd = _paged_class([*combining, *moved, *jamo])
 
     def mapping(self, spark: SparkSession) -> DataFrame:
         """part, to: the code points it becomes, each with its class."""
@@ -120,9 +136,11 @@ def visual_forms(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     spark, forms = df.sparkSession, _forms()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key")
-    units = F.regexp_extract_all(_without_hidden(F.col("text")), F.lit(forms.unit), F.lit(0))
-    cut = rows.select("key", F.posexplode_outer(units).alias("unit_no", "unit"))
-    parts = F.when(F.col("unit").rlike(f"^{_SETTLED}+$"), F.array("unit")).otherwise(F.split("unit", ""))
+    plain = rows.select("key", _without_hidden(F.col("text")).alias("plain"))
+    plain = plain.withColumn("moves", F.coalesce(F.col("plain").rlike(forms.odd), F.lit(False)))
+    units = F.when(F.col("moves"), F.regexp_extract_all("plain", F.lit(forms.unit), F.lit(0))).otherwise(F.array("plain"))
+    cut = plain.select("key", "moves", F.posexplode_outer(units).alias("unit_no", "unit"))
+    parts = F.when(~F.col("moves") | F.col("unit").rlike(f"^{_SETTLED}+$"), F.array("unit")).otherwise(F.split("unit", ""))
     points = cut.select("key", "unit_no", F.posexplode(parts).alias("point_no", "part"))
     points = points.join(F.broadcast(forms.mapping(spark)), "part", "left")
     to = F.coalesce("to", F.array(F.struct(F.lit(0).alias("class"), F.col("part").alias("ch"))))

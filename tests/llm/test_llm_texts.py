@@ -191,3 +191,17 @@ def test_many_marks_are_quick(spark):
     text = "z" + "́" * 5000 + "̣" * 5000
     form = visual_forms.visual_forms(spark.createDataFrame([(1, text)], "doc bigint, body string"), "doc", "body").first()["form"]
     assert len(form) >= 10_000 and re.fullmatch("ẓ̣*́+", form)
+
+
+def test_look_alikes_of_three_scripts(spark):
+    twins = "æӕ ÆӔ əә ƏӘ cϲ jϳ yү ʒӡ ΣƩ εɛ μµ αɑ вʙ".split()
+    rows = [(f"{i}-{j}", "be" + c + "1") for i, pair in enumerate(twins) for j, c in enumerate(pair)]
+    found = {(r["key_a"], r["key_b"]) for r in visual_forms.alike_pairs(spark.createDataFrame(rows, "key string, text string"), "key", "text").collect()}
+    assert found == {(f"{i}-0", f"{i}-1") for i in range(len(twins))}
+
+
+def test_forms_of_odd_and_settled_texts(spark):
+    rows = [(i, f"сloud {i}\u00a0\uff21bc  e\u0301te\u0301 か\u3099，経過 " * 3) for i in range(40)] + [(90, None), (91, ""), (92, "plain ascii"), (93, "\u0301x"), (94, "x" * 100_000 + "\u200b")]
+    df = spark.createDataFrame(rows, "key int, text string")
+    formed = {r["key"]: r["form"] for r in visual_forms.visual_forms(df, "key", "text").collect()}
+    assert formed[7] == "cloud 7 Abc  été が,経過 " * 3 and formed[90] is None and formed[91] == "" and formed[92] == "plain ascii" and formed[94] == "x" * 100_000
