@@ -99,14 +99,16 @@ def _least(size: Column, share: Column | float) -> Column:
 
 
 def _homes(sets: DataFrame, how: Pivots) -> DataFrame:
-    """Nearest elected pivot of each set within reach: rid, cell (the pivot's rid), h."""
+    """Nearest elected pivot of each set within reach: rid, cell (the pivot's rid), h. A pivot that nobody else is near to has no cell."""
     low = lambda seed: F.array_min(F.transform("values", lambda x: F.xxhash64(F.lit(seed), x)))
     bands = F.array(*[F.xxhash64(F.lit(i), low(2 * i), low(2 * i + 1)) for i in range(how.bands)])
     voted = sets.select("rid", "grp", F.explode(bands).alias("band"))
     elected = voted.groupBy("grp", "band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(3), "rid").alias("order"), "rid"))["rid"].alias("cell"))
     pairs = voted.join(elected.where("n > 1").select("grp", "band", "cell"), ["grp", "band"]).select("rid", "cell").distinct()
     far = _distance(pairs, sets).where(F.col("distance") <= F.lit(how.reach))
-    return far.groupBy("rid").agg(F.min(F.struct("distance", "cell")).alias("m")).select("rid", F.col("m.cell").alias("cell"), F.col("m.distance").alias("h"))
+    homes = far.groupBy("rid").agg(F.min(F.struct("distance", "cell")).alias("m")).select("rid", F.col("m.cell").alias("cell"), F.col("m.distance").alias("h"))
+    homes = materialize(homes, "elected")
+    return homes.join(homes.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi").select("rid", "cell", "h")
 
 
 def _distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,11 +124,14 @@ def _visits(sets: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
     eps = 1 - how.threshold
     radius = homes.groupBy("cell").agg(F.max("h").alias("radius"))
     need = F.lit(1 - eps - _EPS) - F.col("radius")
-    pivots = radius.join(sets.select(F.col("rid").alias("cell"), "grp", "size", "values"), "cell").withColumn("need", need)
-    pivots = pivots.select("cell", "grp", F.col("size").alias("p_size"), "radius", "need", F.explode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), F.col("need")) + 1)).alias("value"))
+    pivots = radius.join(sets.select(F.col("rid").alias("cell"), "grp", "size", "values", "low", "high"), "cell").withColumn("need", need)
+    pivots = pivots.select("cell", "grp", F.col("size").alias("p_size"), "radius", "need", F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.explode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), F.col("need")) + 1)).alias("value"))
     most = min(1.0, 1 - eps - how.reach - _EPS)
-    placed = sets.select("rid", "grp", "size", F.posexplode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), most) + 1)).alias("place", "value"))
+    placed = sets.select("rid", "grp", "size", "low", "high", F.posexplode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), most) + 1)).alias("place", "value"))
     fits = (F.least("size", "p_size") >= F.col("need") * F.greatest("size", "p_size") - F.lit(_EPS)) & (F.col("place") <= F.col("size") - _least(F.col("size"), F.col("need")))
+    shared = F.ceil(F.col("need") / (1 + F.col("need")) * (F.col("size") + F.col("p_size")) - F.lit(_EPS))
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("p_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("p_high")))
+    fits = fits & (apart <= F.col("size") + F.col("p_size") - 2 * shared)
     met = placed.join(pivots, ["grp", "value"]).where(fits).select("rid", "cell").distinct()
     found = _distance(met, sets).join(radius, "cell").join(homes.select("rid", "h"), "rid", "left")
     found = found.select("rid", "cell", F.coalesce("h", F.lit(1.0)).alias("h"), F.col("distance").alias("at"), "radius")
