@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.plans import graph, ingest, maintain, pages, search, snapshots, streams, text
+from loreweave.plans import graph, ingest, maintain, pages, resolve, search, snapshots, streams, text
 
-_MODULES = (search, graph, text, pages, ingest, maintain, snapshots, streams)
+_MODULES = (search, graph, text, pages, ingest, resolve, maintain, snapshots, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
