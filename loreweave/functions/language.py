@@ -114,11 +114,28 @@ def with_language(df: DataFrame, text: str, into: str = "language") -> DataFrame
     return counted.withColumn(into, F.when(F.col(text).isNotNull(), value)).drop("_rare", "_counts", "_most", "_script", "_words")
 
 
-#: Families of languages that a guard takes for each other.
-FAMILIES = {"Chinese": "cjk", "Japanese": "cjk", "Korean": "cjk", "Russian": "cyrillic", "Arabic": "arabic", "Persian": "arabic", "Hebrew": "hebrew", "Hindi": "indic", "Thai": "thai", "Greek": "greek"}
+#: Languages that a guard takes for each other, languages that it tells from all others, and the characters that it looks at.
+EAST_ASIAN, DISTINCT, GUARDED = ("Chinese", "Traditional Chinese", "Japanese", "Korean"), ("Arabic", "Persian", "Hindi", "Thai", "Hebrew"), 1500
 
 
-def language_matches(text: Column, language: Column, target: str) -> Column:
-    """Whether a text in a language fits a target language's family; texts under 20 characters pass."""
-    family = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
-    return (F.length(text) < 20) | (F.coalesce(F.try_element_at(family, language), F.lit("latin")) == FAMILIES.get(target, "latin"))
+def guarded_sample(text: Column) -> Column:
+    """What a language guard looks at: the first 1500 characters without frontmatter, code and maths."""
+    body = F.regexp_replace(text, r"(?s)\A.{3}.*?\n---\n", "")
+    for part in (r"(?s)```.*?```", r"(?s)\$\$.*?\$\$", r"\$[^$\n]*\$"):
+        body = F.regexp_replace(body, part, "")
+    return F.substring(body, 1, GUARDED)
+
+
+def language_matches(sample: Column, language: Column, target: str) -> Column:
+    """Whether a sample in a language fits a target language; samples under 20 characters pass.
+
+    East Asian languages fit one another, languages with a script of their own only themselves (Arabic and Persian each
+    for itself, too, but such a text passes for a target of the same script), and all others, Russian and Greek among them, one another.
+    """
+    if target in EAST_ASIAN:
+        fits = language.isin(*EAST_ASIAN)
+    elif target in DISTINCT:
+        fits = language == target
+    else:
+        fits = ~language.isin(*EAST_ASIAN, *DISTINCT)
+    return (F.length(F.trim(sample)) < 20) | fits

@@ -10,6 +10,11 @@ from loreweave.functions.text import _col, frontmatter, list_field, ref_key, sca
 #: Start and factor of the 32-bit FNV-1a hash, and the greatest length of a summary's slug.
 FNV_START, FNV_FACTOR, SLUG_LENGTH = 0x811C9DC5, 0x01000193, 120
 
+#: Stores that an import never enters, formats that often hold settings, and the largest file that it takes.
+INTERNAL, SETTINGS, IMPORT_LIMIT = r"(^|/)(\.llm-wiki-imported|\.llm-wiki)(/|$)", ("json", "yaml", "yml", "xml"), 100 * 1024 * 1024
+#: Words of an answer that a text was too long.
+OVERSIZE = ("too long", "maximum context", "max_tokens", "max tokens", "context length", "token limit", "exceeds", "input length")
+
 
 def stable_hash(text: str | Column) -> Column:
     """32-bit FNV-1a over UTF-16 units, as a whole number; null for null."""
@@ -76,16 +81,16 @@ def entity_summary(text: str | Column, slug: Column) -> Column:
 
 
 def import_skipped(path: str | Column, size: str | Column) -> Column:
-    """Files that a scheduled import passes over: internal, cached, dot files, settings that may hold secrets, over 100 MiB."""
-    p = F.lower(F.replace(_col(path), F.lit("\\"), F.lit("/")))
-    inner = p.rlike(r"(^|/)(\.[^/]+|node_modules|wiki)(/|$)")
-    secret = p.rlike(r"(^|/)[^/]*(secret|credential|token|password|config|settings)[^/]*\.(json|ya?ml|xml)$")
-    return F.coalesce(inner | secret | (_col(size) > 100 * 1024 * 1024), F.lit(False))
+    """Files of a project that a scheduled import passes over: its stores, its own wiki, its cache, dot files, formats that often hold settings, and files above the limit."""
+    p = F.replace(_col(path), F.lit("\\"), F.lit("/"))
+    inner = p.rlike(INTERNAL) | p.rlike(r"^(wiki|raw/sources/\.cache)(/|$)") | p.rlike(r"(^|/)\.[^/]*$")
+    settings = F.lower(p).rlike(rf"\.({'|'.join(SETTINGS)})$")
+    return F.coalesce(inner | settings | (_col(size) > IMPORT_LIMIT), F.lit(False))
 
 
-def oversize_error(message: str | Column) -> Column:
-    """Whether an error says that the text was too long."""
-    return F.coalesce(_col(message).rlike(r"(?i)\b413\b|too (long|large)|maximum context|context length|exceeds? .*(token|length|limit)"), F.lit(False))
+def oversize_error(status: str | Column, message: str | Column) -> Column:
+    """Whether an answer says that the text was too long, by its status or its words."""
+    return F.coalesce((_col(status) == 413) | F.lower(_col(message)).rlike("|".join(OVERSIZE)), F.lit(False))
 
 
 __all__ = [

@@ -36,9 +36,14 @@ def source_identity(path: str | Column, keep_unmatched: bool = False) -> Column:
     return F.when(matched, inside).otherwise(plain if keep_unmatched else F.regexp_replace(plain, "^.*/", ""))
 
 
-def source_matches(target: Column, reference: Column) -> Column:
-    """Whether a reference names the source: the same identity, letter case ignored."""
-    return F.lower(source_identity(reference, keep_unmatched=True)) == F.lower(target)
+def source_matches(target: Column, references: Column) -> Column:
+    """Whether any of the references names the source: the same identity, letter case ignored; null references name none.
+
+    A bare name fits a target in a folder in no case, so a file of that name elsewhere keeps its references; two bare
+    names fit when they are equal.
+    """
+    keys = F.transform(F.filter(references, lambda r: r.isNotNull()), lambda r: F.lower(source_identity(r, keep_unmatched=True)))
+    return F.coalesce(F.array_contains(keys, F.lower(target)), F.lit(False))
 
 
 #: Extensions of each category of files.
@@ -167,23 +172,33 @@ def glob_match(path: Column, pattern: str) -> Column:
     return F.lower(path).rlike(f"(?s)^{body}$")
 
 
-#: Directories that a watcher never looks into.
-INTERNAL_DIRS = (".git", ".cache", "node_modules", ".obsidian")
+#: Files and folders that a watcher never reports.
+UNWATCHED_NAMES, UNWATCHED = ("thumbs.db", "desktop.ini"), r"(^|/)\.llm-wiki/|^wiki/media/|\.ds_store$"
 
 
-def watched(path: Column, excluded_dirs: tuple[str, ...] = (), excluded_globs: tuple[str, ...] = (), excluded_ext: tuple[str, ...] = ()) -> Column:
-    """Files a watcher reports: not internal, not excluded; outside raw/ only Markdown of the wiki and its two guides."""
-    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    parts = F.split(p, "/")
-    kept = ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in INTERNAL_DIRS]))
+def watched(
+    path: Column, excluded_dirs: tuple[str, ...] = (), excluded_globs: tuple[str, ...] = (), excluded_ext: tuple[str, ...] = (), included_ext: tuple[str, ...] = ()
+) -> Column:
+    """Files a watcher reports: sources by their extension, else Markdown of the wiki and its two guides.
+
+    Excluded are folders (by name, or by path if they have a slash), globs on the whole path or the name, and among
+    sources extensions, or all but the included ones if there are any.
+    """
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    p = F.lower(plain)
+    name, parts = F.regexp_replace(p, "^.*/", ""), F.split(p, "/")
+    kept = (p != "") & ~p.rlike(UNWATCHED) & ~name.isin(*UNWATCHED_NAMES)
     for d in excluded_dirs:
         d = d.lower().strip("/")
         kept = kept & ~(F.contains(F.concat(F.lit("/"), p), F.lit(f"/{d}/")) if "/" in d else F.array_contains(parts, d))
     for g in excluded_globs:
-        kept = kept & ~glob_match(p, g)
-    if excluded_ext:
-        kept = kept & ~extension(p).isin(*[e.lower().lstrip(".") for e in excluded_ext])
-    return kept & (p.rlike("^raw/") | p.rlike(r"^wiki/.*\.md$") | p.isin("purpose.md", "schema.md"))
+        kept = kept & ~glob_match(p, g) & ~glob_match(name, g)
+    ext = F.when(F.contains(name, F.lit(".")), extension(name)).otherwise("")
+    plain_ext = lambda names: [e.lower().lstrip(".") for e in names]
+    source = ~ext.isin(*plain_ext(excluded_ext)) if excluded_ext else F.lit(True)
+    if included_ext:
+        source = source & ext.isin(*plain_ext(included_ext))
+    return kept & F.when(plain.startswith("raw/sources/"), source).otherwise(plain.isin("purpose.md", "schema.md") | plain.rlike(r"(?s)^wiki/.*\.md$"))
 
 
 def safe_page_path(path: str | Column) -> Column:
@@ -210,8 +225,10 @@ def context_budget(size: str | Column) -> dict[str, Column]:
 GREETINGS = (
     "(hi|hello|hey|yo|sup|howdy|hiya|heya|hullo)( there| y'all| you| folks| everyone)?",
     "good (morning|afternoon|evening|day|night)",
-    "what'?s up|wassup|whaddup|greetings",
-    "(你好|您好|大家好|嗨|哈喽|哈啰|哈囉|哈罗|喂|早|早啊|早安|早上好|中午好|下午好|晚上好|晚安)[啊呀吖呢么呗哦哈]?",
+    "(what'?s up|wassup|whaddup)",
+    "greetings",
+    "(你好|您好|大家好|嗨|哈喽|哈啰|哈囉|哈罗|喂)[啊呀吖呢么呗哦哈]?",
+    "(早|早啊|早安|早上好|中午好|下午好|晚上好|晚安)[啊呀吖呢么呗哦哈]?",
     "在吗|在嗎|在不在|有人吗|有人嗎|有人在吗|有人在嗎",
     "こんにちは|こんばんは|おはよう|おはようございます|やあ|どうも|はじめまして",
     "안녕|안녕하세요|안녕하십니까",

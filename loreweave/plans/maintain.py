@@ -10,7 +10,7 @@ from loreweave.operators import maintain as op
 from loreweave.plans.graph import nodes, related_all
 from loreweave.plans.snapshots import P4_FOUND, p4_found
 from loreweave.plans.text import _KEY
-from loreweave.storage import table
+from loreweave.storage import materialize, table
 
 
 
@@ -53,7 +53,8 @@ def rewritten_links(spark, sf_dir) -> DataFrame:
     n = nodes(spark, sf_dir)
     links = n.select("id", F.posexplode("out_links").alias("place", "target")).where("target is not null")
     moved = op.redirects(n.select("id", "title"))
-    return op.rewrite_links(links, moved).groupBy("id").agg(F.count("*").alias("links"), F.sum((F.col("target") != F.col("was")).cast("int")).alias("moved"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]), "|").alias("targets")  # a page's own links
+    return op.rewrite_links(links, moved).groupBy("id").agg(F.count("*").alias("links"), F.sum((F.col("target") != F.col("was")).cast("int")).alias("moved"), listed)
 
 
 def review_merge(spark, sf_dir) -> DataFrame:
@@ -72,31 +73,45 @@ def strip_links(spark, sf_dir) -> DataFrame:
     known = pages.select(fn.ref_key("id").alias("key")).unionByName(pages.select(fn.ref_key("title").alias("key"))).where("key is not null").distinct()
     gone = links.join(known, "key", "left_anti").groupBy("item_id").agg(F.collect_set("key").alias("gone"))
     stripped = bodies.join(gone, "item_id")
-    return stripped.select("item_id", F.size("gone").alias("dead"), F.length(fn.without_links(F.col("text"), F.col("gone"))).alias("chars"))
+    text = fn.without_links(F.col("text"), F.col("gone"))
+    return stripped.select("item_id", F.size("gone").alias("dead"), F.length(text).alias("chars"), F.md5(text.cast("binary")).alias("hash"))
 
 
-def _listing(spark, sf_dir, no: int) -> DataFrame:
-    """The rows of one listing that hold: the latest received of each file."""
-    rows = table(spark, sf_dir, "file_snapshots").where(F.col("snapshot_no") == no)
+def _listings(spark, sf_dir) -> DataFrame:
+    """The rows of all listings that hold: the latest received of each file."""
+    rows = table(spark, sf_dir, "file_snapshots")
     path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^\./", "").alias("path")
     best = F.max(F.struct("received_at", F.lower("hash").alias("hash"), "size", "mtime_ms")).alias("m")
-    return rows.select("project_id", path, "received_at", "hash", "size", "mtime_ms").groupBy("project_id", "path").agg(best).select("project_id", "path", "m.hash", "m.size", "m.mtime_ms")
+    return rows.select("snapshot_no", "project_id", path, "received_at", "hash", "size", "mtime_ms").groupBy("snapshot_no", "project_id", "path").agg(best).select("snapshot_no", "project_id", "path", "m.hash", "m.size", "m.mtime_ms")
+
+
+_FILE = ["snapshot_no", "project_id", "path"]
+
+
+def _with_before(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All listings but the first, and all but the last under the number of the one after it."""
+    held = materialize(_listings(spark, sf_dir), "listings")
+    after = held.select("snapshot_no").distinct().select((F.col("snapshot_no") - 1).alias("snapshot_no"))
+    first = held.agg(F.min("snapshot_no")).first()[0]
+    before = held.join(F.broadcast(after), "snapshot_no", "left_semi").withColumn("snapshot_no", F.col("snapshot_no") + 1)
+    return held.where(F.col("snapshot_no") > F.lit(first)), before
 
 
 def ingest_cache_misses(spark, sf_dir) -> DataFrame:
-    return op.cache_misses(_listing(spark, sf_dir, 6), _listing(spark, sf_dir, 1), ["project_id", "path"])
+    """Files of every listing that a cache of the one before doesn't hold."""
+    return op.cache_misses(*_with_before(spark, sf_dir), _FILE)
 
 
 def import_changes(spark, sf_dir) -> DataFrame:
-    return op.changed_imports(_listing(spark, sf_dir, 6), _listing(spark, sf_dir, 5), ["project_id", "path"])
+    return op.changed_imports(*_with_before(spark, sf_dir), _FILE)
 
 
 def rescan_prefilter(spark, sf_dir) -> DataFrame:
-    """Files whose size or time moved between the last listings, and how many of them differ in hash."""
-    keys = ["project_id", "path"]
-    old = _listing(spark, sf_dir, 5).select(*keys, F.col("hash").alias("h"), F.col("size").alias("s"), F.col("mtime_ms").alias("m"))
-    moved = _listing(spark, sf_dir, 6).join(old, keys).where("size <> s or mtime_ms <> m")
-    return moved.groupBy("project_id").agg(F.count("*").alias("moved"), F.sum((~F.col("hash").eqNullSafe(F.col("h"))).cast("int")).alias("changed"))
+    """Files whose size or time moved since the listing before, and how many of them differ in hash."""
+    now, before = _with_before(spark, sf_dir)
+    old = before.select(*_FILE, F.col("hash").alias("h"), F.col("size").alias("s"), F.col("mtime_ms").alias("m"))
+    moved = now.join(old, _FILE).where("size <> s or mtime_ms <> m")
+    return moved.groupBy("snapshot_no", "project_id").agg(F.count("*").alias("moved"), F.sum((~F.col("hash").eqNullSafe(F.col("h"))).cast("int")).alias("changed"))
 
 
 def coalesced_changes(spark, sf_dir) -> DataFrame:
@@ -216,7 +231,7 @@ SELECT id, CASE WHEN NOT hit THEN 'skip' WHEN kept <> '' THEN 'keep' ELSE 'delet
 r AS (SELECT id AS old, new FROM k JOIN c USING (key) WHERE id <> new), l AS (SELECT id, unnest(out_links) AS t, generate_subscripts(out_links, 1) AS i FROM n),
 w AS (SELECT l.id, i, t AS was, coalesce(new, t) AS target FROM l LEFT JOIN r ON r.old = l.t WHERE t IS NOT NULL),
 f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id, lower(target) ORDER BY i) = 1)
-SELECT id, count(*) AS links, sum((target <> was)::INT)::BIGINT AS moved FROM f GROUP BY id""",
+SELECT id, count(*) AS links, sum((target <> was)::INT)::BIGINT AS moved, string_agg(target, '|' ORDER BY i) AS targets FROM f GROUP BY id""",
     "review_merge": f"WITH {_REVIEWS} SELECT kind, key, arg_min(id, (created_at, id)) AS first_id, arg_max(id, (created_at, id)) AS last_id, count(*) AS n, arg_max(description, (created_at, id)) FILTER (description <> '') AS description, count(DISTINCT project) AS projects FROM rv GROUP BY kind, key",
     "sweep_rules": f"""WITH {_REVIEWS}, nm AS (SELECT lower(page_id) AS name FROM wiki_pages UNION SELECT lower(trim(title, ' ')) FROM wiki_pages WHERE title IS NOT NULL),
 f AS (SELECT id FROM rv WHERE key IN (SELECT name FROM nm) OR regexp_replace(key, '\\s+', '-', 'g') IN (SELECT name FROM nm))
@@ -224,13 +239,13 @@ SELECT id, CASE kind WHEN 'duplicate' THEN 'page is gone' ELSE 'page exists' END
     "strip_links": rf"""WITH b AS (SELECT DISTINCT item_id, text FROM page_bodies WHERE text IS NOT NULL),
 l AS (SELECT item_id, unnest(regexp_extract_all(text, '(\[\[[^\]|]+(?:\|[^\]]*)?\]\])', 1)) AS link FROM b),
 k AS (SELECT item_id, link, regexp_extract(link, '{_LINK}', 1) AS target, regexp_extract(link, '\|([^\]]*)\]\]$', 1) AS alias FROM l),
-d AS (SELECT item_id, {_KEY.format('target')} AS key, length(link) - length(CASE WHEN alias <> '' THEN alias ELSE target END) AS less FROM k),
-g AS (SELECT item_id, count(DISTINCT key) AS dead, sum(less) AS less FROM d WHERE key NOT IN (SELECT {_KEY.format('page_id')} FROM wiki_pages UNION ALL SELECT {_KEY.format('title')} FROM wiki_pages WHERE title IS NOT NULL) GROUP BY item_id)
-SELECT item_id, dead::INT AS dead, (length(text) - less)::INT AS chars FROM b JOIN g USING (item_id)""",
-    "ingest_cache_misses": f"""WITH {_LISTING}, j AS (SELECT a.project_id, a.path, a.hash, b.hash AS old, b.path IS NOT NULL AS known FROM (SELECT * FROM li WHERE no = 6) a LEFT JOIN (SELECT * FROM li WHERE no = 1) b USING (project_id, path))
-SELECT project_id, path, CASE WHEN NOT known THEN 'new' WHEN hash IS NULL OR old IS NULL THEN 'no hash' ELSE 'changed' END AS reason FROM j WHERE NOT known OR hash IS NULL OR old IS NULL OR hash <> old""",
-    "import_changes": f"WITH {_LISTING} SELECT project_id, path, size, mtime_ms FROM li WHERE no = 6 EXCEPT SELECT project_id, path, size, mtime_ms FROM li WHERE no = 5",
-    "rescan_prefilter": f"WITH {_LISTING} SELECT project_id, count(*) AS moved, sum((a.hash IS DISTINCT FROM b.hash)::INT)::BIGINT AS changed FROM (SELECT * FROM li WHERE no = 6) a JOIN (SELECT * FROM li WHERE no = 5) b USING (project_id, path) WHERE a.size <> b.size OR a.mtime_ms <> b.mtime_ms GROUP BY project_id",
+d AS (SELECT item_id, link, {_KEY.format('target')} AS key, length(link) - length(CASE WHEN alias <> '' THEN alias ELSE target END) AS less FROM k),
+g AS (SELECT item_id, count(DISTINCT key) AS dead, sum(less) AS less, list(DISTINCT link ORDER BY link) AS links FROM d WHERE key NOT IN (SELECT {_KEY.format('page_id')} FROM wiki_pages UNION ALL SELECT {_KEY.format('title')} FROM wiki_pages WHERE title IS NOT NULL) GROUP BY item_id)
+SELECT item_id, dead::INT AS dead, (length(text) - less)::INT AS chars, md5(list_reduce(links, lambda s, x: replace(s, x, coalesce(nullif(regexp_extract(x, '\|([^\]]*)\]\]$', 1), ''), regexp_extract(x, '{_LINK}', 1))), text)) AS hash FROM b JOIN g USING (item_id)""",
+    "ingest_cache_misses": f"""WITH {_LISTING}, j AS (SELECT a.no, a.project_id, a.path, a.hash, b.hash AS old, b.path IS NOT NULL AS known FROM (SELECT * FROM li WHERE no > (SELECT min(no) FROM li)) a LEFT JOIN (SELECT * REPLACE (no + 1 AS no) FROM li) b USING (no, project_id, path))
+SELECT no AS snapshot_no, project_id, path, CASE WHEN NOT known THEN 'new' WHEN hash IS NULL OR old IS NULL THEN 'no hash' ELSE 'changed' END AS reason FROM j WHERE NOT known OR hash IS NULL OR old IS NULL OR hash <> old""",
+    "import_changes": f"WITH {_LISTING} SELECT no AS snapshot_no, project_id, path, size, mtime_ms FROM li WHERE no > (SELECT min(no) FROM li) EXCEPT SELECT no + 1, project_id, path, size, mtime_ms FROM li",
+    "rescan_prefilter": f"WITH {_LISTING} SELECT a.no AS snapshot_no, project_id, count(*) AS moved, sum((a.hash IS DISTINCT FROM b.hash)::INT)::BIGINT AS changed FROM li a JOIN (SELECT * REPLACE (no + 1 AS no) FROM li) b USING (no, project_id, path) WHERE a.size <> b.size OR a.mtime_ms <> b.mtime_ms GROUP BY a.no, project_id",
     "coalesced_changes": f"""WITH c AS (SELECT snapshot_no AS n, project_id, path, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'deleted' ELSE 'modified' END AS kind FROM ({P4_FOUND}))
 SELECT project_id, path, list_reduce(list(kind ORDER BY n), lambda a, b: CASE WHEN (a = 'deleted' AND b = 'created') OR (a = 'created' AND b = 'deleted') THEN 'modified' ELSE b END) AS kind, count(*)::INT AS changes FROM c GROUP BY project_id, path""",
     "chunk_upsert": f"""WITH c AS (SELECT DISTINCT chunk_id, page_id, chunk_index, chunk_text, ingested_at FROM wiki_chunks), late AS (SELECT * FROM c WHERE ingested_at > {_MIDDLE}),
@@ -245,5 +260,8 @@ SELECT page_id, count(*) AS chunks, max(ingested_at) AS latest FROM u GROUP BY p
     "chat_last_messages": r"""WITH a AS (SELECT doc_id AS conversation, regexp_extract_all(text, '(?m)^((?:user|assistant): [^\r\n]*)', 1) AS l FROM documents),
 b AS (SELECT conversation, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS turn FROM a)
 SELECT conversation, turn::INT AS turn, regexp_extract(line, '^([a-z]+): ', 1) AS role, regexp_replace(line, '^[a-z]+: ', '') AS content, (row_number() OVER (PARTITION BY conversation ORDER BY turn DESC))::INT AS back FROM b QUALIFY back <= 4""",
+    "chat_saved_messages": r"""WITH a AS (SELECT doc_id AS conversation, regexp_extract_all(text, '(?m)^((?:user|assistant): [^\r\n]*)', 1) AS l FROM documents),
+b AS (SELECT conversation, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS turn FROM a)
+SELECT conversation, turn::INT AS turn, regexp_extract(line, '^([a-z]+): ', 1) AS role, regexp_replace(line, '^[a-z]+: ', '') AS content, (row_number() OVER (PARTITION BY conversation ORDER BY turn DESC))::INT AS back FROM b QUALIFY back <= 100""",
     "rate_limit": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events QUALIFY recent > 2",
 }

@@ -27,7 +27,7 @@ def slug_hashes(spark, sf_dir) -> DataFrame:
 def stamped_pages(spark, sf_dir) -> DataFrame:
     """Documents with their field ``updated`` set to one date."""
     rows = table(spark, sf_dir, "documents").where("text like '---%'")
-    return rows.select("doc_id", F.length(fn.set_scalar("text", "type", F.lit("checked"))).alias("chars"))
+    return rows.select("doc_id", F.md5(fn.set_scalar("text", "type", F.lit("checked")).cast("binary")).alias("hash"))
 
 
 def source_pages(spark, sf_dir) -> DataFrame:
@@ -122,11 +122,11 @@ SELECT doc_id, 'doc-' || doc_id AS slug, coalesce({text._scalar_sql('type')}, 'u
     "slug_hashes": f"""WITH a AS (SELECT DISTINCT {_IDENTITY} AS identity FROM (SELECT unnest(sources) AS raw FROM retrieval_nodes) WHERE raw IS NOT NULL)
 SELECT identity, CASE WHEN identity = '' THEN {fn.FNV_START} ELSE list_reduce(list_prepend({fn.FNV_START}::BIGINT, list_transform(string_split(identity, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {fn.FNV_FACTOR}) & 4294967295) END AS hash FROM a""",
     "stamped_pages": f"""WITH a AS (SELECT doc_id, text, {_F} AS f, {_BODY} AS body FROM documents WHERE text LIKE '---%')
-SELECT doc_id, (CASE WHEN f = '' THEN length(text) ELSE 8 + length(body) + CASE WHEN regexp_matches(f, '(?m)^type:') THEN length(regexp_replace(f, '(?m)^type:[ \\t]*[^\\r\\n]*', 'type: checked', 'g')) ELSE length(f) + 14 END END)::INT AS chars FROM a""",
+SELECT doc_id, md5(CASE WHEN f = '' THEN text ELSE '---' || chr(10) || CASE WHEN regexp_matches(f, '(?m)^type:') THEN regexp_replace(f, '(?m)^type:[ \\t]*[^\\r\\n]*', 'type: checked', 'g') ELSE f || 'type: checked' || chr(10) END || '---' || chr(10) || body END) AS hash FROM a""",
     "source_pages": graph._BASE + f"""SELECT identity, count(DISTINCT id) AS pages, min(id) AS first_page FROM (SELECT id, lower({_IDENTITY}) AS identity FROM (SELECT id, unnest(sources) AS raw FROM n) WHERE raw IS NOT NULL) GROUP BY identity""",
     "log_operations": r"WITH a AS (SELECT unnest(regexp_extract_all(text, '(?m)^## (\[[0-9-]{10}\] [a-z]+ \|)', 1)) AS x FROM documents) SELECT substr(x, 2, 7) AS month, regexp_extract(x, '\] ([a-z]+) ', 1) AS operation, count(*) AS n FROM a GROUP BY ALL",
-    "import_skips": r"""WITH a AS (SELECT DISTINCT project_id, lower(replace(path, '\', '/')) AS p, path, size FROM file_snapshots)
-SELECT project_id, count(*) AS files, sum((regexp_matches(p, '(^|/)(\.[^/]+|node_modules|wiki)(/|$)') OR regexp_matches(p, '(^|/)[^/]*(secret|credential|token|password|config|settings)[^/]*\.(json|ya?ml|xml)$') OR size > 104857600)::INT)::BIGINT AS skipped FROM a GROUP BY project_id""",
+    "import_skips": r"""WITH a AS (SELECT DISTINCT project_id, lower(replace(path, '\', '/')) AS p, replace(path, '\', '/') AS q, path, size FROM file_snapshots)
+SELECT project_id, count(*) AS files, sum((regexp_matches(q, '(^|/)\.llm-wiki(-imported)?(/|$)') OR q = 'wiki' OR starts_with(q, 'wiki/') OR starts_with(q, 'raw/sources/.cache/') OR regexp_matches(q, '(^|/)\.[^/]*$') OR regexp_extract(p, '\.([^./]*)$', 1) IN ('json', 'yaml', 'yml', 'xml') OR size > 104857600)::INT)::BIGINT AS skipped FROM a GROUP BY project_id""",
     "graph_expansion": graph._REL + f""", h AS (SELECT id FROM n WHERE {_HITS} > 0), w AS (SELECT a AS id, b AS other, relevance FROM rr UNION ALL SELECT b, a, relevance FROM rr),
 k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other) <= 3)
 SELECT other AS id, round(max(relevance), 6) AS relevance, count(*) AS hits FROM k WHERE round(relevance, 6) >= 2 AND id IN (SELECT id FROM h) AND other NOT IN (SELECT id FROM h) GROUP BY other""",

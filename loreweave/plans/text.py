@@ -65,9 +65,9 @@ def file_categories(spark, sf_dir) -> DataFrame:
 
 
 def source_sizes(spark, sf_dir) -> DataFrame:
-    """Files of the last listing with readable sizes."""
-    files = table(spark, sf_dir, "file_snapshots").where("snapshot_no = 6").select("project_id", "path", "size").distinct()
-    return files.select("project_id", "path", "size", fn.format_bytes("size").alias("shown"))
+    """Files of all listings with readable sizes."""
+    files = table(spark, sf_dir, "file_snapshots").select("snapshot_no", "project_id", "path", "size").distinct()
+    return files.select("snapshot_no", "project_id", "path", "size", fn.format_bytes("size").alias("shown"))
 
 
 def types_from_path(spark, sf_dir) -> DataFrame:
@@ -76,7 +76,7 @@ def types_from_path(spark, sf_dir) -> DataFrame:
 
 def watched_files(spark, sf_dir) -> DataFrame:
     p = F.col("path")
-    seen = fn.watched(p, ("archive", "raw/assets"), ("*draft*",), ("png",))
+    seen = fn.watched(p, ("archive", "raw/sources/assets"), ("*draft*", "a?*.html"), ("png",))
     return table(spark, sf_dir, "file_snapshots").select("path").distinct().select("path", seen.alias("watched"), fn.glob_match(p, "raw/*.m?").alias("markdown"))
 
 
@@ -97,13 +97,15 @@ def detect_languages(spark, sf_dir) -> DataFrame:
 
 def script_histogram(spark, sf_dir) -> DataFrame:
     counts = language.script_counts(F.col("text"))
-    names = ("Chinese", "Japanese", "Korean", "Russian", "Greek", "Arabic", "Thai")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.sum(counts[n]).alias(n.lower()) for n in names])
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.sum(counts[n]).alias(n.lower()) for n in language.SCRIPTS])
 
 
 def language_guard(spark, sf_dir) -> DataFrame:
-    rows = language.with_language(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"), "text")
-    return rows.where(~language.language_matches(F.col("text"), F.col("language"), "English")).select("doc_id")
+    """Documents that don't fit English, and those that don't fit Japanese."""
+    samples = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", language.guarded_sample(F.col("text")).alias("sample"))
+    rows = language.with_language(samples, "sample")
+    fits = [language.language_matches(F.col("sample"), F.col("language"), t).alias(t.lower()) for t in ("English", "Japanese", "Thai")]
+    return rows.select("doc_id", *fits)
 
 
 def greetings(spark, sf_dir) -> DataFrame:
@@ -155,7 +157,7 @@ def _count_sql(name: str) -> str:
     return f"len(regexp_extract_all(text, '{language.script_class(name)}'))"
 
 
-def _language_sql() -> str:
+def _language_sql(source: str = "documents") -> str:
     counts = ", ".join(f"{_count_sql(n)} AS {n}" for n in language.SCRIPTS)
     rules = []
     for name, letters, words in language.LATIN:
@@ -170,12 +172,12 @@ def _language_sql() -> str:
         shown = f"CASE WHEN {persian} >= 3 AND {persian} > {arabic} THEN 'Persian' ELSE 'Arabic' END" if n == "Arabic" else f"'{n}'"
         scripts.append(f"WHEN m >= 2 AND {n} = m THEN {shown}")
     most = f"greatest({', '.join(language.SCRIPTS)})"
-    return f"""WITH c AS (SELECT doc_id, text, {counts} FROM documents), k AS (SELECT *, {most} AS m FROM c),
+    return f"""WITH c AS (SELECT doc_id, text, {counts} FROM {source}), k AS (SELECT *, {most} AS m FROM c),
 g AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL WHEN Japanese > 0 AND Chinese > 0 THEN 'Japanese' {' '.join(scripts)} {' '.join(rules)} ELSE 'English' END AS language FROM k)
 """
 
 
-_FAMILY = "CASE language " + " ".join(f"WHEN '{n}' THEN '{f}'" for n, f in language.FAMILIES.items()) + " ELSE 'latin' END"
+_SAMPLES = r"""(SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\A.{3}.*?\n---\n', ''), '(?s)```.*?```', '', 'g'), '(?s)\$\$.*?\$\$', '', 'g'), '\$[^$\n]*\$', '', 'g'), 1, 1500) AS text FROM documents WHERE text IS NOT NULL)"""
 _GREET = "^(" + "|".join(f"({g})" for g in fn.GREETINGS) + ")$"
 _BODIES = "SELECT DISTINCT item_id, text FROM page_bodies"
 SQL = {
@@ -188,17 +190,19 @@ SQL = {
     "review_keys": rf"SELECT doc_id, regexp_extract(text, '^REVIEW ([a-z-]+) \| ([^\r\n]*)', 1) AS kind, trim(regexp_replace(regexp_replace(lower(regexp_extract(text, '^REVIEW ([a-z-]+) \| ([^\r\n]*)', 2)), '^({'|'.join(fn.REVIEW_PREFIXES)})[:：]\s*', ''), '\s+', ' ', 'g'), ' ') AS key FROM documents WHERE text LIKE 'REVIEW %'",
     "source_identities": f"SELECT DISTINCT page_id, raw, {_IDENTITY.format(_NAME)} AS identity, {_IDENTITY.format(_SLASHED)} AS reference FROM (SELECT page_id, unnest(sources) AS raw FROM retrieval_nodes) WHERE raw IS NOT NULL",
     "file_categories": rf"SELECT {_category_sql('path')} AS category, lower(list_last(string_split(replace(path, '\', '/'), '.'))) IN ({', '.join(repr(x) for x in fn.INGESTABLE)}) AND NOT regexp_matches(replace(path, '\', '/'), '(^|/)\.[^/]*$') AND NOT regexp_matches(replace(path, '\', '/'), '(^|/)\.cache/') AS ingestable, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT * FROM file_snapshots) GROUP BY ALL",
-    "source_sizes": "SELECT DISTINCT project_id, path, size, CASE WHEN size >= 1024 ** 3 THEN printf('%.1f', round(size / 1024 ** 3, 1)) || ' GB' WHEN size >= 1024 ** 2 THEN printf('%.1f', round(size / 1024 ** 2, 1)) || ' MB' WHEN size >= 1024 THEN printf('%.1f', round(size / 1024.0, 1)) || ' KB' ELSE size || ' B' END AS shown FROM file_snapshots WHERE snapshot_no = 6",
+    "source_sizes": "SELECT DISTINCT snapshot_no, project_id, path, size, CASE WHEN size >= 1024 ** 3 THEN printf('%.1f', round(size / 1024 ** 3, 1)) || ' GB' WHEN size >= 1024 ** 2 THEN printf('%.1f', round(size / 1024 ** 2, 1)) || ' MB' WHEN size >= 1024 THEN printf('%.1f', round(size / 1024.0, 1)) || ' KB' ELSE size || ' B' END AS shown FROM file_snapshots",
     "types_from_path": rf"WITH a AS (SELECT DISTINCT page_id, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p FROM wiki_pages) SELECT page_id, {_TYPES} AS type, coalesce(regexp_matches(q, '^wiki/') AND NOT regexp_matches(q, '//|/$|[ .](/|$)|(^|/)\.') AND NOT regexp_matches(p, '{_BAD}') AND NOT regexp_matches(q, '[\x00-\x1f:*?\"<>|]'), false) AS safe FROM a",
-    "watched_files": rf"""WITH a AS (SELECT DISTINCT path, lower(replace(path, '\', '/')) AS p FROM file_snapshots)
-SELECT path, NOT list_has_any(string_split(p, '/'), {list(fn.INTERNAL_DIRS)}) AND NOT list_contains(string_split(p, '/'), 'archive') AND NOT contains('/' || p, '/raw/assets/')
-  AND NOT regexp_matches(p, '(?s)^.*draft.*$') AND list_last(string_split(p, '.')) <> 'png'
-  AND (regexp_matches(p, '^raw/') OR regexp_matches(p, '^wiki/.*\.md$') OR p IN ('purpose.md', 'schema.md')) AS watched, regexp_matches(lower(path), '(?s)^raw/.*\.m.$') AS markdown FROM a""",
+    "watched_files": rf"""WITH a AS (SELECT DISTINCT path, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p, regexp_replace(lower(replace(path, '\', '/')), '^.*/', '') AS n FROM file_snapshots)
+SELECT path, p <> '' AND NOT contains('/' || p, '/.llm-wiki/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
+  AND NOT list_contains(string_split(p, '/'), 'archive') AND NOT contains('/' || p, '/raw/sources/assets/') AND NOT regexp_matches(p, '(?s)^.*draft.*$') AND NOT regexp_matches(n, '^.*draft.*$')
+  AND NOT regexp_matches(p, '(?s)^a..*\.html$') AND NOT regexp_matches(n, '^a..*\.html$')
+  AND (CASE WHEN starts_with(q, 'raw/sources/') THEN n NOT LIKE '%.png' ELSE q IN ('purpose.md', 'schema.md') OR (starts_with(q, 'wiki/') AND q LIKE '%.md') END) AS watched, regexp_matches(lower(path), '(?s)^raw/.*\.m.$') AS markdown FROM a""",
     "clip_slugs": r"SELECT DISTINCT page_id, substr(regexp_replace(regexp_replace(lower(trim(title, ' ')), '[^\p{L}\p{N}\s-]', '', 'g'), '[\s-]+', '-', 'g'), 1, 50) AS slug FROM (SELECT DISTINCT page_id, title FROM wiki_pages WHERE title IS NOT NULL)",
     "clip_hosts": r"SELECT regexp_replace(lower(regexp_extract(u, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS host, count(*) AS clips FROM (SELECT regexp_extract(text, '(https?://[^\s]+)', 1) AS u FROM documents) WHERE u <> '' GROUP BY 1",
     "detect_languages": _language_sql() + "SELECT doc_id, language FROM g",
-    "script_histogram": "SELECT lang, " + ", ".join(f"sum({_count_sql(n)})::BIGINT AS {n.lower()}" for n in ("Chinese", "Japanese", "Korean", "Russian", "Greek", "Arabic", "Thai")) + " FROM documents GROUP BY lang",
-    "language_guard": _language_sql() + f"SELECT doc_id FROM g WHERE text IS NOT NULL AND length(text) >= 20 AND {_FAMILY} <> 'latin'",
+    "script_histogram": "SELECT lang, " + ", ".join(f"sum({_count_sql(n)})::BIGINT AS {n.lower()}" for n in language.SCRIPTS) + " FROM documents GROUP BY lang",
+    "language_guard": _language_sql(_SAMPLES) + """SELECT doc_id, length(trim(text, ' ')) < 20 OR language NOT IN ('Chinese', 'Traditional Chinese', 'Japanese', 'Korean', 'Arabic', 'Persian', 'Hindi', 'Thai', 'Hebrew') AS english,
+  length(trim(text, ' ')) < 20 OR language IN ('Chinese', 'Traditional Chinese', 'Japanese', 'Korean') AS japanese, length(trim(text, ' ')) < 20 OR language = 'Thai' AS thai FROM g""",
     "greetings": rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^user: ([^\r\n]*)', 1)) AS t FROM documents),
 c AS (SELECT doc_id, lower(trim(regexp_replace(trim(t, ' '), '[\s!！。.?？~，,、;；:：]+$', ''), ' ')) AS t FROM t)
 SELECT doc_id, count(*) AS turns, sum((length(t) <= 20 AND regexp_matches(t, '{_GREET.replace(chr(39), chr(39) * 2)}'))::INT)::BIGINT AS greetings FROM c GROUP BY doc_id""",
