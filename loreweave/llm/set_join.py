@@ -66,7 +66,7 @@ def normal_values(column: str | Column) -> Column:
 
 def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """One row per different set (rid, grp, values as hashes from the rarest on, size, signature), and members (rid, side, key)."""
-    hashed = F.array_sort(F.transform("values", lambda x: F.xxhash64(x)))
+    hashed = F.array_sort(F.transform("values", lambda x: F.xxhash64("grp", x)))  # values of different groups are different
     rows = df.where(F.col("key").isNotNull() & (F.size("values") >= min_size)).select("grp", "side", "both", "key", hashed.alias("values"))
     rows = rows.withColumns({"h0": F.xxhash64("values"), "h1": F.xxhash64(F.lit(7), "values")})
     sets = rows.groupBy("grp", "h0", "h1").agg(F.first("values").alias("values"), F.max((F.col("side") == 0).cast("int")).alias("left"), F.max((F.col("side") == 1).cast("int")).alias("right"))
@@ -86,9 +86,9 @@ def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
 
 def _rare_first(sets: DataFrame) -> DataFrame:
     """The sets with their values ordered by how many sets of the group have them, ties by the value."""
-    valued = sets.select("rid", "grp", F.explode("values").alias("value"))
-    counts = valued.groupBy("grp", "value").agg(F.count("*").alias("n"))
-    listed = valued.join(counts, ["grp", "value"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
+    valued = sets.select("rid", F.explode("values").alias("value"))
+    counts = valued.groupBy("value").agg(F.count("*").alias("n"))
+    listed = valued.join(counts, "value").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
     ordered = listed.select("rid", F.transform("v", lambda x: x["value"]).alias("values"))
     return materialize(sets.drop("values").join(ordered, "rid"), "ordered")
 
@@ -102,9 +102,9 @@ def _homes(sets: DataFrame, how: Pivots) -> DataFrame:
     """Nearest elected pivot of each set within reach: rid, cell (the pivot's rid), h. A pivot that nobody else is near to has no cell."""
     low = lambda seed: F.array_min(F.transform("values", lambda x: F.xxhash64(F.lit(seed), x)))
     bands = F.array(*[F.xxhash64(F.lit(i), low(2 * i), low(2 * i + 1)) for i in range(how.bands)])
-    voted = sets.select("rid", "grp", F.explode(bands).alias("band"))
-    elected = voted.groupBy("grp", "band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(3), "rid").alias("order"), "rid"))["rid"].alias("cell"))
-    pairs = voted.join(elected.where("n > 1").select("grp", "band", "cell"), ["grp", "band"]).select("rid", "cell").distinct()
+    voted = sets.select("rid", F.explode(bands).alias("band"))
+    elected = voted.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(3), "rid").alias("order"), "rid"))["rid"].alias("cell"))
+    pairs = voted.join(elected.where("n > 1").select("band", "cell"), "band").select("rid", "cell").distinct()
     far = _distance(pairs, sets).where(F.col("distance") <= F.lit(how.reach))
     homes = far.groupBy("rid").agg(F.min(F.struct("distance", "cell")).alias("m")).select("rid", F.col("m.cell").alias("cell"), F.col("m.distance").alias("h"))
     homes = materialize(homes, "elected")
@@ -124,24 +124,23 @@ def _visits(sets: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
     eps = 1 - how.threshold
     radius = homes.groupBy("cell").agg(F.max("h").alias("radius"))
     need = F.lit(1 - eps - _EPS) - F.col("radius")
-    pivots = radius.join(sets.select(F.col("rid").alias("cell"), "grp", "size", "values", "low", "high"), "cell").withColumn("need", need)
-    pivots = pivots.select("cell", "grp", F.col("size").alias("p_size"), "radius", "need", F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.explode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), F.col("need")) + 1)).alias("value"))
+    pivots = radius.join(sets.select(F.col("rid").alias("cell"), "size", "values", "low", "high"), "cell").withColumn("need", need)
+    pivots = pivots.select("cell", F.col("size").alias("p_size"), "radius", "need", F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.explode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), F.col("need")) + 1)).alias("value"))
     most = min(1.0, 1 - eps - how.reach - _EPS)
-    placed = sets.select("rid", "grp", "size", "low", "high", F.posexplode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), most) + 1)).alias("place", "value"))
+    placed = sets.select("rid", "size", "low", "high", F.posexplode(F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), most) + 1)).alias("place", "value"))
     fits = (F.least("size", "p_size") >= F.col("need") * F.greatest("size", "p_size") - F.lit(_EPS)) & (F.col("place") <= F.col("size") - _least(F.col("size"), F.col("need")))
     shared = F.ceil(F.col("need") / (1 + F.col("need")) * (F.col("size") + F.col("p_size")) - F.lit(_EPS))
     apart = F.bit_count(F.col("low").bitwiseXOR(F.col("p_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("p_high")))
     fits = fits & (apart <= F.col("size") + F.col("p_size") - 2 * shared)
-    met = placed.join(pivots, ["grp", "value"]).where(fits).select("rid", "cell").distinct()
+    met = placed.join(pivots, "value").where(fits).select("rid", "cell").distinct()
     found = _distance(met, sets).join(radius, "cell").join(homes.select("rid", "h"), "rid", "left")
     found = found.select("rid", "cell", F.coalesce("h", F.lit(1.0)).alias("h"), F.col("distance").alias("at"), "radius")
     return found.where(F.col("at") <= F.least("h", "radius") + F.lit(eps + _EPS)).drop("radius")
 
 
 def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that meet in a child of a cell and are similar: a, b, similarity."""
-    about = sets.select("rid", "size", "low", "high", "left", "right")
-    x, y = homes.join(about, "rid").alias("x"), visits.join(about, "rid").alias("y")
+    """Pairs that meet in a child of a cell and are similar: a, b, similarity. Both sides have h, at and what the tests need of a set."""
+    x, y = homes.alias("x"), visits.alias("y")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - F.lit(_EPS))
     apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
     sides = ((F.col("x.left") == 1) & (F.col("y.right") == 1)) | ((F.col("x.right") == 1) & (F.col("y.left") == 1))
@@ -162,34 +161,41 @@ def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float
     return tested.where(F.col("similarity") >= F.lit(threshold - _EPS))
 
 
-def _dense_pairs(sets: DataFrame, visits: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
-    """First round: cells of record pivots; crowded ones are split by the rarest values of their records."""
-    crowded = visits.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > how.crowd).select("cell", F.lit(True).alias("crowded"))
-    rare = sets.select("rid", F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), how.threshold) + 1).alias("rare"))
+#: What the tests of a pair need of a set, and the most crowded cells whose list (16 bytes each) is broadcast.
+_ABOUT, BROADCAST_CELLS = ("size", "low", "high", "left", "right"), 100_000
+
 
-    def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.join(crowded, "cell", "left")
-        whole = rows.where("crowded is null").select("rid", "cell", "h", "at", F.lit(0).cast("bigint").alias("child"))
-        return whole.unionByName(rows.where("crowded").join(rare, "rid").select("rid", "cell", "h", "at", F.explode("rare").alias("child")))
+def _crowded(cells: DataFrame, crowd: int) -> DataFrame:
+    """``cells`` with ``crowded``, true in cells of more than ``crowd`` rows."""
+    found = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell", F.lit(True).alias("crowded")), "crowded")
+    joined = cells.join(F.broadcast(found) if found.count() <= BROADCAST_CELLS else found, "cell", "left")
+    return joined.withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
-    return _meet(placed(visits), placed(homes.withColumn("at", F.col("h"))), sets, how.threshold)
+
+def _dense_pairs(sets: DataFrame, visits: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
+    """First round: cells of record pivots; crowded ones are split by the rarest values of their records."""
+    rare = F.slice("values", F.lit(1), F.col("size") - _least(F.col("size"), how.threshold) + 1)
+    about = sets.select("rid", *_ABOUT, rare.alias("rare"))
+    held = homes.select("rid", "cell", "h", F.col("h").alias("at"), F.lit(True).alias("home"))
+    rows = _crowded(held.unionByName(visits.withColumn("home", F.lit(False))), how.crowd).join(about, "rid")
+    split = F.when(F.col("crowded"), F.col("rare")).otherwise(F.array(F.lit(0).cast("bigint")))
+    placed = materialize(rows.select("rid", "cell", "h", "at", "home", *_ABOUT, F.explode(split).alias("child")), "placed")
+    return _meet(placed.where("not home"), placed.where("home"), sets, how.threshold)
 
 
 def _sparse_pairs(sets: DataFrame, far: DataFrame, how: Pivots) -> DataFrame:
     """Second round, among records without a home: cells of one-value pivots; crowded ones are split by two-value pivots."""
-    least = _least(F.col("size"), how.threshold)
-    rows = sets.join(far, "rid").select("rid", "grp", "size", "values", least.alias("least"))
+    rows = sets.join(far, "rid").withColumn("least", _least(F.col("size"), how.threshold))
     at = F.lit(1.0) - 1 / F.col("size")
     # Two sets' rarest common value is among the first of either, the next one at most a place later.
     later = F.slice("values", F.col("place") + 2, F.greatest(F.col("size") - F.greatest("least", F.lit(1)) + 1 - F.col("place"), F.lit(0)))
-    cells = rows.select("rid", "grp", "size", "least", "values", F.posexplode(F.slice("values", F.lit(1), F.col("size") - F.col("least") + 1)).alias("place", "value"))
-    cells = cells.select("rid", "least", F.xxhash64("grp", "value").alias("cell"), at.alias("h"), at.alias("at"), later.alias("later"))
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > how.crowd).select("cell", F.lit(True).alias("crowded"))
-    cells = cells.join(crowded, "cell", "left")
-    whole = cells.where("crowded is null or least < 2").select("rid", "cell", "h", "at", F.lit(0).cast("bigint").alias("child"))
-    split = cells.where("crowded").select("rid", "cell", "h", "at", F.explode("later").alias("child"))
-    cells = whole.unionByName(split)
-    return _meet(cells, cells, sets, how.threshold)
+    first = F.slice("values", F.lit(1), F.col("size") - F.col("least") + 1)
+    cells = rows.select("rid", *_ABOUT, "least", "values", F.posexplode(first).alias("place", "cell"))
+    cells = _crowded(cells.select("rid", *_ABOUT, "least", "cell", later.alias("later")), how.crowd)
+    whole = F.when(~F.col("crowded") | (F.col("least") < 2), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    children = F.concat(whole, F.when(F.col("crowded"), F.col("later")).otherwise(F.array().cast("array<bigint>")))
+    placed = cells.select("rid", "cell", at.alias("h"), at.alias("at"), *_ABOUT, F.explode(children).alias("child"))
+    return _meet(placed, placed, sets, how.threshold)
 
 
 def similar_sets(df: DataFrame, how: Pivots = Pivots()) -> tuple[DataFrame, DataFrame]:
