@@ -108,3 +108,47 @@ def search_mode(tokens: int, with_vector: bool) -> str:
     if not with_vector:
         return "keyword"
     return "hybrid" if tokens else "vector"
+
+
+#: What separates tokens and what is cut from the ends of a phrase in the dialect that counts occurrences, with the greatest length and start of its snippets.
+NARROW_SEPARATORS, PHRASE_ENDS = r"[\s,，。！？、；：“”‘’\"'（）()\-_/\\·~～…]+", "^[\\s\"'「」『』]+|[\\s\"'「」『』.,，。！？!?]+$"
+WINDOW, LEAD, FALLBACK = 200, 60, 160
+
+
+def counted_tokens(query: str) -> list[str]:
+    """Tokens of a query in order, in the dialect that counts occurrences: full stops, colons and the like stay inside tokens."""
+    found: list[str] = []
+    for word in re.split(NARROW_SEPARATORS, query.lower()):
+        if len(word) < 2 or word in STOP_WORDS:
+            continue
+        if len(word) > 2 and _IDEOGRAPH.search(word):
+            found += [word[i : i + 2] for i in range(len(word) - 1)] + [c for c in word if c not in STOP_WORDS]
+        found.append(word)
+    return list(dict.fromkeys(found)) or [w for w in [query.strip().lower()] if w]
+
+
+def counted_phrase(query: str) -> str:
+    return re.sub(PHRASE_ENDS, "", query.lower()).strip()
+
+
+def counted_score(stem: Column, title: Column, body: Column, query: str) -> dict[str, Column]:
+    """Score in the dialect that counts occurrences, and whether the title matches; all three texts in lower case."""
+    tokens, phrase = counted_tokens(query), counted_phrase(query)
+    in_title = sum((occurrences(title, t) for t in tokens), F.lit(0))
+    in_body = sum((occurrences(body, t) for t in tokens), F.lit(0))
+    exact = (stem == re.sub(r"\s+", "-", phrase)) if phrase else F.lit(False)
+    titled = F.contains(title, F.lit(phrase)) if phrase else F.lit(False)
+    score = exact.cast("int") * STEM_BONUS + in_title * TITLE_WEIGHT + in_body * CONTENT_WEIGHT
+    score = score + titled.cast("int") * TITLE_PHRASE_BONUS + F.least(occurrences(body, phrase), F.lit(PHRASE_LIMIT)) * PHRASE_WEIGHT
+    return {"score": score.cast("double"), "title_match": exact | (in_title > 0) | titled}
+
+
+def counted_snippet(body: Column, query: str) -> Column:
+    """200 characters from 60 before the phrase, or else the first token found, or else the first 160; line feeds as blanks."""
+    lower = F.lower(body)
+    at = F.lit(0)
+    for anchor in reversed([a for a in (counted_phrase(query), *counted_tokens(query)) if a]):
+        found = F.locate(anchor, lower)
+        at = F.when(found > 0, found).otherwise(at)
+    cut = F.when(at < 1, F.substring(body, 1, FALLBACK)).otherwise(F.substring(body, F.greatest(at - LEAD, F.lit(1)), F.lit(WINDOW)))
+    return F.replace(cut, F.lit("\n"), F.lit(" "))

@@ -142,19 +142,73 @@ def embedding_text(title: Column, heading: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", *parts)
 
 
+class Oversize(Exception):
+    """What an injected model raises for a text that is too long for it."""
+
+
+#: Halvings of a text that is too long, the length below which none is halved, and pages that aren't embedded.
+HALVINGS, LEAST_HALVED, UNEMBEDDED = 3, 64, ("index", "log", "overview", "purpose", "schema")
+
+
+def _fitted(embed: Callable[[list[str]], list], text: str) -> tuple[list[float] | None, int]:
+    """The vector of the longest part that the model takes, and that part's length; None after the last halving."""
+    for halving in range(HALVINGS + 1):
+        try:
+            return embed([text])[0], len(text)
+        except Oversize:
+            if halving == HALVINGS or len(text) <= LEAST_HALVED:
+                return None, len(text)
+            text = text[: len(text) // 2]
+    return None, len(text)
+
+
 def embed_chunks(chunks: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
-    """``chunks`` with ``embedding`` from an injected model that takes texts in batches.
+    """``chunks`` with ``embedding`` and ``embedded_chars`` from an injected model that takes texts in batches.
 
-    The function runs in the tasks; a text for which it gives None has a null embedding.
+    The function runs in the tasks. Where it raises :class:`Oversize` for a batch, the batch's texts are tried alone, and
+    each that is too long by itself is halved up to three times while it has more than 64 characters. A text that stays
+    too long, or for which it gives None, has a null embedding. A null text counts as empty.
     """
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("embedding array<float>, embedded_chars int")
+    def vectors(texts: pd.Series) -> pd.DataFrame:
         found: list = []
         for start in range(0, len(texts), batch):
-            found.extend(embed(texts.iloc[start : start + batch].fillna("").tolist()))
-        return pd.Series(found)
+            part = texts.iloc[start : start + batch].fillna("").tolist()
+            try:
+                found.extend(zip(embed(part), map(len, part)))
+            except Oversize:
+                found.extend(_fitted(embed, t) for t in part)
+        return pd.DataFrame(found, columns=["embedding", "embedded_chars"])
+
+    made = chunks.withColumn("_made", vectors(text))
+    return made.select(*chunks.columns, "_made.embedding", "_made.embedded_chars")
 
-    return chunks.withColumn("embedding", vectors(text))
+
+def embed_pages(chunks: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], stored: DataFrame | None = None) -> DataFrame:
+    """Chunks of all pages but the structural ones, embedded; failed chunks are left out.
+
+    ``stored`` holds earlier chunks of the same columns: those of a page with at least one new vector are replaced, those of
+    other pages stay.
+    """
+    made = embed_chunks(chunks.where(~F.lower("page_id").isin(*UNEMBEDDED)), text, embed).where("embedding is not null")
+    return made if stored is None else upsert_chunks(stored, made.select(*stored.columns))
+
+
+def merged_groups(pages: DataFrame, members: DataFrame, lists: list[str]) -> DataFrame:
+    """One row per group of duplicates: canonical, pages (how many), and each list united over its pages.
+
+    ``pages`` has id and the lists, ``members`` id and canonical. Members of the canonical page come first, then
+    those of the others by id; letter case is ignored and the first spelling kept. Members are numbered and united by
+    key, so a group of any size is spread; a list is as long as its different members.
+    """
+    rows = members.select("id", "canonical").distinct().join(pages, "id")
+    made = rows.groupBy("canonical").agg(F.countDistinct("id").alias("pages"))
+    for name in lists:
+        named = rows.select("canonical", "id", F.posexplode(name).alias("place", "member")).where("member is not null")
+        first = named.groupBy("canonical", F.lower("member").alias("key")).agg(F.min(F.struct((F.col("id") != F.col("canonical")).alias("other"), "id", "place", "member")).alias("m"))
+        listed = first.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["member"]).alias(name))
+        made = made.join(listed, "canonical", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return made
 
 
 def fold_kinds(kinds: Column) -> Column:

@@ -42,7 +42,10 @@ def nearest_chunks(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     """
     sound = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(query)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
     scored = sound.select("chunk_id", "page_id", "chunk_index", "chunk_text", "heading_path", (1 / (1 + squared_distance(F.col("embedding"), query))).alias("score"))
-    return scored.distinct().orderBy(F.desc("score"), "chunk_id").limit(max(3 * k, MIN_FETCH))
+    # Equal rows lie beside one another in the order, so the best of the keys bound what is fetched, and only those rows lose their repeats.
+    most = max(3 * k, MIN_FETCH)
+    keys = scored.groupBy("chunk_id").agg(F.max("score").alias("best")).orderBy(F.desc("best"), "chunk_id").limit(most).select("chunk_id")
+    return scored.join(F.broadcast(keys), "chunk_id", "left_semi").distinct().orderBy(F.desc("score"), "chunk_id").limit(most).select(scored.columns)
 
 
 def blended_pages(hits: DataFrame) -> DataFrame:

@@ -155,6 +155,27 @@ def embedding_texts(spark, sf_dir) -> DataFrame:
     return chunks.select("chunk_id", F.md5(op.embedding_text(F.col("title"), F.col("heading_path"), F.col("chunk_text")).cast("binary")).alias("hash"))
 
 
+def _length_model(texts: list[str]) -> list[list[float]]:
+    """Stands for a model: a vector of the text's length; 120 characters at most, and no vector for texts with a question mark."""
+    if max(map(len, texts), default=0) > 120:
+        raise op.Oversize
+    return [None if "?" in t else [float(len(t))] for t in texts]
+
+
+def embedded_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of all pages but the structural ones as a model of short texts takes them; pages without any vector keep what is stored."""
+    chunks = table(spark, sf_dir, "wiki_chunks").select("chunk_id", "page_id", "chunk_text").distinct()
+    stored = chunks.select("chunk_id", "page_id", F.lit(-1).alias("embedded_chars"))
+    return op.embed_pages(chunks, "chunk_text", _length_model, stored)
+
+
+def merged_duplicates(spark, sf_dir) -> DataFrame:
+    """Groups of pages of one title as one page, with the tags of all."""
+    tags = table(spark, sf_dir, "wiki_pages").groupBy(F.col("page_id").alias("id")).agg(F.max("tags").alias("tags"))
+    made = op.merged_groups(tags, op.duplicate_members(_pages(spark, sf_dir)), ["tags"])
+    return made.select("canonical", "pages", F.array_join("tags", "|").alias("tags"))
+
+
 def clip_union(spark, sf_dir) -> DataFrame:
     """Clips by address; of several the one received first holds."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "received_at", F.regexp_extract("text", r"(https?://[^\s]+)", 1).alias("url")).where("url <> ''")
@@ -199,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_union, page_fate, duplicate_titles, duplicate_title_pages, rewritten_links, review_merge, sweep_rules, strip_links, ingest_cache_misses, import_changes, rescan_prefilter,
-        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, clip_union, queue_summary, chat_last_messages, chat_saved_messages, page_budgets, rate_limit,
+        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, embedded_chunks, merged_duplicates, clip_union, queue_summary, chat_last_messages, chat_saved_messages, page_budgets, rate_limit,
     )
 }
 
@@ -255,6 +276,15 @@ SELECT page_id, count(*) AS chunks, max(ingested_at) AS latest FROM u GROUP BY p
     "chunk_deletes": "SELECT DISTINCT chunk_id, page_id FROM wiki_chunks WHERE page_id NOT IN (SELECT page_id FROM wiki_pages WHERE lower(trim(page_type, ' ')) = 'query')",
     "wrong_dimensions": "SELECT DISTINCT chunk_id, coalesce(len(embedding), 0)::INT AS length FROM wiki_chunks WHERE coalesce(len(embedding), 0) <> (SELECT len(embedding) FROM wiki_chunks WHERE embedding IS NOT NULL ORDER BY chunk_id LIMIT 1)",
     "embedding_texts": "SELECT DISTINCT chunk_id, md5(concat_ws(chr(10) || chr(10), nullif(trim(t.title, ' '), ''), nullif(trim(heading_path, ' '), ''), nullif(trim(chunk_text, ' '), ''))) AS hash FROM wiki_chunks LEFT JOIN (SELECT page_id, max(title) AS title FROM wiki_pages GROUP BY page_id) t USING (page_id)",
+    "embedded_chunks": r"""WITH c AS (SELECT DISTINCT chunk_id, page_id, coalesce(chunk_text, '') AS t FROM wiki_chunks),
+h AS (SELECT *, CASE WHEN length(t) <= 120 THEN t WHEN length(t) // 2 <= 120 THEN substr(t, 1, length(t) // 2) WHEN length(t) // 2 // 2 <= 120 THEN substr(t, 1, length(t) // 2 // 2) WHEN length(t) // 2 // 2 // 2 <= 120 THEN substr(t, 1, length(t) // 2 // 2 // 2) END AS s FROM c),
+n AS (SELECT chunk_id, page_id, length(s)::INT AS embedded_chars FROM h WHERE s IS NOT NULL AND NOT contains(s, '?') AND lower(page_id) NOT IN ('index', 'log', 'overview', 'purpose', 'schema'))
+SELECT * FROM n UNION ALL SELECT chunk_id, page_id, -1 FROM c WHERE page_id NOT IN (SELECT page_id FROM n)""",
+    "merged_duplicates": f"""WITH a AS (SELECT DISTINCT page_id AS id, {_KEY.format('title')} AS key FROM wiki_pages), g AS (SELECT id, min(id) OVER (PARTITION BY key) AS canonical, count(*) OVER (PARTITION BY key) AS n FROM a WHERE key <> ''),
+t AS (SELECT page_id AS id, max(tags) AS tags FROM wiki_pages GROUP BY page_id), m AS (SELECT DISTINCT id, canonical FROM g WHERE n > 1),
+u AS (SELECT canonical, m.id, unnest(tags) AS x, generate_subscripts(tags, 1) AS i FROM m JOIN t USING (id)),
+f AS (SELECT * FROM u WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY canonical, lower(x) ORDER BY (id <> canonical), id, i) = 1)
+SELECT canonical, count(DISTINCT m.id) AS pages, coalesce((SELECT string_agg(x, '|' ORDER BY (id <> f.canonical), id, i) FROM f WHERE f.canonical = m.canonical), '') AS tags FROM m GROUP BY canonical""",
     "clip_union": "SELECT url, arg_min(doc_id, (received_at, doc_id)) AS doc_id, count(*) AS n FROM (SELECT doc_id, received_at, regexp_extract(text, '(https?://[^\\s]+)', 1) AS url FROM documents) WHERE url <> '' GROUP BY url",
     "queue_summary": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("signup", "view", "click", "purchase", "error")) + " FROM events GROUP BY user_id",
     "chat_last_messages": r"""WITH a AS (SELECT doc_id AS conversation, regexp_extract_all(text, '(?m)^((?:user|assistant): [^\r\n]*)', 1) AS l FROM documents),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.functions.search import chunk_snippet, query_tokens, snippet
+from loreweave.functions.search import chunk_snippet, counted_phrase, counted_score, counted_snippet, counted_tokens, query_tokens, snippet
+from loreweave.functions.text import strip_frontmatter
 from loreweave.operators import search as op
 from loreweave.storage import table
 
@@ -131,8 +132,58 @@ def vector_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.join(keyword, "page_id", "left_anti").join(title, "page_id", "left").select("page_id", "title", F.col("rank").alias("vector_rank"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_search, token_score, phrase_count, keyword_snippets, vector_topk, page_blend, matched_chunks, vector_snippets, hybrid_rrf, vector_only)}
+def _counted(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Pages with a score in the dialect that counts occurrences in titles and bodies."""
+    rows = pages(spark, sf_dir).select("key", "stem", "title", strip_frontmatter(F.coalesce("content", F.lit(""))).alias("body"))
+    score = counted_score(F.lower("stem"), F.lower("title"), F.lower("body"), query)
+    return rows.select("key", "stem", "title", "body", *[c.alias(n) for n, c in score.items()]).where("score > 0")
+
+
+def counted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = op.ranked(_counted(spark, sf_dir, QUERY), "score", "key", 20)
+    return best.select("key", "title", "score", "title_match", counted_snippet(F.col("body"), QUERY).alias("snippet"), "rank")
+
+
+def counted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir, PHRASE).select("key", "score", "title_match", counted_snippet(F.col("body"), PHRASE).alias("snippet"))
+
+
+def hybrid_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of the best twenty of either list in three modes: both lists, one without hits in the pages, one without a vector."""
+    keyword, vector = _lists(spark, sf_dir)
+    ranked = op.ranked(keyword, "score", "page_id", 20)
+    none = vector.where("false")
+    modes = {"hybrid": (ranked, vector), "vector": (ranked.where("false"), vector), "keyword": (ranked, none)}
+    made = []
+    for mode, (words, near) in modes.items():
+        both = words.select("page_id", F.col("rank").alias("k")).join(near.select("page_id", F.col("rank").alias("v")), "page_id", "full")
+        score = F.coalesce(1.0 / (60.0 + F.col("k")), F.lit(0.0)) + F.coalesce(1.0 / (60.0 + F.col("v")), F.lit(0.0))
+        made.append(op.ranked(both.withColumn("score", F.round(score * 1000, 6)), "score", "page_id", 20).select(F.lit(mode).alias("mode"), "page_id", "score", "rank"))
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+QUERIES = {f.__name__: f for f in (counted_search, counted_scores, hybrid_modes, keyword_search, token_score, phrase_count, keyword_snippets, vector_topk, page_blend, matched_chunks, vector_snippets, hybrid_rrf, vector_only)}
+_BODY = r"regexp_replace(content, '^---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|$)', '')"
+
+
+def _counted_sql(query: str) -> str:
+    tokens, phrase = counted_tokens(query), counted_phrase(query)
+    count = lambda c, t: f"(length({c}) - length(replace({c}, '{t}', ''))) // {len(t)}"
+    titles, bodies = (" + ".join(count(c, t) for t in tokens) for c in ("lt", "lb"))
+    at = f"coalesce({', '.join(f"nullif(strpos(lb, '{a}'), 0)" for a in (phrase, *tokens))})"
+    return f"""WITH {_PAGES_SQL}, b AS (SELECT key, stem, title, {_BODY} AS body FROM p), l AS (SELECT *, lower(title) AS lt, lower(body) AS lb, lower(stem) = '{phrase.replace(' ', '-')}' AS exact FROM b),
+s AS (SELECT key, title, body, (200 * exact::INT + 5 * ({titles}) + ({bodies}) + 50 * contains(lt, '{phrase}')::INT + 20 * least({count('lb', phrase)}, 10))::DOUBLE AS score, exact OR ({titles}) > 0 OR contains(lt, '{phrase}') AS title_match,
+  replace(CASE WHEN {at} IS NULL THEN substr(body, 1, 160) ELSE substr(body, greatest({at} - 60, 1), 200) END, chr(10), ' ') AS snippet FROM l)
+"""
+
+
 SQL = {
+    "counted_search": _counted_sql(QUERY) + "SELECT key, title, score, title_match, snippet, row_number() OVER (ORDER BY score DESC, key)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 20",
+    "counted_scores": _counted_sql(PHRASE) + "SELECT key, score, title_match, snippet FROM s WHERE score > 0",
+    "hybrid_modes": _lists_sql() + """, kk AS (SELECT * FROM kr WHERE r <= 20),
+m AS (SELECT 'hybrid' AS mode, page_id, coalesce(1.0 / (60 + kk.r), 0) + coalesce(1.0 / (60 + vr.r), 0) AS score FROM kk FULL JOIN vr USING (page_id)
+  UNION ALL SELECT 'vector', page_id, 1.0 / (60 + r) FROM vr UNION ALL SELECT 'keyword', page_id, 1.0 / (60 + r) FROM kk)
+SELECT mode, page_id, round(1000 * score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY mode ORDER BY round(1000 * score, 6) DESC, page_id)::INT AS rank FROM m QUALIFY rank <= 20""",
     "keyword_search": _SCORED_SQL + "SELECT key, title, score, title_match, row_number() OVER (ORDER BY score DESC, key)::INT AS rank FROM r WHERE score > 0 QUALIFY rank <= 20",
     "token_score": _SCORED_SQL + "SELECT key, title_tokens, content_tokens, phrase_hits, score FROM r WHERE score > 0",
     "phrase_count": f"SELECT doc_id AS key, least((length(text) - length(replace(lower(text), '{PHRASE}', ''))) // {len(PHRASE)}, 10)::INT AS phrase_hits FROM documents WHERE contains(lower(text), '{PHRASE}')",
