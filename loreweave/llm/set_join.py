@@ -46,7 +46,7 @@ _EPS = 1e-9
 class Pivots:
     """``bands`` elections of pivots by two min-hashes each; homes within ``near`` of a pivot (below the threshold); cells split beyond ``crowd``."""
 
-    bands: int = 8
+    bands: int = 6
     near: float = 0.4
     crowd: int = 256
     threshold: float = 0.7
@@ -84,13 +84,23 @@ def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     return sets.drop("h0", "h1"), materialize(members.select("rid", "grp", "both", "side", "key"), "members")
 
 
+#: Most rows of a list that is broadcast, of values with their counts or of pivots' values (50 bytes each at most); longer ones are joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _rare_first(sets: DataFrame) -> DataFrame:
     """The sets with their values ordered by how many sets of the group have them, ties by the value."""
-    valued = sets.select("rid", F.explode("values").alias("value"))
-    counts = valued.groupBy("value").agg(F.count("*").alias("n"))
-    listed = valued.join(counts, "value").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
+    counts = sets.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    placed = sets.repartition("rid")
+    valued = placed.select("rid", F.explode("values").alias("value")).join(_short(materialize(counts, "counts")), "value")
+    listed = valued.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))
     ordered = listed.select("rid", F.transform("v", lambda x: x["value"]).alias("values"))
-    return materialize(sets.drop("values").join(ordered, "rid"), "ordered")
+    return materialize(placed.drop("values").join(ordered, "rid"), "ordered")
 
 
 def _least(size: Column, share: Column | float) -> Column:
@@ -132,7 +142,7 @@ def _visits(sets: DataFrame, homes: DataFrame, how: Pivots) -> DataFrame:
     shared = F.ceil(F.col("need") / (1 + F.col("need")) * (F.col("size") + F.col("p_size")) - F.lit(_EPS))
     apart = F.bit_count(F.col("low").bitwiseXOR(F.col("p_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("p_high")))
     fits = fits & (apart <= F.col("size") + F.col("p_size") - 2 * shared)
-    met = placed.join(pivots, "value").where(fits).select("rid", "cell").distinct()
+    met = placed.join(_short(materialize(pivots, "pivots")), "value").where(fits).select("rid", "cell").distinct()
     found = _distance(met, sets).join(radius, "cell").join(homes.select("rid", "h"), "rid", "left")
     found = found.select("rid", "cell", F.coalesce("h", F.lit(1.0)).alias("h"), F.col("distance").alias("at"), "radius")
     return found.where(F.col("at") <= F.least("h", "radius") + F.lit(eps + _EPS)).drop("radius")
@@ -161,14 +171,14 @@ def _meet(visits: DataFrame, homes: DataFrame, sets: DataFrame, threshold: float
     return tested.where(F.col("similarity") >= F.lit(threshold - _EPS))
 
 
-#: What the tests of a pair need of a set, and the most crowded cells whose list (16 bytes each) is broadcast.
-_ABOUT, BROADCAST_CELLS = ("size", "low", "high", "left", "right"), 100_000
+#: What the tests of a pair need of a set.
+_ABOUT = ("size", "low", "high", "left", "right")
 
 
 def _crowded(cells: DataFrame, crowd: int) -> DataFrame:
     """``cells`` with ``crowded``, true in cells of more than ``crowd`` rows."""
     found = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell", F.lit(True).alias("crowded")), "crowded")
-    joined = cells.join(F.broadcast(found) if found.count() <= BROADCAST_CELLS else found, "cell", "left")
+    joined = cells.join(_short(found), "cell", "left")
     return joined.withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
 

@@ -165,6 +165,14 @@ def test_similar_sets_against_brute_force(spark, how):
     assert {(r["key_a"], r["key_b"]) for r in found} == expected and len(found) == len(expected)
 
 
+def test_similar_sets_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "BROADCAST_ROWS", -1)
+    rows = sets(4)
+    found = set_join.similar_set_pairs(as_table(spark, rows, "g", True), set_join.Pivots(crowd=2)).collect()
+    big = sorted({(k, plain(v)) for k, v in rows if k is not None and len(plain(v)) >= 4}, key=repr)
+    assert {(r["key_a"], r["key_b"]) for r in found} == {(min(k, m), max(k, m)) for (k, a), (m, b) in itertools.combinations(big, 2) if k != m and len(a & b) / len(a | b) >= 0.7 - 1e-12}
+
+
 def test_two_tables_and_groups(spark):
     one, two = [("p1", ["a", "b", "c", "d"]), ("p2", ["a", "b", "c", "x"])], [("q1", ["A", "B-", "c", "d"]), ("p1", ["z", "y", "x", "w"]), ("k1", ["a", "b", "c", "D"]), ("p2", ["a", "b", "c", "x"])]
     both = as_table(spark, one, "g", False, 0).unionByName(as_table(spark, two, "g", False, 1)).unionByName(as_table(spark, one, "h", True))
