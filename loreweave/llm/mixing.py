@@ -46,7 +46,7 @@ def quotas(shares: dict[str, float], period: int) -> dict[str, int]:
     total = sum(shares.values())
     exact = {s: w / total * period for s, w in shares.items() if w > 0}
     if len(exact) > period:
-        raise ValueError("the period must have a slot for each source")
+        raise ValueError("the period must have a slot for each source")  # mix_sources gives it ten
     given = {s: max(1, int(x)) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (given[s] - exact[s], s)):
         if sum(given.values()) < period:
@@ -90,6 +90,35 @@ def _budgets(sizes: DataFrame, targets: DataFrame, how: Mix) -> list[dict]:
     return rows
 
 
+def _running(sums: DataFrame, group: int = 4096) -> DataFrame:
+    """``before``, the sum of a source's earlier buckets: within groups of buckets, and over the groups' sums."""
+    ahead = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    grouped = sums.withColumn("span", F.floor(F.col("bucket") / group))
+    inner = grouped.withColumn("inner", F.coalesce(F.sum("n").over(ahead("source", "span").orderBy("bucket")), F.lit(0)))
+    outer = grouped.groupBy("source", "span").agg(F.sum("n").alias("m")).withColumn("outer", F.coalesce(F.sum("m").over(ahead("source").orderBy("span")), F.lit(0)))
+    return inner.join(outer, ["source", "span"]).select("source", "bucket", (F.col("inner") + F.col("outer")).alias("before"))
+
+
+def schedule_deviation(mixed: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """Of each source of a mix: source, slots, weight, deviation (the greatest distance, at any slot, between the blocks
+    sent and the weight's share, in blocks) and longest (its largest document in blocks).
+
+    Pfair keeps the deviation below 1. A document belongs to the block in which it starts, so what is sent by a slot can be
+    off by ``longest`` more. For mixes of at most a tenth of ``period`` sources; an empty mix gives no rows.
+    """
+    taken = mixed.select("source", "slot", "size").withColumn("turn", F.floor(F.col("slot") / how.period))
+    slots = taken.groupBy("source", "turn", "slot").agg(F.max("size").alias("longest"))
+    # A slot belongs to one source, so a source's turn of the period has a bounded number of rows. Empty slots leave no rows: the first after one counts on.
+    place = Window.partitionBy("source", "turn").orderBy("slot")
+    ranked = slots.withColumn("n", F.row_number().over(place))
+    quota = ranked.groupBy("source").agg(F.max("n").alias("quota"), F.count("*").alias("slots"))
+    sent = F.col("turn") * F.col("quota") + F.col("n")
+    due = lambda at: at * F.col("quota") / F.lit(float(how.period))
+    off = F.greatest(F.abs(due(F.col("slot")) - (sent - 1)), F.abs(due(F.col("slot") + 1) - sent))
+    both = ranked.join(quota, "source")
+    return both.groupBy("source").agg(F.max("slots").alias("slots"), (F.max("quota") / how.period).alias("weight"), F.max(off).alias("deviation"), (F.max("longest") / how.block).alias("longest"))
+
+
 def mix_sources(df: DataFrame, key: str, source: str | Column, size: str, targets: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -110,7 +139,8 @@ def mix_sources(df: DataFrame, key: str, source: str | Column, size: str, target
     sizes = materialize(rows.join(targets.select("source"), "source", "left_semi"), "sizes")
     plan = _budgets(sizes, targets, how)
     used = [r for r in plan if r["budget"] > 0]
-    slots = quotas({r["source"]: r["budget"] for r in used}, how.period) if used else {}
+    period = max(how.period, 10 * len(used))
+    slots = quotas({r["source"]: r["budget"] for r in used}, period) if used else {}
     buckets = {r["source"]: max(1, -(-r["rows"] // how.bucket_rows)) for r in used}
     terms = [(r["source"], r["have"], r["budget"], r["repeats"], buckets[r["source"]], slots[r["source"]]) for r in used]
     terms = spark.createDataFrame(terms, "source string, have bigint, budget bigint, repeats bigint, buckets bigint, quota bigint")
@@ -119,8 +149,7 @@ def mix_sources(df: DataFrame, key: str, source: str | Column, size: str, target
     # Both tables have as many rows as targets or slots in a period: parameters, not data.
     drawn = sizes.join(F.broadcast(terms), "source").withColumn("draw", F.xxhash64(F.lit(how.seed), "key"))
     drawn = drawn.withColumn("bucket", F.pmod("draw", "buckets"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    sums = _running(drawn.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     inner = Window.partitionBy("source", "bucket").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = drawn.withColumn("upto", F.sum("size").over(inner)).join(sums.select("source", "bucket", "before"), ["source", "bucket"])
     placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
@@ -131,7 +160,7 @@ def mix_sources(df: DataFrame, key: str, source: str | Column, size: str, target
     at = F.col("copy") * F.col("have") + F.col("start")
     each = each.select("source", "key", "copy", "size", "quota", F.floor(at / how.block).alias("number"), (at % how.block).alias("place"))
     each = each.withColumn("turn", F.col("number") % F.col("quota")).join(F.broadcast(times), ["source", "turn"])
-    slot = F.floor(F.col("number") / F.col("quota")) * how.period + F.col("slot_in_period")
+    slot = F.floor(F.col("number") / F.col("quota")) * period + F.col("slot_in_period")
     mixed = materialize(each.select(slot.alias("slot"), "place", "source", F.col("key").alias(key), "copy", "size"), "mix")
 
     given = mixed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("documents"), (F.max("copy") + 1).alias("max_copies"))

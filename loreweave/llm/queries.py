@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.mixing import mix_sources
+from loreweave.llm.mixing import mix_sources, schedule_deviation
 from loreweave.llm.near_duplicates import Shape, near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 from loreweave.llm.set_join import normal_values, similar_set_pairs
 from loreweave.llm.splitting import oversized_places, split_texts
@@ -91,9 +91,10 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_neighbours(table(spark, sf_dir, "wiki_chunks"), "chunk_id", "embedding", k=5)
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     options = table(spark, sf_dir, "chunk_options").dropDuplicates(["opt_id"])
-    bodies = table(spark, sf_dir, "page_bodies").join(options, "opt_id", "left")
+    bodies = table(spark, sf_dir, "page_bodies").select("item_id", "opt_id", "text")
+    bodies = (bodies.distinct() if once else bodies).join(options, "opt_id", "left")
     sizes = {n: F.col(n) for n in ("target_chars", "max_chars", "min_chars", "overlap_chars")}
     return split_texts(bodies, "item_id", "text", sizes)
 
@@ -104,8 +105,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all page bodies."""
-    pieces = _pieces(spark, sf_dir).distinct()
+    """Pieces of all page bodies; equal rows are cut once."""
+    pieces = _pieces(spark, sf_dir, once=True)
     return pieces.select("item_id", "start_char", "end_char", "text", "heading_path", "is_block", "oversized")
 
 
@@ -130,6 +131,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1].withColumnRenamed("size", "tokens")
 
 
+def p7_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source ever is from its weight, in blocks, over all slots of the mix."""
+    return schedule_deviation(_mix(spark, sf_dir)[0])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same and consist of different characters."""
     return alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
@@ -141,4 +147,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p1_documents": p1_documents, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p1_classes": p1_classes, "p1_documents": p1_documents, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_deviation": p7_deviation, "p8_found": p8_found, "p8_forms": p8_forms}

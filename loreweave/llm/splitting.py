@@ -116,7 +116,14 @@ def pieces(text: str, blocks: list[tuple[int, int, str]], target: int, most: int
     for before, (start, end, _, block) in zip(packed, packed[1:]):
         if overlap and not block:
             begin = max(start - overlap, end - most, before[2])
-            if begin > before[0] and begin < start:
+            first, earlier = found[-1][0], found[-2][1] if len(found) > 1 else 0
+            if begin <= before[0] and (end - first <= most or earlier >= before[0]):
+                # The overlap would hold the whole piece before, so the two are one, with that one's overlap if it fits.
+                found.pop()
+                begin = first if end - first <= most else before[0]
+            elif begin < start:
+                # A piece that is two already isn't taken up again; the overlap begins within it.
+                begin = max(begin, before[0] + 1)
                 begin = next((m.end() for p in _SNAP if (m := p.search(text, begin, start)) and m.end() < start), begin)
             start = min(begin, start)
         found.append((start, end, block))

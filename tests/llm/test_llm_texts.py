@@ -205,3 +205,25 @@ def test_forms_of_odd_and_settled_texts(spark):
     df = spark.createDataFrame(rows, "key int, text string")
     formed = {r["key"]: r["form"] for r in visual_forms.visual_forms(df, "key", "text").collect()}
     assert formed[7] == "cloud 7 Abc  été が,経過 " * 3 and formed[90] is None and formed[91] == "" and formed[92] == "plain ascii" and formed[94] == "x" * 100_000
+
+
+def test_no_piece_lies_within_the_next(spark):
+    text = "# H\n" + "\n\n".join("word " * n for n in (3, 20, 2, 25, 1, 30)) * 3
+    for overlap in (0, 40, 70, 79):
+        sizes = {"target_chars": 100, "max_chars": 160, "min_chars": 10, "overlap_chars": overlap}
+        found = split(spark, [(1, text)], sizes).orderBy("start_char", "end_char").collect()
+        assert all(a["start_char"] < b["start_char"] and a["end_char"] < b["end_char"] and b["start_char"] <= a["end_char"] for a, b in zip(found, found[1:]))
+        assert all(len(r["text"]) <= 160 for r in found) and found[-1]["end_char"] == len(text)
+
+
+def test_more_sources_than_slots_and_the_deviation(spark):
+    rows = [(i, f"s{i % 150}", 100 + i % 7) for i in range(1500)]
+    targets = spark.createDataFrame([(f"s{i}", 1.0 / 150, 1) for i in range(150)], "source string, share double, repeats int")
+    how = mixing.Mix(block=200, period=100, bucket_rows=3)
+    mixed, report = mixing.mix_sources(spark.createDataFrame(rows, "doc int, source string, size int"), "doc", "source", "size", targets, how)
+    assert mixed.count() >= 1300 and report.where("size > 0").count() == 150
+    few = targets.where("source in ('s0', 's1', 's2')").withColumn("share", F.when(F.col("source") == "s0", 0.5).otherwise(0.25))
+    many = spark.createDataFrame([(i, f"s{i % 3}", 50 + i % 11) for i in range(3000)], "doc int, source string, size int")
+    plain = mixing.Mix(block=200, period=100)
+    off = mixing.schedule_deviation(mixing.mix_sources(many, "doc", "source", "size", few, plain)[0], plain).collect()
+    assert len(off) == 3 and all(r["deviation"] < 1 and r["longest"] < 1 for r in off)
