@@ -8,6 +8,8 @@ that start at the end of an edge with fewer neighbours.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -191,13 +193,14 @@ def structural(node_id: Column) -> Column:
     return F.lower(node_id).isin(*STRUCTURAL)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: int = 3) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 60, levels: int = 20) -> DataFrame:
     """Weighted modularity communities by deterministic local moving: id, community (its smallest member's id).
 
     ``edges`` has a, b, weight. In each round a hash half of the nodes moves to the neighbouring
     community with the greatest gain in modularity, if any; ties go to the smaller name. Then
-    communities become nodes and the rounds are repeated. Every round is a join of the edges with
-    the labels and two aggregations, written to the shared folder.
+    communities become nodes and the rounds are repeated, until no node wants to move and no two
+    communities join. A level that hasn't settled after ``rounds``, or a graph after ``levels``, is reported
+    by a warning. Every round is a join of the edges with the labels and two aggregations, written to the shared folder.
     """
     spark: SparkSession = nodes.sparkSession
     member = materialize(nodes.select("id", F.col("id").alias("node")).distinct(), "members")
@@ -224,8 +227,14 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, levels: in
             label = moved.select("x", "c")
             if not moved.where("wants").limit(1).count():
                 break
+        else:
+            warnings.warn(f"communities: level {level} hasn't settled after {rounds} rounds", stacklevel=2)
+        if not label.where("x <> c").limit(1).count():
+            break
         member = materialize(member.join(label.withColumnRenamed("x", "node"), "node", "left").select("id", F.coalesce("c", "node").alias("node")), "members")
         arcs = materialize(arcs.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), "arcs")
+    else:
+        warnings.warn(f"communities: they still join after {levels} levels", stacklevel=2)
     names = member.groupBy("node").agg(F.min("id").alias("community"))
     return member.join(names, "node").select("id", "community")
 

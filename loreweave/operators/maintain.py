@@ -191,7 +191,7 @@ def embed_pages(chunks: DataFrame, text: str, embed: Callable[[list[str]], list[
     other pages stay.
     """
     made = embed_chunks(chunks.where(~F.lower("page_id").isin(*UNEMBEDDED)), text, embed).where("embedding is not null")
-    return made if stored is None else upsert_chunks(stored, made.select(*stored.columns))
+    return made if stored is None else upsert_chunks(stored, made.select(*stored.columns)).select(*stored.columns)
 
 
 def merged_groups(pages: DataFrame, members: DataFrame, lists: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from loreweave.streaming import changes as st
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files: a folder of them, or one file in the scale's folder."""
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)  # bounds what a key has in one batch
     path = f"{sf_dir}/{name}.parquet"
     if Path(path.removeprefix("file:")).is_file():
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
@@ -22,11 +22,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_event_counts(spark, sf_dir) -> DataFrame:
-    """Events per six hours and kind; a complete result, of which the last batch holds all."""
+    """Events per six hours and kind; each batch gives the counts that it changed, and windows that the watermark has passed are dropped from the state."""
     events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"))
-    found = st.drain(st.counts_by_window(events, "6 hours"), "event-counts", "complete")
-    last = found.agg(F.max("batch")).first()[0]
-    return found.where(F.col("batch") == (last or 0)).select(F.col("began").cast("timestamp_ntz").alias("began"), "event", "n")
+    found = st.drain(st.counts_by_window(events, "6 hours"), "event-counts", "update")
+    return found.groupBy(F.col("began").cast("timestamp_ntz").alias("began"), "event").agg(F.max_by("n", "batch").alias("n"))
 
 
 def stream_change_queue(spark, sf_dir) -> DataFrame:
@@ -44,14 +43,21 @@ def stream_rate_limit(spark, sf_dir) -> DataFrame:
     return found.groupBy("client").agg(F.count("*").alias("requests"), F.sum(F.col("passed").cast("int")).alias("passed"))
 
 
+def stream_debounced(spark, sf_dir) -> DataFrame:
+    """Events of each user gathered for an hour from the first one on: batches and events per user."""
+    events = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"))
+    found = st.drain(st.debounced(events, 3_600_000, "1 day"), "debounced")
+    return found.groupBy("path").agg(F.count("*").alias("batches"), F.sum("changes").alias("changes"))
+
+
 def stream_handled_once(spark, sf_dir) -> DataFrame:
     """Files of the listings by version, each once however often delivered."""
     rows = _stream(spark, sf_dir, "file_snapshots").select(F.col("received_at").cast("timestamp").alias("ts"), "snapshot_no", "project_id", "path", "size", "mtime_ms")
-    found = st.drain(st.handled_once(rows, ["snapshot_no", "project_id", "path", "size", "mtime_ms"], "3650 days"), "handled-once")
+    found = st.drain(st.handled_once(rows, ["snapshot_no", "project_id", "path", "size", "mtime_ms"], "30 days"), "handled-once")
     return found.groupBy("snapshot_no").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (stream_event_counts, stream_change_queue, stream_rate_limit, stream_handled_once)}
+QUERIES = {f.__name__: f for f in (stream_event_counts, stream_change_queue, stream_rate_limit, stream_debounced, stream_handled_once)}
 SQL = {
     "stream_event_counts": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') AS began, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
     "stream_change_queue": """WITH e AS (SELECT user_id::VARCHAR AS path, epoch_ms(ts) AS t, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS k FROM events)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loreweave.storage import shared_dir
 
 #: Retries of a task, life of a write mark, and the request limit with its window.
-MAX_RETRIES, WRITE_MARK_MS, LIMIT, WINDOW_MS = 3, 4_000, 120, 1_000
+MAX_RETRIES, WRITE_MARK_MS, LIMIT, WINDOW_MS, DEBOUNCE_MS = 3, 4_000, 120, 1_000, 250
 
 
 def merge_kind(before: str | None, now: str) -> str:
@@ -83,10 +83,13 @@ def change_queue(events: DataFrame) -> DataFrame:
     return events.groupBy("path").applyInPandasWithState(run, f"path string, {_TASK}", _TASK, "update", GroupStateTimeout.NoTimeout)
 
 
-def without_own_writes(events: DataFrame) -> DataFrame:
-    """Changes (path, at, event) that no mark of an own write (event ``mark``) precedes by up to four seconds."""
+def without_own_writes(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Changes (path, at, event) that no mark of an own write (event ``mark``) precedes by up to four seconds; marks that the watermark has passed are dropped."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         mark = state.get[0] if state.exists else None
         rows = pd.concat(list(frames))
         rows = rows.assign(first=rows["event"] != "mark").sort_values(["at", "first", "event"])
@@ -96,12 +99,16 @@ def without_own_writes(events: DataFrame) -> DataFrame:
                 mark = int(at)
             elif mark is None or at - mark > WRITE_MARK_MS:
                 kept.append({"path": key[0], "at": int(at), "event": event})
-        if mark is not None:
+        if mark is not None and mark + WRITE_MARK_MS > state.getCurrentWatermarkMs():
             state.update((mark,))
+            state.setTimeoutTimestamp(mark + WRITE_MARK_MS)
+        elif state.exists:
+            state.remove()
         if kept:
             yield pd.DataFrame(kept)
 
-    return events.groupBy("path").applyInPandasWithState(run, "path string, at bigint, event string", "mark bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", late).groupBy("path")
+    return timed.applyInPandasWithState(run, "path string, at bigint, event string", "mark bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def allowed(requests: list[int], at: int, limit: int = LIMIT, window: int = WINDOW_MS) -> tuple[list[int], bool]:
@@ -126,11 +133,52 @@ def rate_limited(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_M
     return requests.groupBy("client").applyInPandasWithState(run, "client string, at bigint, request bigint, passed boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def debounced(events: DataFrame, window: str = "250 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """Changes (path, ts, event) gathered per file while they follow one another within the window: path, began, ended, changes, last."""
-    sessions = events.withWatermark("ts", late).groupBy("path", F.session_window("ts", window).alias("w"))
-    counted = sessions.agg(F.count("*").alias("changes"), F.max(F.struct("ts", "event"))["event"].alias("last"))
-    return counted.select("path", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "changes", "last")
+def gathered(waiting: tuple | None, rows: list[tuple[int, str]], window: int) -> tuple[list[tuple], tuple | None]:
+    """The batches that end with these changes (at, event) in order of time, and the one that still waits: began, changes, last.
+
+    A batch holds what comes within the window after its first change; later changes don't prolong it.
+    """
+    done = []
+    for at, event in rows:
+        if waiting is not None and at < waiting[0] + window:
+            waiting = (waiting[0], waiting[1] + 1, event)
+        else:
+            done += [waiting] if waiting is not None else []
+            waiting = (at, 1, event)
+    return done, waiting
+
+
+def debounced(events: DataFrame, window: int = DEBOUNCE_MS, late: str = "10 seconds") -> DataFrame:
+    """Changes (path, ts, event) gathered per file for some milliseconds from the first one on: path, began, changes, last.
+
+    A batch comes out when a later change starts the next one, or when the watermark has passed its end.
+    """
+    names = ["path", "began", "changes", "last"]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, done = (state.get if state.exists else None), []
+        if state.hasTimedOut:
+            done, waiting = [waiting], None
+        else:
+            parts = [f[["ts", "event"]] for f in frames]
+            rows = pd.concat(parts).sort_values(["ts", "event"])
+            ms = rows["ts"].astype("datetime64[ms]").astype("int64")
+            done, waiting = gathered(waiting, list(zip(ms.tolist(), rows["event"])), window)
+            if waiting is not None and waiting[0] + window <= state.getCurrentWatermarkMs():
+                done, waiting = [*done, waiting], None
+        if waiting is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(waiting)
+            state.setTimeoutTimestamp(waiting[0] + window)
+        if done:
+            out = pd.DataFrame([(key[0], *d) for d in done], columns=names)
+            out["began"] = pd.to_datetime(out["began"], unit="ms")
+            yield out
+
+    timed = events.withWatermark("ts", late).groupBy("path")
+    return timed.applyInPandasWithState(run, "path string, began timestamp, changes int, last string", "began bigint, changes int, last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def handled_once(tasks: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:

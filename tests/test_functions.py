@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loreweave.functions import language, text
-from loreweave.functions.search import chunk_snippet, occurrences, query_phrase, query_tokens, search_mode, snippet
+from loreweave.functions.search import chunk_snippet, counted_phrase, counted_score, counted_snippet, counted_tokens, occurrences, query_phrase, query_tokens, search_mode, snippet
 
 
 def column(spark, values, expression, kind="string"):
@@ -53,7 +53,11 @@ def test_names_and_paths(spark):
     assert column(spark, ["https://www.a.example:80/x", "http://u@ü.example", "nothing"], text.hostname) == ["a.example", "ü.example", None]
     assert column(spark, ["raw/a.md", "RAW/b.mx", "raw/c.txt"], lambda x: text.glob_match(x, "raw/*.m?")) == [True, True, False]
     watched = lambda x: text.watched(x, ("old",), ("*tmp*",), (".png",))
-    assert column(spark, ["raw/a.md", "raw/old/a.md", "raw/tmp1", "raw/p.png", "wiki/a.md", "wiki/a.txt", "purpose.md", ".git/a.md"], watched) == [True, False, False, False, True, False, True, False]
+    seen = {"raw/sources/a.md": True, "raw/a.md": False, "raw/sources/old/a.md": False, "raw/sources/x/my-tmp1": False, "raw/sources/p.PNG": False, "wiki/a.md": True, "wiki/a.txt": False, "purpose.md": True, "wiki/media/a.md": False, ".llm-wiki/a.md": False, "raw/sources/Thumbs.db": False, "raw/sources/noext": True, "": False}
+    assert column(spark, list(seen), watched) == list(seen.values())
+    assert column(spark, ["raw/sources/a.pdf", "raw/sources/a.md", "raw/sources/a", "wiki/b.md"], lambda x: text.watched(x, included_ext=(".md",))) == [False, True, False, True]
+    refs = F.array(F.lit("/p/raw/sources/Papers/Intro.pdf"), F.lit("notes.md"), F.lit(None))
+    assert column(spark, ["papers/intro.pdf", "other/intro.pdf", "NOTES.md", "intro.pdf", "b/notes.md"], lambda x: text.source_matches(x, refs)) == [True, False, True, False, False]
     assert column(spark, ["Hello, World!  Yes", "a--b"], text.clip_slug) == ["hello-world-yes", "a-b"]
 
 
@@ -92,6 +96,27 @@ def test_language(spark):
         assert r["language"] == r["expected"], r["x"]
 
 
+def test_language_guard(spark):
+    names = ["English", "Russian", "Greek", "Arabic", "Persian", "Hindi", "Japanese", "Korean", "German"]
+    fits = lambda target: column(spark, names, lambda x: language.language_matches(F.lit("long enough to be judged"), x, target))
+    assert fits("French") == [True, True, True, False, False, False, False, False, True]
+    assert fits("Chinese") == [False, False, False, False, False, False, True, True, False]
+    assert fits("Persian") == [False, False, False, False, True, False, False, False, False]
+    assert column(spark, ["Arabic"], lambda x: language.language_matches(F.lit("  short      "), x, "English")) == [True]
+    page = "---\ntitle: x\n---\nbody ```code``` and $$m$$ $n$ $5\nend"
+    assert column(spark, [page, "", "x" * 2000], language.guarded_sample) == ["body  and   $5\nend", "", "x" * 1500]
+
+
+def test_the_dialect_that_counts(spark):
+    query = "What is e.g. the Graph-index 知识图谱?"
+    assert counted_tokens(query) == ["e.g.", "graph", "index", "知识", "识图", "图谱", "谱?", "知", "识", "图", "谱", "?", "知识图谱?"] and counted_phrase('"a b"?!') == "a b"
+    assert counted_tokens("the of") == ["the of"] and counted_tokens("") == []
+    rows = spark.createDataFrame([("graph-index", "Graph index and graph", "x graph index graph index " + "y" * 300), ("a", "b", "c"), ("", "", "")], "s string, t string, b string")
+    score = counted_score(F.col("s"), F.lower("t"), F.lower("b"), "graph index")
+    assert [tuple(r) for r in rows.select(score["score"].alias("s"), score["title_match"].alias("m")).collect()] == [(200 + 3 * 5 + 4 + 50 + 40, True), (0.0, False), (0.0, False)]
+    assert column(spark, ["z" * 100 + " graph\nx " + "y" * 300, "no hit", ""], lambda x: counted_snippet(x, "graph")) == ["z" * 59 + " graph x " + "y" * 132, "no hit", ""]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet="aB _-\\/.md", max_size=12), min_size=1, max_size=8))
 def test_ref_key_is_idempotent(spark, names):

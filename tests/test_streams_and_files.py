@@ -75,6 +75,12 @@ def test_debounce_and_once(spark, tmp_path):
     assert once.count() == 1
 
 
+def test_batches_start_with_their_first_change():
+    rows = [(0, "created"), (249, "modified"), (250, "deleted"), (600, "created"), (700, "modified")]
+    assert st.gathered(None, rows, 250) == ([(0, 2, "modified"), (250, 1, "deleted")], (600, 2, "modified"))
+    assert st.gathered((0, 5, "a"), [(10, "b")], 250) == ([], (0, 6, "b")) and st.gathered(None, [], 250) == ([], None)
+
+
 def office(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
