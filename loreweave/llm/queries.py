@@ -60,14 +60,17 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields as one table: grp is the kind; a field that is joined with itself is on both sides."""
     nodes, pages = table(spark, sf_dir, "retrieval_nodes"), table(spark, sf_dir, "wiki_pages")
-    own = [("tags", pages.select("page_id", "tags")), *((f, nodes.select("page_id", f)) for f in ("out_links", "in_links", "sources"))]
-    parts = [t.select(F.lit(kind).alias("grp"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit(True).alias("both"), F.col("page_id").alias("key"), F.col(kind).alias("raw")) for kind, t in own]
-    parts.append(pages.select(F.lit("profile").alias("grp"), F.lit(0).alias("side"), F.lit(False).alias("both"), F.col("page_id").alias("key"), F.col("tags").alias("raw")))
-    parts.append(table(spark, sf_dir, "tag_profiles").select(F.lit("profile").alias("grp"), F.lit(1).alias("side"), F.lit(False).alias("both"), F.col("profile_id").alias("key"), F.col("tags").alias("raw")))
+    fields = [("tags", pages), *((f, nodes) for f in ("out_links", "in_links", "sources"))]
+    # Values are brought to one form before the rows are doubled.
+    listed = lambda t, key, field: t.select(F.col(key).alias("key"), normal_values(field).alias("values"))
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    parts = [listed(t, "page_id", f).select(F.lit(f).alias("grp"), both, F.lit(True).alias("both"), "key", "values") for f, t in fields]
+    for side, (t, key) in enumerate(((pages, "page_id"), (table(spark, sf_dir, "tag_profiles"), "profile_id"))):
+        parts.append(listed(t, key, "tags").select(F.lit("profile").alias("grp"), F.lit(side).alias("side"), F.lit(False).alias("both"), "key", "values"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.select("grp", "side", "both", "key", normal_values("raw").alias("values"))
+    return whole
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

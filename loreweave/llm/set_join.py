@@ -68,7 +68,7 @@ def _classes(df: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """One row per different set (rid, grp, values as hashes from the rarest on, size, signature), and members (rid, side, key)."""
     hashed = F.array_sort(F.transform("values", lambda x: F.xxhash64("grp", x)))  # values of different groups are different
     rows = df.where(F.col("key").isNotNull() & (F.size("values") >= min_size)).select("grp", "side", "both", "key", hashed.alias("values"))
-    rows = rows.withColumns({"h0": F.xxhash64("values"), "h1": F.xxhash64(F.lit(7), "values")})
+    rows = materialize(rows.withColumns({"h0": F.xxhash64("values"), "h1": F.xxhash64(F.lit(7), "values")}), "rows")
     sets = rows.groupBy("grp", "h0", "h1").agg(F.first("values").alias("values"), F.max((F.col("side") == 0).cast("int")).alias("left"), F.max((F.col("side") == 1).cast("int")).alias("right"))
 
     def word(low: bool) -> Column:
