@@ -11,6 +11,7 @@ from loreweave.plans.graph import nodes, related_all
 from loreweave.plans.snapshots import P4_FOUND, p4_found
 from loreweave.plans.text import _KEY
 from loreweave.storage import materialize, table
+from loreweave.streaming import changes as st
 
 
 
@@ -182,6 +183,13 @@ def clip_union(spark, sf_dir) -> DataFrame:
     return rows.groupBy("url").agg(F.min_by("doc_id", F.struct("received_at", "doc_id")).alias("doc_id"), F.count("*").alias("n"))
 
 
+def project_changes(spark, sf_dir) -> DataFrame:
+    """Files of the listings as changes by their full path, as a watcher of each project reports them."""
+    root = F.concat(F.lit("/srv/"), "project_id")
+    files = table(spark, sf_dir, "file_snapshots").select("project_id", F.concat(F.lit("\\SRV\\"), "project_id", F.lit("/"), F.regexp_replace("path", r"^\./", "")).alias("path")).distinct()
+    return st.project_changes(files, root, excluded_ext=("pdf",)).select("project_id", "rel").distinct().groupBy("project_id").agg(F.count("*").alias("files"), F.min("rel").alias("first"), F.max("rel").alias("last"))
+
+
 def queue_summary(spark, sf_dir) -> DataFrame:
     kinds = ["signup", "view", "click", "purchase", "error"]
     counted = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1)))
@@ -220,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_union, page_fate, duplicate_titles, duplicate_title_pages, rewritten_links, review_merge, sweep_rules, strip_links, ingest_cache_misses, import_changes, rescan_prefilter,
-        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, embedded_chunks, merged_duplicates, clip_union, queue_summary, chat_last_messages, chat_saved_messages, page_budgets, rate_limit,
+        coalesced_changes, chunk_upsert, chunk_counts, chunk_deletes, wrong_dimensions, embedding_texts, embedded_chunks, merged_duplicates, clip_union, project_changes, queue_summary, chat_last_messages, chat_saved_messages, page_budgets, rate_limit,
     )
 }
 
@@ -286,6 +294,9 @@ u AS (SELECT canonical, m.id, unnest(tags) AS x, generate_subscripts(tags, 1) AS
 f AS (SELECT * FROM u WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY canonical, lower(x) ORDER BY (id <> canonical), id, i) = 1)
 SELECT canonical, count(DISTINCT m.id) AS pages, coalesce((SELECT string_agg(x, '|' ORDER BY (id <> f.canonical), id, i) FROM f WHERE f.canonical = m.canonical), '') AS tags FROM m GROUP BY canonical""",
     "clip_union": "SELECT url, arg_min(doc_id, (received_at, doc_id)) AS doc_id, count(*) AS n FROM (SELECT doc_id, received_at, regexp_extract(text, '(https?://[^\\s]+)', 1) AS url FROM documents) WHERE url <> '' GROUP BY url",
+    "project_changes": r"""WITH a AS (SELECT DISTINCT project_id, replace(regexp_replace(path, '^\./', ''), '\', '/') AS q FROM file_snapshots), b AS (SELECT *, lower(q) AS p, regexp_replace(lower(q), '^.*/', '') AS n FROM a)
+SELECT project_id, count(*) AS files, min(q) AS first, max(q) AS last FROM (SELECT DISTINCT project_id, q FROM b WHERE NOT contains('/' || p, '/.llm-wiki/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
+  AND CASE WHEN starts_with(q, 'raw/sources/') THEN n NOT LIKE '%.pdf' ELSE q IN ('purpose.md', 'schema.md') OR (starts_with(q, 'wiki/') AND q LIKE '%.md') END) GROUP BY project_id""",
     "queue_summary": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("signup", "view", "click", "purchase", "error")) + " FROM events GROUP BY user_id",
     "chat_last_messages": r"""WITH a AS (SELECT doc_id AS conversation, regexp_extract_all(text, '(?m)^((?:user|assistant): [^\r\n]*)', 1) AS l FROM documents),
 b AS (SELECT conversation, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS turn FROM a)

@@ -6,15 +6,17 @@ over the cluster. Functions for one key are plain and are tested by themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loreweave.storage import shared_dir
+from loreweave.functions.text import watched
+from loreweave.storage import materialize, shared_dir
 
 #: Retries of a task, life of a write mark, and the request limit with its window.
 MAX_RETRIES, WRITE_MARK_MS, LIMIT, WINDOW_MS, DEBOUNCE_MS = 3, 4_000, 120, 1_000, 250
@@ -186,6 +188,30 @@ def handled_once(tasks: DataFrame, keys: list[str], late: str = "1 hour") -> Dat
     return tasks.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def project_changes(events: DataFrame, root: Column, **rules) -> DataFrame:
+    """Changes of files (path, ...) below a project's root that a watcher reports: rel, the path below the root, is added; batch or stream.
+
+    Slashes of either kind count; letter case of the root doesn't. ``rules`` are those of ``watched``. Null paths are dropped.
+    """
+    plain = lambda c: F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+$", "")
+    path, top = plain(F.col("path")), F.concat(plain(root), F.lit("/"))
+    below = events.where(F.lower(path).startswith(F.lower(top))).withColumn("rel", F.substring(path, F.length(top) + 1, F.length(path)))
+    return below.where(watched(F.col("rel"), **rules))
+
+
+def rescanned(spark: SparkSession, scan: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame], None], every: str = "10 seconds") -> StreamingQuery:
+    """A running query that scans the files again and again: ``handle`` gets the listing and the one before, both written to the shared folder."""
+    before: list[DataFrame] = []
+
+    def look(_: DataFrame, number: int) -> None:
+        now = materialize(scan(), "scan")
+        handle(now, before[-1] if before else now.limit(0))
+        before[:] = [now]
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(look).trigger(processingTime=every).start()
+
+
 def counts_by_window(events: DataFrame, window: str, late: str = "1 hour") -> DataFrame:
     """Events (ts, event) per tumbling window and kind."""
     counted = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event").agg(F.count("*").alias("n"))

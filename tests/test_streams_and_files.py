@@ -81,6 +81,29 @@ def test_batches_start_with_their_first_change():
     assert st.gathered((0, 5, "a"), [(10, "b")], 250) == ([], (0, 6, "b")) and st.gathered(None, [], 250) == ([], None)
 
 
+def test_changes_of_a_project(spark):
+    paths = ["/srv/P/raw/sources/a.md", "C:\\srv\\p\\x.md", "\\srv\\p\\wiki\\b.md", "/srv/px/wiki/c.md", "/srv/p/", "/srv/p/wiki/media/d.md", None]
+    df = spark.createDataFrame([(x,) for x in paths], "path string").withColumn("kind", F.lit("modified"))
+    assert {r["rel"] for r in st.project_changes(df, F.lit("/srv/p/")).collect()} == {"raw/sources/a.md", "wiki/b.md"}
+
+
+def test_a_folder_is_scanned_again(spark, tmp_path):
+    seen = []
+    (tmp_path / "a.txt").write_text("x")
+
+    def handle(now, before):
+        seen.append((now.count(), before.count()))
+        (tmp_path / f"b{len(seen)}.txt").write_text("x")
+
+    query = st.rescanned(spark, lambda: files.file_listing(spark, str(tmp_path)), handle, "1 second")
+    for _ in range(60):
+        if len(seen) >= 2 or query.exception():
+            break
+        query.awaitTermination(1)
+    query.stop()
+    assert seen[0] == (1, 0) and seen[1] == (2, 1)
+
+
 def office(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
