@@ -11,7 +11,7 @@ from loreweave.functions.text import _col, frontmatter, list_field, ref_key, sca
 FNV_START, FNV_FACTOR, SLUG_LENGTH = 0x811C9DC5, 0x01000193, 120
 
 #: Stores that an import never enters, formats that often hold settings, and the largest file that it takes.
-INTERNAL, SETTINGS, IMPORT_LIMIT = r"(^|/)(\.llm-wiki-imported|\.llm-wiki)(/|$)", ("json", "yaml", "yml", "xml"), 100 * 1024 * 1024
+INTERNAL, SETTINGS, IMPORT_LIMIT = r"(^|/)(\.store-imported|\.store)(/|$)", ("json", "yaml", "yml", "xml"), 100 * 1024 * 1024
 #: Words of an answer that a text was too long.
 OVERSIZE = ("too long", "maximum context", "max_tokens", "max tokens", "context length", "token limit", "exceeds", "input length")
 

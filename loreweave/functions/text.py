@@ -172,8 +172,8 @@ def glob_match(path: Column, pattern: str) -> Column:
     return F.lower(path).rlike(f"(?s)^{body}$")
 
 
-#: Files and folders that a watcher never reports.
-UNWATCHED_NAMES, UNWATCHED = ("thumbs.db", "desktop.ini"), r"(^|/)\.llm-wiki/|^wiki/media/|\.ds_store$"
+#: Files and folders that a watcher never reports; a knowledge base keeps its own data in ``.store``.
+UNWATCHED_NAMES, UNWATCHED = ("thumbs.db", "desktop.ini"), r"(^|/)\.store/|^wiki/media/|\.ds_store$"
 
 
 def watched(

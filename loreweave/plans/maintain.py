@@ -295,7 +295,7 @@ f AS (SELECT * FROM u WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION B
 SELECT canonical, count(DISTINCT m.id) AS pages, coalesce((SELECT string_agg(x, '|' ORDER BY (id <> f.canonical), id, i) FROM f WHERE f.canonical = m.canonical), '') AS tags FROM m GROUP BY canonical""",
     "clip_union": "SELECT url, arg_min(doc_id, (received_at, doc_id)) AS doc_id, count(*) AS n FROM (SELECT doc_id, received_at, regexp_extract(text, '(https?://[^\\s]+)', 1) AS url FROM documents) WHERE url <> '' GROUP BY url",
     "project_changes": r"""WITH a AS (SELECT DISTINCT project_id, replace(regexp_replace(path, '^\./', ''), '\', '/') AS q FROM file_snapshots), b AS (SELECT *, lower(q) AS p, regexp_replace(lower(q), '^.*/', '') AS n FROM a)
-SELECT project_id, count(*) AS files, min(q) AS first, max(q) AS last FROM (SELECT DISTINCT project_id, q FROM b WHERE NOT contains('/' || p, '/.llm-wiki/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
+SELECT project_id, count(*) AS files, min(q) AS first, max(q) AS last FROM (SELECT DISTINCT project_id, q FROM b WHERE NOT contains('/' || p, '/.store/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
   AND CASE WHEN starts_with(q, 'raw/sources/') THEN n NOT LIKE '%.pdf' ELSE q IN ('purpose.md', 'schema.md') OR (starts_with(q, 'wiki/') AND q LIKE '%.md') END) GROUP BY project_id""",
     "queue_summary": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("signup", "view", "click", "purchase", "error")) + " FROM events GROUP BY user_id",
     "chat_last_messages": r"""WITH a AS (SELECT doc_id AS conversation, regexp_extract_all(text, '(?m)^((?:user|assistant): [^\r\n]*)', 1) AS l FROM documents),

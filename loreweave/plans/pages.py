@@ -126,7 +126,7 @@ SELECT doc_id, md5(CASE WHEN f = '' THEN text ELSE '---' || chr(10) || CASE WHEN
     "source_pages": graph._BASE + f"""SELECT identity, count(DISTINCT id) AS pages, min(id) AS first_page FROM (SELECT id, lower({_IDENTITY}) AS identity FROM (SELECT id, unnest(sources) AS raw FROM n) WHERE raw IS NOT NULL) GROUP BY identity""",
     "log_operations": r"WITH a AS (SELECT unnest(regexp_extract_all(text, '(?m)^## (\[[0-9-]{10}\] [a-z]+ \|)', 1)) AS x FROM documents) SELECT substr(x, 2, 7) AS month, regexp_extract(x, '\] ([a-z]+) ', 1) AS operation, count(*) AS n FROM a GROUP BY ALL",
     "import_skips": r"""WITH a AS (SELECT DISTINCT project_id, lower(replace(path, '\', '/')) AS p, replace(path, '\', '/') AS q, path, size FROM file_snapshots)
-SELECT project_id, count(*) AS files, sum((regexp_matches(q, '(^|/)\.llm-wiki(-imported)?(/|$)') OR q = 'wiki' OR starts_with(q, 'wiki/') OR starts_with(q, 'raw/sources/.cache/') OR regexp_matches(q, '(^|/)\.[^/]*$') OR regexp_extract(p, '\.([^./]*)$', 1) IN ('json', 'yaml', 'yml', 'xml') OR size > 104857600)::INT)::BIGINT AS skipped FROM a GROUP BY project_id""",
+SELECT project_id, count(*) AS files, sum((regexp_matches(q, '(^|/)\.store(-imported)?(/|$)') OR q = 'wiki' OR starts_with(q, 'wiki/') OR starts_with(q, 'raw/sources/.cache/') OR regexp_matches(q, '(^|/)\.[^/]*$') OR regexp_extract(p, '\.([^./]*)$', 1) IN ('json', 'yaml', 'yml', 'xml') OR size > 104857600)::INT)::BIGINT AS skipped FROM a GROUP BY project_id""",
     "graph_expansion": graph._REL + f""", h AS (SELECT id FROM n WHERE {_HITS} > 0), w AS (SELECT a AS id, b AS other, relevance FROM rr UNION ALL SELECT b, a, relevance FROM rr),
 k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(relevance, 6) DESC, other) <= 3)
 SELECT other AS id, round(max(relevance), 6) AS relevance, count(*) AS hits FROM k WHERE round(relevance, 6) >= 2 AND id IN (SELECT id FROM h) AND other NOT IN (SELECT id FROM h) GROUP BY other""",

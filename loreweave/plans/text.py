@@ -193,7 +193,7 @@ SQL = {
     "source_sizes": "SELECT DISTINCT snapshot_no, project_id, path, size, CASE WHEN size >= 1024 ** 3 THEN printf('%.1f', round(size / 1024 ** 3, 1)) || ' GB' WHEN size >= 1024 ** 2 THEN printf('%.1f', round(size / 1024 ** 2, 1)) || ' MB' WHEN size >= 1024 THEN printf('%.1f', round(size / 1024.0, 1)) || ' KB' ELSE size || ' B' END AS shown FROM file_snapshots",
     "types_from_path": rf"WITH a AS (SELECT DISTINCT page_id, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p FROM wiki_pages) SELECT page_id, {_TYPES} AS type, coalesce(regexp_matches(q, '^wiki/') AND NOT regexp_matches(q, '//|/$|[ .](/|$)|(^|/)\.') AND NOT regexp_matches(p, '{_BAD}') AND NOT regexp_matches(q, '[\x00-\x1f:*?\"<>|]'), false) AS safe FROM a",
     "watched_files": rf"""WITH a AS (SELECT DISTINCT path, replace(path, '\', '/') AS q, lower(replace(path, '\', '/')) AS p, regexp_replace(lower(replace(path, '\', '/')), '^.*/', '') AS n FROM file_snapshots)
-SELECT path, p <> '' AND NOT contains('/' || p, '/.llm-wiki/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
+SELECT path, p <> '' AND NOT contains('/' || p, '/.store/') AND NOT starts_with(p, 'wiki/media/') AND NOT p LIKE '%.ds_store' AND n NOT IN ('thumbs.db', 'desktop.ini')
   AND NOT list_contains(string_split(p, '/'), 'archive') AND NOT contains('/' || p, '/raw/sources/assets/') AND NOT regexp_matches(p, '(?s)^.*draft.*$') AND NOT regexp_matches(n, '^.*draft.*$')
   AND NOT regexp_matches(p, '(?s)^a..*\.html$') AND NOT regexp_matches(n, '^a..*\.html$')
   AND (CASE WHEN starts_with(q, 'raw/sources/') THEN n NOT LIKE '%.png' ELSE q IN ('purpose.md', 'schema.md') OR (starts_with(q, 'wiki/') AND q LIKE '%.md') END) AS watched, regexp_matches(lower(path), '(?s)^raw/.*\.m.$') AS markdown FROM a""",

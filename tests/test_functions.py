@@ -53,7 +53,7 @@ def test_names_and_paths(spark):
     assert column(spark, ["https://www.a.example:80/x", "http://u@ü.example", "nothing"], text.hostname) == ["a.example", "ü.example", None]
     assert column(spark, ["raw/a.md", "RAW/b.mx", "raw/c.txt"], lambda x: text.glob_match(x, "raw/*.m?")) == [True, True, False]
     watched = lambda x: text.watched(x, ("old",), ("*tmp*",), (".png",))
-    seen = {"raw/sources/a.md": True, "raw/a.md": False, "raw/sources/old/a.md": False, "raw/sources/x/my-tmp1": False, "raw/sources/p.PNG": False, "wiki/a.md": True, "wiki/a.txt": False, "purpose.md": True, "wiki/media/a.md": False, ".llm-wiki/a.md": False, "raw/sources/Thumbs.db": False, "raw/sources/noext": True, "": False}
+    seen = {"raw/sources/a.md": True, "raw/a.md": False, "raw/sources/old/a.md": False, "raw/sources/x/my-tmp1": False, "raw/sources/p.PNG": False, "wiki/a.md": True, "wiki/a.txt": False, "purpose.md": True, "wiki/media/a.md": False, ".store/a.md": False, "raw/sources/Thumbs.db": False, "raw/sources/noext": True, "": False}
     assert column(spark, list(seen), watched) == list(seen.values())
     assert column(spark, ["raw/sources/a.pdf", "raw/sources/a.md", "raw/sources/a", "wiki/b.md"], lambda x: text.watched(x, included_ext=(".md",))) == [False, True, False, True]
     refs = F.array(F.lit("/p/raw/sources/Papers/Intro.pdf"), F.lit("notes.md"), F.lit(None))

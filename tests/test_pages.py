@@ -43,7 +43,7 @@ def test_summary_and_predicates(spark):
     page = "---\ntitle: T\ntags: [a, b]\n---\n# H\n\nFirst words.\nmore"
     found = column(spark, [page, "plain", None], lambda x: pages.entity_summary(x, F.lit("s")))
     assert tuple(found[0]) == ("s", "unknown", "T", "First words.", ["a", "b"]) and found[1:] == [None, None]
-    paths = {"raw/a.md": False, "wiki/a.md": True, "b/wiki/c.md": False, "a/.hidden": True, ".b/c.md": False, "x/my-secrets.md": False, "x/data.JSON": True, ".llm-wiki/x.md": True, "raw/sources/.cache/x.md": True, "json": False}
+    paths = {"raw/a.md": False, "wiki/a.md": True, "b/wiki/c.md": False, "a/.hidden": True, ".b/c.md": False, "x/my-secrets.md": False, "x/data.JSON": True, ".store/x.md": True, "raw/sources/.cache/x.md": True, "json": False}
     assert column(spark, [*paths, None], lambda x: pages.import_skipped(x, F.lit(1))) == [*paths.values(), False]
     assert column(spark, ["a.md"], lambda x: pages.import_skipped(x, F.lit(100 * 1024 * 1024 + 1))) == [True]
     said = ["Input too long", "max_tokens is 5", "it exceeds", "Input length 9", "timeout", None]
