@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import ref_key
+from loreweave.operators import moving
 from loreweave.storage import materialize
 
 #: Weights of the relevance signals, and of the two-hop score.
@@ -30,6 +31,8 @@ AFFINITY = {
 CLASSES = tuple(AFFINITY)
 #: Pairs that one task of an expansion makes, about.
 MEET_ROWS = 1_000_000
+#: Bytes of a graph whose communities one task finds, and what an arc counts there besides its ends' names.
+ONE_TASK_BYTES, ARC_BYTES = 500_000_000, 100
 #: Pages that hold a knowledge base together rather than knowledge.
 STRUCTURAL = ("index", "overview", "log", "schema", "purpose")
 #: Pairs of types that are far apart.
@@ -193,7 +196,12 @@ def structural(node_id: Column) -> Column:
     return F.lower(node_id).isin(*STRUCTURAL)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 60, levels: int = 20) -> DataFrame:
+def _renamed(member: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (id, node) with the label (x, c) of their node, if it has one."""
+    return member.join(label.withColumnRenamed("x", "node"), "node", "left").select("id", F.coalesce("c", "node").alias("node"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, levels: int = 20, one_task: int = ONE_TASK_BYTES) -> DataFrame:
     """Weighted modularity communities by deterministic local moving: id, community (its smallest member's id).
 
     ``edges`` has a, b, weight. In each round a hash half of the nodes moves to the neighbouring
@@ -201,15 +209,23 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 60, levels: in
     communities become nodes and the rounds are repeated, until no node wants to move and no two
     communities join. A level that hasn't settled after ``rounds``, or a graph after ``levels``, is reported
     by a warning. Every round is a join of the edges with the labels and two aggregations, written to the shared folder.
+    As soon as a level has at most ``one_task`` bytes, one task does the rest by the same rule, with the same result.
     """
     spark: SparkSession = nodes.sparkSession
     member = materialize(nodes.select("id", F.col("id").alias("node")).distinct(), "members")
     both = edges.where("a <> b and weight > 0").select(F.col("a").alias("x"), F.col("b").alias("y"), "weight")
     arcs = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight")).groupBy("x", "y").agg(F.sum("weight").alias("w")), "arcs")
     for level in range(levels):
-        total = arcs.agg(F.sum("w")).first()[0]
+        octets = sum(F.octet_length(F.col(end).cast("string")) for end in "xy")
+        total, size = arcs.agg(F.sum("w"), F.sum(octets + ARC_BYTES)).first()
         if not total:
             break
+        if size <= one_task:
+            found = materialize(moving.moved_in_one_task(arcs, level, rounds, levels), "labels")
+            for row in found.where("said is not null").collect():
+                warnings.warn(row["said"], stacklevel=2)
+            member = materialize(_renamed(member, found.where("said is null").select("x", "c")), "members")
+            break
         strength = materialize(arcs.groupBy("x").agg(F.sum("w").alias("k")), "strength")
         label = materialize(strength.select("x", F.col("x").alias("c")), "labels")
         for turn in range(rounds):
@@ -228,13 +244,13 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 60, levels: in
             if not moved.where("wants").limit(1).count():
                 break
         else:
-            warnings.warn(f"communities: level {level} hasn't settled after {rounds} rounds", stacklevel=2)
+            warnings.warn(moving.unsettled(level, rounds), stacklevel=2)
         if not label.where("x <> c").limit(1).count():
             break
-        member = materialize(member.join(label.withColumnRenamed("x", "node"), "node", "left").select("id", F.coalesce("c", "node").alias("node")), "members")
+        member = materialize(_renamed(member, label), "members")
         arcs = materialize(arcs.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), "arcs")
     else:
-        warnings.warn(f"communities: they still join after {levels} levels", stacklevel=2)
+        warnings.warn(moving.joining(levels), stacklevel=2)
     names = member.groupBy("node").agg(F.min("id").alias("community"))
     return member.join(names, "node").select("id", "community")
 

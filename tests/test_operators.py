@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loreweave.operators import graph, maintain, search
 from loreweave.operators.snapshots import assign_ordinals, snapshot_changes
+from loreweave.storage import materialize
 
 
 def values(df, *columns):
@@ -155,6 +158,28 @@ def test_communities_of_planted_groups(spark):
     assert graph.communities(nodes, pairs.limit(0)).count() == 33
 
 
+def test_communities_by_tables_and_in_one_task(spark, monkeypatch):
+    from loreweave.operators import moving
+
+    names = spark.createDataFrame([("a",), ("é",), ("x" * 40,)], "x string").select(F.xxhash64("x").alias("h"), F.xxhash64("x", F.lit(3), F.lit(70)).alias("g")).collect()
+    hashed = moving.hash_int(70, moving.hash_int(3, np.array([r["h"] for r in names]).view(np.uint64)))
+    assert hashed.view(np.int64).tolist() == [r["g"] for r in names]
+
+    rng = random.Random(7)
+    pairs = {tuple(sorted(rng.sample(range(24), 2))) for _ in range(45)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", rng.choice([0.5, 1.0, 2.5])) for a, b in sorted(pairs)] + [("n0", "n0", 3.0), ("n1", "n2", 0.0)], "a string, b string, weight double")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(26)], "id string")
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    found = values(graph.communities(nodes, edges))
+    assert len(written) <= 4  # one table a round before
+    assert found == values(graph.communities(nodes, edges, one_task=0)) and 1 < len({c for _, c in found}) < 12
+    numbered = lambda df, *c: df.select(*[F.substring(x, 2, 9).cast("bigint").alias(x) for x in c], *[x for x in df.columns if x not in c])
+    assert len(values(graph.communities(numbered(nodes, "id"), numbered(edges, "a", "b")))) == 26
+    with pytest.warns(UserWarning, match="level 0 hasn't settled after 1 rounds"):
+        graph.communities(nodes, edges, rounds=1)
+
+
 def test_insights_of_detected_communities(spark, tmp_path):
     from loreweave.plans import graph as plans, pages as more
 
