@@ -196,7 +196,7 @@ def test_insights_of_detected_communities(spark, tmp_path):
     assert values(more.knowledge_gaps_detected(spark, sf)) == [("bridge-node", "g0-0", 4)]
 
 
-@pytest.mark.parametrize("name", ["bridges_detected", "community_stats_detected", "surprising_detected"])
+@pytest.mark.parametrize("name", ["bridges_detected", "community_stats_detected", "surprising_detected", "knowledge_gaps_detected"])
 def test_detected_communities_take_few_tables(spark, sf, monkeypatch, name):
     from loreweave import plans
 
