@@ -31,8 +31,8 @@ AFFINITY = {
 CLASSES = tuple(AFFINITY)
 #: Pairs that one task of an expansion makes, about.
 MEET_ROWS = 1_000_000
-#: Bytes of a graph whose communities one task finds, and what an arc counts there besides its ends' names.
-ONE_TASK_BYTES, ARC_BYTES = 500_000_000, 100
+#: Bytes of a graph whose communities one task finds, and what a pair of linked nodes counts there.
+ONE_TASK_BYTES, PAIR_BYTES = 500_000_000, 60
 #: Pages that hold a knowledge base together rather than knowledge.
 STRUCTURAL = ("index", "overview", "log", "schema", "purpose")
 #: Pairs of types that are far apart.
@@ -77,7 +77,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shared_sources(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Number of sources that both ends of each pair name: a, b, shared (0 included)."""
-    named = nodes.select("id", F.array_distinct(F.array_compact(F.coalesce("sources", F.array().cast("array<string>")))).alias("s"))
+    named = nodes.select("id", F.array_distinct(F.array_compact(F.coalesce("sources", F.array().cast(nodes.schema["sources"].dataType)))).alias("s"))
     both = pairs.join(named.select(F.col("id").alias("a"), F.col("s").alias("u")), "a", "left").join(named.select(F.col("id").alias("b"), F.col("s").alias("v")), "b", "left")
     return both.select("a", "b", F.coalesce(F.size(F.array_intersect("u", "v")), F.lit(0)).alias("shared"))
 
@@ -201,6 +201,11 @@ def _renamed(member: DataFrame, label: DataFrame) -> DataFrame:
     return member.join(label.withColumnRenamed("x", "node"), "node", "left").select("id", F.coalesce("c", "node").alias("node"))
 
 
+def _told_apart(member: DataFrame) -> bool:
+    """Whether all nodes of the members have hashes of their own."""
+    return not member.select("node").distinct().groupBy(F.xxhash64("node")).count().where("count > 1").limit(1).count()
+
+
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, levels: int = 20, one_task: int = ONE_TASK_BYTES) -> DataFrame:
     """Weighted modularity communities by deterministic local moving: id, community (its smallest member's id).
 
@@ -213,19 +218,20 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, levels:
     """
     spark: SparkSession = nodes.sparkSession
     member = materialize(nodes.select("id", F.col("id").alias("node")).distinct(), "members")
-    both = edges.where("a <> b and weight > 0").select(F.col("a").alias("x"), F.col("b").alias("y"), "weight")
-    arcs = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight")).groupBy("x", "y").agg(F.sum("weight").alias("w")), "arcs")
+    linked = edges.where("a <> b and weight > 0").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("weight").alias("w"))
+    half = materialize(linked, "arcs")
     for level in range(levels):
-        octets = sum(F.octet_length(F.col(end).cast("string")) for end in "xy")
-        total, size = arcs.agg(F.sum("w"), F.sum(octets + ARC_BYTES)).first()
+        total, size = half.agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(F.col("w") * 2)), F.count("*") * PAIR_BYTES).first()
         if not total:
             break
-        if size <= one_task:
-            found = materialize(moving.moved_in_one_task(arcs, level, rounds, levels), "labels")
+        if size <= one_task and _told_apart(member):
+            found = materialize(moving.moved_in_one_task(half, level, rounds, levels), "labels")
             for row in found.where("said is not null").collect():
                 warnings.warn(row["said"], stacklevel=2)
-            member = materialize(_renamed(member, found.where("said is null").select("x", "c")), "members")
+            hashed = member.select("id", F.xxhash64("node").alias("h"))
+            member = materialize(hashed.join(found.where("said is null").select("h", "c"), "h", "left").select("id", F.coalesce("c", "h").alias("node")), "members")
             break
+        arcs = half.unionByName(half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "w"))
         strength = materialize(arcs.groupBy("x").agg(F.sum("w").alias("k")), "strength")
         label = materialize(strength.select("x", F.col("x").alias("c")), "labels")
         for turn in range(rounds):
@@ -248,7 +254,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, levels:
         if not label.where("x <> c").limit(1).count():
             break
         member = materialize(_renamed(member, label), "members")
-        arcs = materialize(arcs.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), "arcs")
+        named = arcs.join(label, "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").where("c <= d")
+        half = materialize(named.groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), "arcs")
     else:
         warnings.warn(moving.joining(levels), stacklevel=2)
     names = member.groupBy("node").agg(F.min("id").alias("community"))

@@ -16,7 +16,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    return _resolved(nodes(spark, sf_dir))
+
+
+def _resolved(n: DataFrame) -> DataFrame:
     raw = n.select(F.col("id").alias("src"), F.explode("out_links").alias("raw")).where("raw is not null")
     return op.resolve_links(n, raw)
 
@@ -86,6 +89,14 @@ def _graph(spark, sf_dir):
     return nodes(spark, sf_dir), edges, edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+def _written(spark, sf_dir):
+    """Nodes and resolved links, for queries that read them several times; and the edges as in ``_graph``. All are written once."""
+    n = materialize(nodes(spark, sf_dir), "nodes")
+    found = materialize(_resolved(n), "links")
+    edges = materialize(op.directed(found), "edges")
+    return n, found, edges, edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
 def shared_sources(spark, sf_dir):
     n, _, pairs = _graph(spark, sf_dir)
     return op.shared_sources(pairs, n).where("shared > 0").select("a", "b", F.col("shared").cast("bigint"))
@@ -138,9 +149,25 @@ def _labels(n: DataFrame) -> DataFrame:
     return n.select("id", F.coalesce("type", F.lit("other")).alias("community"))
 
 
-def _detected(n: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _weighted(n: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relevance of each linked pair: a, b, weight; written. Numbers stand for ids and sources, since the rows of common neighbours are many."""
+    # A node's number ascends with its id, so that pairs keep their order.
+    no = materialize(n.select("id").orderBy("id").select("id", F.monotonically_increasing_id().alias("no")), "numbered")
+    named = n.select("id", F.explode("sources").alias("source")).where("source is not null").distinct()
+    source = materialize(named.select("source").distinct().select("source", F.monotonically_increasing_id().alias("s")), "sources")
+    sources = named.join(source, "source").groupBy("id").agg(F.collect_list("s").alias("sources"))
+    small = materialize(no.join(n.select("id", "type"), "id").join(sources, "id", "left").select(F.col("no").alias("id"), "type", "sources"), "small")
+    ends = edges.join(no.select(F.col("id").alias("src"), F.col("no").alias("x")), "src").join(no.select(F.col("id").alias("dst"), F.col("no").alias("y")), "dst")
+    steps = materialize(ends.select(F.col("x").alias("src"), F.col("y").alias("dst")), "steps")
+    pairs = materialize(steps.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
+    found = op.relevance(pairs, small, steps).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("relevance").alias("weight"))
+    found = found.join(no.select(F.col("id").alias("a"), F.col("no").alias("x")), "x").join(no.select(F.col("id").alias("b"), F.col("no").alias("y")), "y")
+    return materialize(found.select("a", "b", "weight"), "weighted")
+
+
+def _detected(n: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities by modularity, and the weights they come from; both written."""
-    weighted = materialize(op.relevance(pairs, n, edges).select("a", "b", F.col("relevance").alias("weight")), "weighted")
+    weighted = _weighted(n, edges)
     return materialize(op.communities(n, weighted), "communities"), weighted
 
 
@@ -156,8 +183,8 @@ def community_stats(spark, sf_dir):
 
 
 def community_stats_detected(spark, sf_dir):
-    n, edges, pairs = _graph(spark, sf_dir)
-    return _stats(spark, sf_dir, n, _detected(n, edges, pairs)[0], pairs)
+    n, _, edges, pairs = _written(spark, sf_dir)
+    return _stats(spark, sf_dir, n, _detected(n, edges)[0], pairs)
 
 
 def _described(spark, sf_dir, n, labels):
@@ -171,8 +198,8 @@ def surprising(spark, sf_dir):
 
 
 def surprising_detected(spark, sf_dir):
-    n, edges, pairs = _graph(spark, sf_dir)
-    labels, weighted = _detected(n, edges, pairs)
+    n, _, edges, _ = _written(spark, sf_dir)
+    labels, weighted = _detected(n, edges)
     return op.surprising_edges(weighted.select("a", "b", F.round("weight", 6).alias("weight")), _described(spark, sf_dir, n, labels), 50)
 
 
@@ -182,8 +209,8 @@ def bridges(spark, sf_dir):
 
 
 def bridges_detected(spark, sf_dir):
-    n, edges, pairs = _graph(spark, sf_dir)
-    return op.bridges(pairs, _detected(n, edges, pairs)[0], 20)
+    n, _, edges, pairs = _written(spark, sf_dir)
+    return op.bridges(pairs, _detected(n, edges)[0], 20)
 
 
 def isolated(spark, sf_dir):
@@ -206,9 +233,8 @@ def graph_search(spark, sf_dir):
 
 
 def communities(spark, sf_dir):
-    n, edges, pairs = _graph(spark, sf_dir)
-    weighted = op.relevance(pairs, n, edges).select("a", "b", F.col("relevance").alias("weight"))
-    return op.communities(n, materialize(weighted, "weighted"))
+    n, _, edges, _ = _written(spark, sf_dir)
+    return op.communities(n, _weighted(n, edges))
 
 
 QUERIES = {

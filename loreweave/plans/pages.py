@@ -78,8 +78,8 @@ def knowledge_gaps(spark, sf_dir) -> DataFrame:
 
 def knowledge_gaps_detected(spark, sf_dir) -> DataFrame:
     """As ``knowledge_gaps``, with the detected communities."""
-    n, edges, pairs = graph._graph(spark, sf_dir)
-    return _gaps(spark, sf_dir, n, pairs, graph._detected(n, edges, pairs)[0])
+    n, _, edges, pairs = graph._written(spark, sf_dir)
+    return _gaps(spark, sf_dir, n, pairs, graph._detected(n, edges)[0])
 
 
 def _gaps(spark, sf_dir, n: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -180,6 +180,34 @@ def test_communities_by_tables_and_in_one_task(spark, monkeypatch):
         graph.communities(nodes, edges, rounds=1)
 
 
+def test_communities_of_large_graphs_take_one_task(spark, monkeypatch):
+    from loreweave.operators import moving
+
+    rng = np.random.default_rng(3)
+    n = 300
+    keys = np.unique(rng.integers(0, n * n, 1500))
+    x, y = (keys // n)[keys // n < keys % n].astype(np.int32), (keys % n)[keys // n < keys % n].astype(np.int32)
+    w, names, loop = rng.choice([0.5, 1.0, 2.5], len(x)), rng.permutation(np.arange(n) * 10**15), rng.choice([0.0, 1.0], n)
+    edges = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", float(v)) for a, b, v in zip(x, y, w, strict=True)], "a string, b string, weight double")
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    assert graph.communities(spark.range(n).select(F.format_string("n%03d", "id").alias("id")), edges, one_task=60 * len(x)).count() == n
+    assert written == ["members", "arcs", "labels", "members"]  # about 100 bytes for each direction before
+
+    order = rng.permutation(len(x))
+    label, still = moving._settle(moving._graph(x, y, w, loop), names, 0, 1000)
+    whole = moving.settled(moving._graph(x, y, w, loop), names, 0, 1000, 20)[0]
+    monkeypatch.setattr(moving, "_BLOCK", 40)  # many parts
+    assert moving.settled(moving._graph(x[order], y[order], w[order], loop), names, 0, 1000, 20)[0].tolist() == whole.tolist()
+    strength, to = loop.copy(), np.zeros((n, n))
+    np.add.at(strength, np.r_[x, y], np.r_[w, w])
+    np.add.at(to, (np.r_[x, y], label[np.r_[y, x]]), np.r_[w, w])
+    mass = np.bincount(label, strength, n)
+    gain = np.where(to > 0, to - strength[:, None] * mass / strength.sum(), -np.inf)
+    own = np.arange(n), label
+    assert still and (gain.max(1) <= to[own] - strength * (mass[label] - strength) / strength.sum() + 1e-8).all()  # no node wants to move
+
+
 def test_insights_of_detected_communities(spark, tmp_path):
     from loreweave.plans import graph as plans, pages as more
 
