@@ -171,20 +171,20 @@ def _detected(n: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(op.communities(n, weighted), "communities"), weighted
 
 
-def _stats(spark, sf_dir, n, labels, pairs):
-    counts = op.link_counts(n, links(spark, sf_dir))
+def _stats(n, found, labels, pairs):
+    counts = op.link_counts(n, found)
     stats = op.community_stats(labels, pairs, counts)
     return stats.select("community", "nodes", "inner_edges", F.round("cohesion", 6).alias("cohesion"), "top_nodes")
 
 
 def community_stats(spark, sf_dir):
     n, _, pairs = _graph(spark, sf_dir)
-    return _stats(spark, sf_dir, n, _labels(n), pairs)
+    return _stats(n, links(spark, sf_dir), _labels(n), pairs)
 
 
 def community_stats_detected(spark, sf_dir):
-    n, _, edges, pairs = _written(spark, sf_dir)
-    return _stats(spark, sf_dir, n, _detected(n, edges)[0], pairs)
+    n, found, edges, pairs = _written(spark, sf_dir)
+    return _stats(n, found, _detected(n, edges)[0], pairs)
 
 
 def _described(spark, sf_dir, n, labels):
