@@ -187,20 +187,21 @@ def community_stats_detected(spark, sf_dir):
     return _stats(n, found, _detected(n, edges)[0], pairs)
 
 
-def _described(spark, sf_dir, n, labels):
-    return n.select("id", "type").join(labels, "id").join(op.link_counts(n, links(spark, sf_dir)), "id")
+def _described(n, found, labels):
+    return n.select("id", "type").join(labels, "id").join(op.link_counts(n, found), "id")
 
 
 def surprising(spark, sf_dir):
     n, edges, pairs = _graph(spark, sf_dir)
     weighted = op.relevance(pairs, n, edges).select("a", "b", F.round("relevance", 6).alias("weight"))
-    return op.surprising_edges(weighted, _described(spark, sf_dir, n, _labels(n)), 50)
+    return op.surprising_edges(weighted, _described(n, links(spark, sf_dir), _labels(n)), 50)
 
 
 def surprising_detected(spark, sf_dir):
-    n, _, edges, _ = _written(spark, sf_dir)
+    n, found, edges, _ = _written(spark, sf_dir)
     labels, weighted = _detected(n, edges)
-    return op.surprising_edges(weighted.select("a", "b", F.round("weight", 6).alias("weight")), _described(spark, sf_dir, n, labels), 50)
+    described = materialize(_described(n, found, labels), "described")
+    return op.surprising_edges(weighted.select("a", "b", F.round("weight", 6).alias("weight")), described, 50)
 
 
 def bridges(spark, sf_dir):
