@@ -73,17 +73,17 @@ def graph_expansion_all(spark, sf_dir) -> DataFrame:
 def knowledge_gaps(spark, sf_dir) -> DataFrame:
     """Isolated pages, sparse communities (by page type) and bridges."""
     n, _, pairs = graph._graph(spark, sf_dir)
-    return _gaps(spark, sf_dir, n, pairs, materialize(graph._labels(n), "labels"))
+    return _gaps(n, op.link_counts(n, graph.links(spark, sf_dir)), pairs, materialize(graph._labels(n), "labels"))
 
 
 def knowledge_gaps_detected(spark, sf_dir) -> DataFrame:
     """As ``knowledge_gaps``, with the detected communities."""
-    n, _, edges, pairs = graph._written(spark, sf_dir)
-    return _gaps(spark, sf_dir, n, pairs, graph._detected(n, edges)[0])
+    n, found, edges, pairs = graph._written(spark, sf_dir)
+    counts = materialize(op.link_counts(n, found), "counts")
+    return _gaps(n, counts, pairs, graph._detected(n, edges)[0])
 
 
-def _gaps(spark, sf_dir, n: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    counts = op.link_counts(n, graph.links(spark, sf_dir))
+def _gaps(n: DataFrame, counts: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     few = counts.where("links <= 1").join(n.select("id", "type"), "id").where("coalesce(type, '') <> 'overview' and id not in ('index', 'log')")
     sparse = op.community_stats(labels, pairs, counts).where("cohesion < 0.15 and nodes >= 3")
     parts = [

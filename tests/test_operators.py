@@ -234,7 +234,7 @@ def test_detected_communities_take_few_tables(spark, sf, monkeypatch, name):
     assert written == ["members", "arcs", "labels", "members"]  # one table a round before
 
 
-@pytest.mark.parametrize("name", ["community_stats_detected", "surprising_detected"])
+@pytest.mark.parametrize("name", ["community_stats_detected", "surprising_detected", "knowledge_gaps_detected"])
 def test_detected_insights_resolve_links_once(spark, sf, monkeypatch, name):
     from loreweave import plans
 
